@@ -43,26 +43,26 @@ _MEASURED = {
     "event_id": "event_id",
     "user_id": "user_id",
     "event_type": "event_type",
-    "so2": "value / 9",
-    "noy": "value / 6",
-    "no": "case when event_id % 7 <> 0 then value / 37 - 0.05 end",
-    "no2": "case when event_id % 11 <> 0 then value / 19 - 0.13 end",
-    "o3": "value / 3",
+    "so2": "value / 9.173",
+    "noy": "value / 6.131",
+    "no": "case when event_id % 7 <> 0 then value / 37.193 - 0.05 end",
+    "no2": "case when event_id % 11 <> 0 then value / 19.377 - 0.13 end",
+    "o3": "value / 3.119",
     "zero_box": "case when event_id % 13 = 0 then null when event_type = 'error' then 1 else 0 end",
     "so2_zero_channel": "case when event_type = 'signup' then 1 else 0 end",
 }
-_CO = {"date": "ts - INTERVAL '592' DAY", "co_calibrated": "value / 0.3"}
+_CO = {"date": "ts - INTERVAL '592' DAY", "co_calibrated": "value / 0.3117"}
 _MET = {
     "date": "ts - INTERVAL '592' DAY",
     "event_id": "event_id",
     "lat": "60 + cast(user_id as double) / 200",
     "long": "cast(user_id as double) / 100 - 50",
-    "speed": "value / 9",
+    "speed": "value / 9.417",
     "heading": "cast((user_id * 13) % 360 as double)",
-    "rel_ws": "value / 11",
+    "rel_ws": "value / 11.239",
     "rel_wd": "cast((user_id * 7) % 360 as double)",
-    "air_temp": "value / 30",
-    "air_humidity": "case when event_id % 17 <> 0 then 80 - value / 50 end",
+    "air_temp": "value / 30.71",
+    "air_humidity": "case when event_id % 17 <> 0 then 80 - value / 50.23 end",
 }
 
 
@@ -1065,7 +1065,7 @@ def species_long(spark, sf):
 
 
 @query(f"""with {_M} select date, {_r('o3', 'value')}, 'O3' as species from m
-  union all select ts - INTERVAL '592' DAY, {_r('value / 0.3', 'value')}, 'CO' from events""")
+  union all select ts - INTERVAL '592' DAY, {_r('value / 0.3117', 'value')}, 'CO' from events""")
 def tagged_union(spark, sf):
     return rounded(rows.tagged_union({"O3": (measured(spark, sf), "o3"),
                                       "CO": (co_table(spark, sf), "co_calibrated")}))
@@ -1203,7 +1203,7 @@ _MINUTE_SQL = f"""{_M}, {_TRUE_WIND_SQL}, {_WIND_MINUTE_SQL},
     avg(zero_box) as zero_box, avg(so2_zero_channel) as so2_zero_channel, avg(o3) as o3,
     avg(no_c) as no, avg(no2_c) as no2 from g2 group by 1),
   c0 as (select date_trunc('second', ts - INTERVAL '592' DAY + interval 500 millisecond) as date,
-    value / 0.3 as co from events),
+    value / 0.3117 as co from events),
   c as (select * from c0 where date < timestamp '2022-06-22 10:13:00')"""
 
 
