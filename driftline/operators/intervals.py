@@ -8,7 +8,7 @@ with its winning label; a row then matches exactly one segment of its day.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
@@ -16,9 +16,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import (DateType, IntegerType, StringType, StructField, StructType,
                                TimestampNTZType)
 
-from driftline.functions.cond import case_when
-from driftline.functions.times import ts
-
 CHAIN_LIMIT = 200
 _TICK = timedelta(microseconds=1)
 
@@ -32,15 +29,12 @@ class Interval:
     label: str | int = 1
     closed: bool = False
 
-    def test(self, instant: Column) -> Column:
-        tests = []
-        if self.start is not None:
-            tests.append(instant >= ts(self.start) if self.closed else instant > ts(self.start))
-        if self.end is not None:
-            tests.append(instant <= ts(self.end) if self.closed else instant < ts(self.end))
-        if not tests:
-            return instant.isNotNull()
-        return tests[0] if len(tests) == 1 else tests[0] & tests[1]
+    def test(self, time: str) -> str:
+        """The membership test as SQL."""
+        lower, upper = (">=", "<=") if self.closed else (">", "<")
+        tests = [f"`{time}` {op} TIMESTAMP_NTZ '{bound}'"
+                 for op, bound in ((lower, self.start), (upper, self.end)) if bound is not None]
+        return " AND ".join(tests) or f"`{time}` IS NOT NULL"
 
     def half_open(self) -> tuple[datetime | None, datetime | None]:
         """The same instants as [start, end) at microsecond resolution."""
@@ -55,13 +49,13 @@ class Interval:
 
 @dataclass(frozen=True)
 class Value:
-    """``label`` where a condition on the row's values is true."""
+    """``label`` where a condition on the row's values, given as SQL, is true."""
 
-    condition: Callable[[], Column]
+    condition: str
     label: str | int = 1
 
-    def test(self, instant: Column) -> Column:
-        return self.condition()
+    def test(self, time: str) -> str:
+        return self.condition
 
 
 Rule = Interval | Value
@@ -78,10 +72,16 @@ def check_rules(rules: Iterable[Rule]) -> list[str]:
     return found
 
 
+def _literal(value) -> str:
+    if value is None:
+        return "NULL"
+    return str(value) if isinstance(value, int) else "'" + value.replace("'", "\\'") + "'"
+
+
 def rule_column(rules: Sequence[Rule], default=None, time: str = "date") -> Column:
     """First matching rule wins; unknown conditions do not match."""
-    instant = F.col(time)
-    return case_when([(r.test(instant), F.lit(r.label)) for r in rules], default)
+    branches = " ".join(f"WHEN {r.test(time)} THEN {_literal(r.label)}" for r in rules)
+    return F.expr(f"CASE {branches} ELSE {_literal(default)} END")
 
 
 def tag_intervals(df: DataFrame, rules: Sequence[Rule], out: str, default=None,
@@ -89,8 +89,7 @@ def tag_intervals(df: DataFrame, rules: Sequence[Rule], out: str, default=None,
     """Add the label of the first rule that matches each row."""
     if len(rules) <= limit:
         return df.withColumn(out, rule_column(rules, default, time))
-    values = [r for r in rules if isinstance(r, Value)]
-    if values:
+    if any(isinstance(r, Value) for r in rules):
         raise ValueError("value rules need the conditional form; split them off first")
     return _tag_by_segments(df, rules, out, default, time)
 

@@ -9,29 +9,40 @@ from pyspark.sql.types import NumericType
 
 from driftline.functions.angles import direction_of, speed_of
 from driftline.functions.stats import mean_strict
-from driftline.functions.times import time_bin
+from driftline.functions.times import bin_seconds, time_bin
 
 
 def time_average(df: DataFrame, every: str = "1 minute", by: Iterable[str] = (),
                  time: str = "date", wind: Sequence[tuple[str, str]] = (),
                  vector_ws: bool = False, strict: bool = False,
-                 columns: Iterable[str] | None = None, pad: bool = False) -> DataFrame:
+                 columns: Iterable[str] | None = None, pad: bool = False,
+                 rounded: bool = False) -> DataFrame:
     """Mean of the numeric columns per bin; other columns drop out.
 
     ``wind`` names (direction, speed) pairs. A direction is averaged as a vector:
     weighted with the speed if ``vector_ws`` (the speed then is the length of the
     mean vector), else as unit vectors beside the plain mean speed.
     ``strict`` makes a bin with any missing value missing. ``pad`` adds the bins
-    between a series' first and last that have no rows.
+    between a series' first and last that have no rows. ``rounded`` bins instants
+    as if rounded to the second.
 
     One shuffle on (by, bin) of partial sums, so a crowded bin or series is
-    reduced where it is read.
+    reduced where it is read. Rows without an instant are left out.
     """
+    binned = df.withColumn(time, time_bin(F.col(time), every, rounded))
+    means = bin_means(binned, by, time, wind, vector_ws, strict, columns)
+    return pad_bins(means, every, by, time) if pad else means
+
+
+def bin_means(binned: DataFrame, by: Iterable[str], time: str,
+              wind: Sequence[tuple[str, str]] = (), vector_ws: bool = False,
+              strict: bool = False, columns: Iterable[str] | None = None) -> DataFrame:
+    """The averages of :func:`time_average` over rows whose instant is a bin already."""
     by = list(by)
     paired = {name for pair in wind for name in pair}
     hidden = {"u", "v"} if wind else set()  # components are recomputed from the means
     if columns is None:
-        columns = [f.name for f in df.schema if isinstance(f.dataType, NumericType)]
+        columns = [f.name for f in binned.schema if isinstance(f.dataType, NumericType)]
     plain = [c for c in columns if c not in {*by, time, *paired, *hidden}]
     mean = mean_strict if strict else F.avg
 
@@ -43,16 +54,13 @@ def time_average(df: DataFrame, every: str = "1 minute", by: Iterable[str] = (),
         if not vector_ws:
             aggregates.append(mean(F.col(ws)).alias(f"__s_{wd}"))
 
-    binned = df.withColumn(time, time_bin(F.col(time), every)).groupBy(*by, time)
-    means = binned.agg(*aggregates) if aggregates else binned.agg(F.count(F.lit(1))) \
-        .select(*by, time)
+    means = binned.groupBy(*by, time).agg(*(aggregates or [F.count(F.lit(1))]))
     winds = []
     for wd, ws in wind:
         u, v = F.col(f"__u_{wd}"), F.col(f"__v_{wd}")
         speed = speed_of(u, v) if vector_ws else F.col(f"__s_{wd}")
         winds += [direction_of(u, v).alias(wd), speed.alias(ws)]
-    means = means.select(*by, time, *plain, *winds)
-    return pad_bins(means, every, by, time) if pad else means
+    return means.select(*by, time, *plain, *winds)
 
 
 def pad_bins(df: DataFrame, every: str, by: Iterable[str] = (), time: str = "date") -> DataFrame:
@@ -60,5 +68,5 @@ def pad_bins(df: DataFrame, every: str, by: Iterable[str] = (), time: str = "dat
     by = list(by)
     span = df.groupBy(*by).agg(F.min(time).alias("__lo"), F.max(time).alias("__hi"))
     bins = span.select(*by, F.explode(F.sequence(
-        "__lo", "__hi", F.expr(f"INTERVAL {every}"))).alias(time))
+        "__lo", "__hi", F.expr(f"INTERVAL '{bin_seconds(every)}' SECOND"))).alias(time))
     return bins.join(df, [*by, time], "left").select(*df.columns)

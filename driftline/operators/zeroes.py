@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from driftline.functions.cond import case_when, clip_to_null, combine_flags, r_ifelse
+from driftline.functions.cond import clip_to_null, combine_flags, r_ifelse
 from driftline.operators.groups import distinct_stats, group_mean, group_median, join_on
 from driftline.operators.intervals import Interval, rule_column
 from driftline.operators.rows import exclude
@@ -36,10 +36,10 @@ def apply_offsets(df: DataFrame, offsets: Sequence[Offset], key: str = "station"
     """
     corrected = {}
     for target in dict.fromkeys(o.target for o in offsets):
-        corrected[target + suffix] = case_when([
-            (F.col(key) == o.key,
-             F.col(target if fix_sources else o.source) - F.lit(o.offset))
-            for o in offsets if o.target == target])
+        branches = " ".join(
+            f"WHEN '{o.key}' THEN `{target if fix_sources else o.source}` - ({o.offset!r}D)"
+            for o in offsets if o.target == target)
+        corrected[target + suffix] = F.expr(f"CASE `{key}` {branches} END")
     return df.withColumns(corrected)
 
 
@@ -52,8 +52,8 @@ def apply_offset_table(df: DataFrame, table: DataFrame, targets: Iterable[str],
     targets = list(targets)
     named = table.select(key, *[F.col(t).alias(f"__o_{t}") for t in targets])
     joined = df.join(small_table(named) or named, key, "left")
-    return joined.withColumns({t + suffix: F.col(t) - F.col(f"__o_{t}") for t in targets}) \
-        .drop(*[f"__o_{t}" for t in targets])
+    corrected = {t + suffix: F.col(t) - F.col(f"__o_{t}") for t in targets}
+    return joined.withColumns(corrected).drop(*[f"__o_{t}" for t in targets])
 
 
 def missing_keys(df: DataFrame, table: DataFrame, key: str = "station") -> DataFrame:

@@ -64,11 +64,12 @@ def pollution_flag(df: DataFrame, out: str = "poll") -> DataFrame:
 def corrected_minutes(measured: DataFrame, offsets: Sequence[Offset] | None = None,
                       fix_sources: bool = False) -> DataFrame:
     """Station zeroes taken off NO and NO2 at native cadence, then minute means."""
-    rows = nan_as_null(measured).withColumn("date", round_second(F.col("date")))
-    rows = tag_station(rows.select("date", *MEASURED))
+    rows = nan_as_null(measured.select("date", *MEASURED))
+    rows = rows.withColumn("second", round_second(F.col("date")))
+    rows = tag_intervals(rows, rules.stations(), "station", time="second")
     rows = apply_offsets(rows, offsets or rules.offsets(), fix_sources=fix_sources)
     rows = rows.drop("no", "no2").withColumnsRenamed({"no_corr": "no", "no2_corr": "no2"})
-    return time_average(rows, "1 minute")
+    return time_average(rows, "1 minute", rounded=True)
 
 
 def calibrated_co(co: DataFrame, bin_first: bool = False) -> DataFrame:
@@ -140,8 +141,14 @@ def lod_flags(masked: DataFrame, limits: Mapping[str, float] | None = None) -> D
 def hourly_product(measured: DataFrame, co: DataFrame, met: DataFrame, **options) -> DataFrame:
     """Hourly means of the masked minutes (of the stack flag code too)."""
     table = flagged_table(minute_table(measured, co, met, how="left", **options))
-    masked = qc_mask(table).select("date", *SPECIES, "stack_flag")
-    return _published(time_average(masked, "1 hour"))
+    # Distrusted minutes are blanked, not filtered: Spark would push a filter on the
+    # minute down to the raw rows and test every rule there. Hours left with no
+    # minute at all go by their empty count.
+    trusted = F.col("flag_all") == 0
+    masked = mask(table, rules.QC_MASK).select("date", *[
+        F.when(trusted, F.col(c)).alias(c) for c in (*SPECIES, "stack_flag")],
+        F.when(trusted, 1).alias("minutes"))
+    return _published(time_average(masked, "1 hour").filter(F.col("minutes").isNotNull()))
 
 
 def stack_fractions(flagged: DataFrame, every: str = "1 hour") -> DataFrame:

@@ -6,8 +6,6 @@ results have to agree on. They are data; nothing in the operators depends on the
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from driftline.operators.intervals import Interval, Value
 from driftline.operators.zeroes import Offset
 
@@ -336,16 +334,16 @@ def flag_rules(version: str = "current") -> dict[str, list]:
         windows["co_flag"] = _V1_CO_WINDOWS
     rules: dict[str, list] = {flag: _windows(rows) for flag, rows in windows.items()}
     if version == "current":
-        rules["co_flag"].append(Value(lambda: F.col("co") > CO_CAP))
-        rules["noy_flag"].append(Value(lambda: F.col("noy") < F.col("nox")))
+        rules["co_flag"].append(Value(f"co > {CO_CAP}"))
+        rules["noy_flag"].append(Value("noy < nox"))
     return rules
 
 
 def plume_rules() -> list:
     """Labels of ``stack_flag``: relative wind first, then the listed plumes."""
     return [
-        Value(lambda: F.col("rel_ws") < CALM_BELOW, "ws"),
-        Value(lambda: (F.col("rel_wd") > ASTERN[0]) & (F.col("rel_wd") < ASTERN[1]), "wd"),
+        Value(f"rel_ws < {CALM_BELOW}", "ws"),
+        Value(f"rel_wd > {ASTERN[0]} AND rel_wd < {ASTERN[1]}", "wd"),
         *[Interval(lo, hi, label, closed=True) for lo, hi, label in _PLUMES]]
 
 

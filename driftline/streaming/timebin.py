@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, functions as F
 
-from driftline.operators.timebin import time_average
+from driftline.functions.times import bin_seconds
+from driftline.operators.timebin import bin_means
 
 
 def stream_time_average(df: DataFrame, every: str = "1 minute", late: str = "10 minutes",
-                        time: str = "date", **options) -> DataFrame:
+                        by: Iterable[str] = (), time: str = "date", **options) -> DataFrame:
     """``time_average`` whose bins close once ``late`` has passed.
 
-    The watermark bounds the state kept to the bins still open. Padding looks at
-    the whole series and is not possible on a stream.
+    The watermark bounds the state kept to the bins still open.
     """
-    if options.get("pad"):
-        raise ValueError("a stream has no last bin to pad to")
-    stamped = df.withColumn("__event", F.col(time).cast("timestamp")).withWatermark("__event", late)
-    return time_average(stamped.withColumn(time, F.col("__event")), every, time=time, **options)
+    window = F.window("__event", f"{bin_seconds(every)} seconds")
+    stamped = df.withColumn("__event", F.col(time)).withWatermark("__event", late)
+    binned = stamped.withColumn("__window", window).drop(time, "__event")
+    means = bin_means(binned, by, "__window", **options)
+    return means.withColumn(time, F.col("__window.start")).drop("__window")
