@@ -28,6 +28,8 @@ from driftline.functions.times import day_number, epoch_seconds, hour_number
 from driftline.session import stage
 
 MAX_SLICE_ROWS = 2_000_000
+SMALL_SERIES_ROWS = 250_000
+MAX_SHARES = 20_000
 _SLICE = "__slice"
 _BEFORE_TIME = -2_147_483_648  # slice of rows without an instant: they sort first
 
@@ -104,19 +106,24 @@ def slice_series(df: DataFrame, order: Order, scan: str = "auto",
                  max_rows: int = MAX_SLICE_ROWS) -> Sliced:
     """Cut ``df`` so that no window group exceeds ``max_rows`` rows.
 
-    ``scan='auto'`` measures the frame and takes the coarsest cut that fits.
+    ``scan='auto'`` measures the frame and takes the coarsest cut that fits. Whole
+    series are taken when they are small or spread evenly enough to keep all cores
+    busy. Beyond MAX_SHARES shares, a share grows past ``max_rows`` and may spill.
     """
     total = None
     if scan == "auto":
         sizes = measure(df, order)
-        total = sizes["total"]
-        scan = next((s for s in ("series", "day", "hour") if sizes[s] <= max_rows), "range")
+        total, largest = sizes["total"], sizes["series"]
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        spread = largest <= SMALL_SERIES_ROWS or largest * cores <= total
+        cuts = ("series", "day", "hour") if spread else ("day", "hour")
+        scan = next((s for s in cuts if sizes[s] <= max_rows), "range")
     if scan == "series":
         return Sliced(df, order, cut=False)
     if scan == "range":
         total = df.count() if total is None else total
         # range partitions come out uneven, so aim at half the bound
-        shares = max(1, -(-2 * total // max_rows))
+        shares = min(MAX_SHARES, max(1, -(-2 * total // max_rows)))
         ranged = df.repartitionByRange(shares, *order.series, *order.by)
         return Sliced(stage(ranged.withColumn(_SLICE, F.spark_partition_id())), order, cut=True)
     return Sliced(df.withColumn(_SLICE, _slice_column(order, scan)), order, cut=True)

@@ -31,7 +31,7 @@ def make_rows(seed):
     return rows
 
 
-@pytest.fixture(scope="module", params=[1, 2])
+@pytest.fixture(scope="module", params=[1])
 def rows(request):
     return make_rows(request.param)
 
