@@ -88,7 +88,7 @@ def override_flag(df: DataFrame, col: str, windows: Iterable[tuple[str, str]] =
 # names and shapes -----------------------------------------------------------
 
 def _snake(name: str) -> str:
-    name = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", name.strip())
+    name = re.sub(r"([a-z])([A-Z])|([A-Z])([A-Z][a-z])", r"\1\3_\2\4", name.strip())
     name = re.sub(r"[^0-9A-Za-z]+", "_", name.replace("%", "_percent_").replace("#", "_number_"))
     name = name.strip("_").lower()
     return f"x{name}" if not name or name[0].isdigit() else name

@@ -14,10 +14,11 @@ def stream_time_average(df: DataFrame, every: str = "1 minute", late: str = "10
                         by: Iterable[str] = (), time: str = "date", **options) -> DataFrame:
     """``time_average`` whose bins close once ``late`` has passed.
 
-    The watermark bounds the state kept to the bins still open.
+    The watermark bounds the state kept to the bins still open. Watermarks need a
+    zoned instant, so the session time zone has to be UTC.
     """
     window = F.window("__event", f"{bin_seconds(every)} seconds")
-    stamped = df.withColumn("__event", F.col(time)).withWatermark("__event", late)
+    stamped = df.withColumn("__event", F.col(time).cast("timestamp")).withWatermark("__event", late)
     binned = stamped.withColumn("__window", window).drop(time, "__event")
     means = bin_means(binned, by, "__window", **options)
-    return means.withColumn(time, F.col("__window.start")).drop("__window")
+    return means.withColumn(time, F.col("__window.start").cast("timestamp_ntz")).drop("__window")
