@@ -1,9 +1,10 @@
 """Labels and flags from time intervals and value rules.
 
 A rule set is short, written by people, and versioned (driftline.plans.rules).
-Up to ``CHAIN_LIMIT`` rules become one conditional expression: no join, no
-shuffle. A longer list is first resolved into segments that do not overlap, each
-with its winning label; a row then matches exactly one segment of its day.
+Intervals are first resolved into segments that do not overlap, each with its
+winning label. Up to ``CHAIN_LIMIT`` rules become one conditional expression that
+halves the segments: no join, no shuffle. With a longer list, a row is joined to
+the one segment of its day that holds it.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timedelta
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import (DateType, IntegerType, StringType, StructField, StructType,
@@ -29,13 +31,6 @@ class Interval:
     label: str | int = 1
     closed: bool = False
 
-    def test(self, time: str) -> str:
-        """The membership test as SQL."""
-        lower, upper = (">=", "<=") if self.closed else (">", "<")
-        tests = [f"`{time}` {op} TIMESTAMP_NTZ '{bound}'"
-                 for op, bound in ((lower, self.start), (upper, self.end)) if bound is not None]
-        return " AND ".join(tests) or f"`{time}` IS NOT NULL"
-
     def half_open(self) -> tuple[datetime | None, datetime | None]:
         """The same instants as [start, end) at microsecond resolution."""
         lo = None if self.start is None else datetime.fromisoformat(self.start)
@@ -54,9 +49,6 @@ class Value:
     condition: str
     label: str | int = 1
 
-    def test(self, time: str) -> str:
-        return self.condition
-
 
 Rule = Interval | Value
 
@@ -78,10 +70,46 @@ def _literal(value) -> str:
     return str(value) if isinstance(value, int) else "'" + value.replace("'", "\\'") + "'"
 
 
+def _bisect(parts: Sequence[tuple], time: str) -> str:
+    """SQL finding the stretch an instant lies in by halving the list of stretches."""
+    if len(parts) == 1:
+        return _literal(parts[0][1])
+    middle = len(parts) // 2
+    return (f"CASE WHEN `{time}` < TIMESTAMP_NTZ '{parts[middle][0]}' "
+            f"THEN {_bisect(parts[:middle], time)} ELSE {_bisect(parts[middle:], time)} END")
+
+
+def _interval_sql(rules: Sequence[Interval], time: str) -> str:
+    """Label of the first matching interval, or NULL.
+
+    The intervals are resolved to stretches that follow each other without gaps, so
+    a row is placed with a handful of comparisons, however many rules there are.
+    """
+    stretches: list[tuple] = []
+    reached = None
+    for lo, hi, label in segments(rules):
+        if lo is not None and lo != reached:
+            stretches.append((reached, None))
+        stretches.append((lo, label))
+        reached = hi
+    if reached is not None:
+        stretches.append((reached, None))
+    if not stretches:
+        return "NULL"
+    return f"CASE WHEN `{time}` IS NOT NULL THEN {_bisect(stretches, time)} END"
+
+
 def rule_column(rules: Sequence[Rule], default=None, time: str = "date") -> Column:
     """First matching rule wins; unknown conditions do not match."""
-    branches = " ".join(f"WHEN {r.test(time)} THEN {_literal(r.label)}" for r in rules)
-    return F.expr(f"CASE {branches} ELSE {_literal(default)} END")
+    choices = []
+    for is_interval, group in groupby(rules, lambda r: isinstance(r, Interval)):
+        group = list(group)
+        if is_interval:
+            choices.append(_interval_sql(group, time))
+        else:
+            branches = " ".join(f"WHEN {r.condition} THEN {_literal(r.label)}" for r in group)
+            choices.append(f"CASE {branches} END")
+    return F.expr(f"coalesce({', '.join([*choices, _literal(default)])})")
 
 
 def tag_intervals(df: DataFrame, rules: Sequence[Rule], out: str, default=None,

@@ -980,13 +980,14 @@ def clip_to_null(spark, sf):
 
 @query(f"""with {_M} select event_id,
   case when zero_box is null then null when zero_box = 1 then 'zero' else 'air' end as two_way,
-  case when zero_box = 1 then 'zero' when no > 1 then 'high' else 'air' end as chain from m""")
+  case when zero_box = 1 then 'zero' when no > 1 then 'high' else 'air' end as chain,
+  case when event_type = 'view' then 1 when event_type = 'click' then 2 end as code from m""")
 def conditionals(spark, sf):
     zero = F.col("zero_box") == 1
     return measured(spark, sf).select(
         "event_id", cond.r_ifelse(zero, F.lit("zero"), F.lit("air")).alias("two_way"),
         cond.case_when([(zero, F.lit("zero")), (F.col("no") > 1, F.lit("high"))], "air")
-        .alias("chain"))
+        .alias("chain"), cond.recode(F.col("event_type"), {"view": 1, "click": 2}).alias("code"))
 
 
 @query(f"""with {_M} select event_id,

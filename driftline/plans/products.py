@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from driftline.functions.cond import below_limit, case_when, recode
+from driftline.functions.cond import below_limit, case_when
 from driftline.functions.times import round_second
 from driftline.operators.align import align_full, align_left
 from driftline.operators.intervals import flag_intervals, rule_column, tag_intervals
@@ -46,9 +46,8 @@ def stack_flags(df: DataFrame, coded: bool = True) -> DataFrame:
     """Whose plume is sampled: 0 none, 1 calm, 2 astern, 3 other ship, 4 NOx only."""
     if "ws" in df.columns:
         df = mask_interval(df, "ws", *rules.WS_MASK)
-    df = df.withColumn("stack_flag", rule_column(rules.plume_rules(), "no"))
-    return df.withColumn("stack_flag", recode(F.col("stack_flag"), rules.STACK_CODES)) \
-        if coded else df
+    default = rules.STACK_CODES["no"] if coded else "no"
+    return df.withColumn("stack_flag", rule_column(rules.plume_rules(coded), default))
 
 
 def zeroing_flag(df: DataFrame, out: str = "flag") -> DataFrame:

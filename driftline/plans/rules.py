@@ -339,12 +339,15 @@ def flag_rules(version: str = "current") -> dict[str, list]:
     return rules
 
 
-def plume_rules() -> list:
-    """Labels of ``stack_flag``: relative wind first, then the listed plumes."""
+def plume_rules(coded: bool = False) -> list:
+    """Labels (or codes) of ``stack_flag``: relative wind first, then the listed plumes."""
+    def name(label):
+        return STACK_CODES[label] if coded else label
+
     return [
-        Value(f"rel_ws < {CALM_BELOW}", "ws"),
-        Value(f"rel_wd > {ASTERN[0]} AND rel_wd < {ASTERN[1]}", "wd"),
-        *[Interval(lo, hi, label, closed=True) for lo, hi, label in _PLUMES]]
+        Value(f"rel_ws < {CALM_BELOW}D", name("ws")),
+        Value(f"rel_wd > {ASTERN[0]}D AND rel_wd < {ASTERN[1]}D", name("wd")),
+        *[Interval(lo, hi, name(label), closed=True) for lo, hi, label in _PLUMES]]
 
 
 def zero_job_calibration() -> list[Interval]:
