@@ -70,16 +70,22 @@ def clip_to_null(df: DataFrame, col: str, lo: float | None = None,
     return df.withColumn(col, _clip(F.col(col), lo, hi))
 
 
-def override_flag(df: DataFrame, col: str, windows: Iterable[tuple[str, str]] = (),
+def override_flag(df: DataFrame, col: str,
+                  windows: Iterable[tuple[str | None, str | None]] = (),
                   when_set: str | None = None, value: int = 0,
                   time: str = "date") -> DataFrame:
     """Set the flag to ``value`` inside open windows and where another flag is set.
 
-    An unknown other flag makes the result unknown, as a two-way choice would.
+    A window's missing bound (None) is no bound. An unknown other flag makes the result unknown, as a two-way choice would.
     """
     flag = F.col(col)
     for lo, hi in windows:
-        flag = r_ifelse((F.col(time) > ts(lo)) & (F.col(time) < ts(hi)), F.lit(value), flag)
+        inside = F.lit(True)
+        if lo is not None:
+            inside = F.col(time) > ts(lo)
+        if hi is not None:
+            inside = inside & (F.col(time) < ts(hi))
+        flag = r_ifelse(inside, F.lit(value), flag)
     if when_set is not None:
         flag = r_ifelse(F.col(when_set) != 0, F.lit(value), flag)
     return df.withColumn(col, flag)

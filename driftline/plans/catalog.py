@@ -8,8 +8,11 @@ flag and plume rule meets data. All queries read whole tables.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import (DoubleType, IntegerType, LongType, StructType,
+                               TimestampNTZType)
 
 from driftline.functions import cond, times
 from driftline.functions.angles import direction_of, wrap_once
@@ -312,7 +315,6 @@ def band_table(spark, sf):
 
 def _many_rules() -> list[Interval]:
     """Overlapping five-hour legs every three hours, open and closed, and open ends."""
-    from datetime import datetime, timedelta
     first = datetime(2022, 5, 20)
     legs = [Interval(str(first + timedelta(hours=3 * i)), str(first + timedelta(hours=3 * i + 5)),
                      f"leg {i % 17}", closed=i % 2 == 0) for i in range(210)]
@@ -422,14 +424,11 @@ _CLEAN_ZEROES_SQL = f"""{_M},
 
 
 def _clean(spark, sf):
-    flagged = intervals.flag_intervals(measured(spark, sf), rules.zero_job_calibration(), "nox_cal")
-    return products.tag_station(flagged.filter("nox_cal = 0"))
+    return products.zero_job_rows(measured(spark, sf))
 
 
 def _station_zeroes(spark, sf, **options):
-    return zeroes.station_zeroes(_clean(spark, sf), ["no", "no2"], _ORDER,
-                                 exclude_stations=rules.ZERO_EXCLUDED_STATIONS,
-                                 exclude_ids=rules.ZERO_EXCLUDED_CYCLES, **options)
+    return products.station_zero_table(measured(spark, sf), _ORDER, **options)
 
 
 @query(f"""with {_CLEAN_ZEROES_SQL} select station,
@@ -791,6 +790,18 @@ def interpolated_zero_by_station(spark, sf):
     return _level(spark, sf, stat="median", by="station")
 
 
+@query(f"""with {_M}, {_runs_sql('m', 'so2_zero_channel')},
+  g0 as (select run_id, median(so2) as z from runs where run_id > 0 group by 1),
+  g as (select run_id, case when z >= 2.5 then z end as zero_so2 from g0),
+  f as (select runs.*, zero_so2 from runs left join g using (run_id)),
+  {_line_sql('f', ['zero_so2'], 'event_id, so2')}
+  select event_id, {_r('zero_so2')}, {_r('so2 - zero_so2', 'so2_corr')} from lines""")
+def interpolated_zero_so2(spark, sf):
+    out = zeroes.interpolated_zero(measured(spark, sf), ["so2"], "so2_zero_channel", _ORDER,
+                                   stat="median", reject={"so2": (2.5, None)})
+    return rounded(out.select("event_id", "zero_so2", "so2_corr"))
+
+
 @query(_zero_sql("avg(no)", "avg(no2)", "true", "true"))
 def interpolated_zero_by_day(spark, sf):
     return _level(spark, sf, scan="day")
@@ -847,20 +858,21 @@ _LOD_SQL = f"""with {_STATUS_SQL}, {_runs_sql('st', 'zb')},
     {_r('nox_sd / sqrt(6)', 'nox_lod')} from l2"""
 
 
-def _cycles(spark, sf):
-    df = measured(spark, sf).withColumns({"no": F.col("o3"), "no2": F.col("so2")})
-    return zeroes.zero_cycles(df, "zero_box", _ORDER)
+def _complete(spark, sf):
+    """Channels without gaps, so that the strict deviations exist."""
+    return measured(spark, sf).withColumns({"no": F.col("o3"), "no2": F.col("so2")})
 
 
-@query(_LOD_SQL.format("run_id in (4, 16, 28, 37)"))
+@query(_LOD_SQL.replace("from st)", f"from st where ({_case(rules.zero_job_calibration(), '0')}) = 0)", 1)
+       .format("run_id in (4, 16, 28, 37)"))
 def lod(spark, sf):
-    return rounded(groups.lod(rows.only(_cycles(spark, sf), "id", rules.LOD_CYCLES),
-                              "no", "no2", ["id"]))
+    return rounded(products.detection_limits(_complete(spark, sf), _ORDER))
 
 
 @query(_LOD_SQL.format("run_id > 0"))
 def lod_every_cycle(spark, sf):
-    return rounded(groups.lod(_cycles(spark, sf).filter("id > 0"), "no", "no2", ["id"]))
+    cycles = zeroes.zero_cycles(_complete(spark, sf), "zero_box", _ORDER)
+    return rounded(groups.lod(cycles.filter("id > 0"), "no", "no2", ["id"]))
 
 
 _SENS = {"date": "ts", "event_id": "event_id", "co": "case when event_id % 9 <> 0 then value end",
@@ -1130,8 +1142,7 @@ def csv_table(spark, sf):
         F.coalesce(F.col("zero_box").cast("string"), F.lit("missing")).alias("zero_box"),
         F.when(F.col("event_type") == "view", "missing").otherwise(F.col("event_type"))
         .alias("event_type"))
-    tables.write_table(text, path, "csv")
-    from pyspark.sql.types import DoubleType, IntegerType, LongType, StructType, TimestampNTZType
+    tables.write_table(text, path, "csv", sort_by=["date", "event_id"])
     schema = (StructType().add("event_id", LongType()).add("date", TimestampNTZType())
               .add("no", DoubleType()).add("zero_box", IntegerType()))
     return rounded(tables.read_table(spark, path, schema))
@@ -1272,10 +1283,20 @@ def corrected_minutes(spark, sf):
 
 @query(f"""with {_M}, a as (select date_trunc('minute', date) as date,
     case when count(no) = count(*) then avg(no) end as no,
-    case when count(o3) = count(*) then avg(o3) end as o3 from m group by 1)
-  select date, {_rs('no', 'o3')}, {_flags_sql('v1')} from a""")
+    case when count(o3) = count(*) then avg(o3) end as o3,
+    avg(so2_zero_channel) as co_cal from m group by 1)
+  select date, {_rs('no', 'o3')}, {_r("case when date < timestamp '2022-05-19 00:00:00' then 0 "
+                                      "else co_cal end", 'co_cal')}, {_flags_sql('v1')} from a""")
 def older_one_minute(spark, sf):
-    return rounded(products.older_one_minute(measured(spark, sf).select("date", "no", "o3")))
+    return rounded(products.older_one_minute(measured(spark, sf).select(
+        "date", "no", "o3", F.col("so2_zero_channel").alias("co_cal"))))
+
+
+@query(f"""with {_M} select event_id,
+  {_case([*rules.flag_rules('v1')['flag_all'], *rules.pollution()], '0')} as flag_all from m""")
+def instrument_flags_with_pollution(spark, sf):
+    return products.instrument_flags(measured(spark, sf), "v1", polluted=True) \
+        .select("event_id", "flag_all")
 
 
 @query(f"""with {_M} select date_trunc('second', date + interval 500 millisecond) as date, {_r('so2')},

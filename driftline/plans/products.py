@@ -16,12 +16,14 @@ from pyspark.sql import DataFrame, functions as F
 from driftline.functions.cond import below_limit, case_when
 from driftline.functions.times import round_second
 from driftline.operators.align import align_full, align_left
+from driftline.operators.groups import lod
 from driftline.operators.intervals import flag_intervals, rule_column, tag_intervals
 from driftline.operators.rows import (between_time, column_or_null, mask, mask_interval,
-                                      nan_as_null, species_long)
+                                      nan_as_null, only, override_flag, species_long)
+from driftline.operators.scan import Order
 from driftline.operators.timebin import time_average
 from driftline.operators.wind import wind_average
-from driftline.operators.zeroes import Offset, apply_offsets
+from driftline.operators.zeroes import Offset, apply_offsets, station_zeroes, zero_cycles
 from driftline.plans import rules
 
 SPECIES = ("co", "so2", "noy", "o3", "no", "no2", "nox")
@@ -34,12 +36,18 @@ def tag_station(df: DataFrame, coarse: bool = False, out: str = "station") -> Da
     return tag_intervals(df, rules.stations(coarse), out)
 
 
-def instrument_flags(df: DataFrame, version: str = "current") -> DataFrame:
-    """Add nox and the nine 0/1 flags (earlier versions also use code 2)."""
+def instrument_flags(df: DataFrame, version: str = "current",
+                     polluted: bool = False) -> DataFrame:
+    """Add nox and the nine 0/1 flags (earlier versions also use code 2).
+
+    ``polluted`` counts the polluted leg as bad for every instrument.
+    """
     if version == "current":
         df = df.withColumn("nox", F.col("no") + F.col("no2"))
-    return df.withColumns({
-        flag: rule_column(set_, 0) for flag, set_ in rules.flag_rules(version).items()})
+    flags = rules.flag_rules(version)
+    if polluted:
+        flags["flag_all"] = [*flags["flag_all"], *rules.pollution()]
+    return df.withColumns({flag: rule_column(set_, 0) for flag, set_ in flags.items()})
 
 
 def stack_flags(df: DataFrame, coded: bool = True) -> DataFrame:
@@ -163,9 +171,34 @@ def species_table(df: DataFrame, species: Sequence[str],
     return species_long(df, species, ids)
 
 
-def older_one_minute(df: DataFrame) -> DataFrame:
+def older_one_minute(df: DataFrame, polluted: bool = False) -> DataFrame:
     """Earlier minute means: any missing sample makes the minute missing."""
-    return instrument_flags(time_average(df, "1 minute", strict=True), version="v1")
+    means = time_average(df, "1 minute", strict=True)
+    if "co_cal" in means.columns:
+        means = override_flag(means, "co_cal", [(None, rules.CO_CAL_START)])
+    return instrument_flags(means, version="v1", polluted=polluted)
+
+
+# zeroes and limits ----------------------------------------------------------
+
+def zero_job_rows(measured: DataFrame) -> DataFrame:
+    """Samples the zero jobs work on: calibrations removed, station known."""
+    flagged = flag_intervals(measured, rules.zero_job_calibration(), "nox_cal")
+    return tag_station(flagged.filter("nox_cal = 0"))
+
+
+def station_zero_table(measured: DataFrame, order: Order, stat: str = "mean",
+                       scan: str = "auto") -> DataFrame:
+    """NO and NO2 zero of each station, the odd cycles left out."""
+    return station_zeroes(zero_job_rows(measured), ["no", "no2"], order,
+                          exclude_stations=rules.ZERO_EXCLUDED_STATIONS,
+                          exclude_ids=rules.ZERO_EXCLUDED_CYCLES, stat=stat, scan=scan)
+
+
+def detection_limits(measured: DataFrame, order: Order, scan: str = "auto") -> DataFrame:
+    """Limits of detection from the long zero cycles."""
+    cycles = zero_cycles(zero_job_rows(measured), "zero_box", order, scan=scan)
+    return lod(only(cycles, "id", rules.LOD_CYCLES), "no", "no2", [*order.series, "id"])
 
 
 # SO2 diagnostics ------------------------------------------------------------

@@ -257,6 +257,9 @@ STACK_CODES = {"no": 0, "ws": 1, "wd": 2, "other_ship": 3, "nox_spike": 4}
 # fixed values: the anemometer was unreliable here
 WS_MASK = ("2022-06-10 06:00", "2022-06-10 12:30")
 
+# fixed value: CO calibration flags before this instant are not believed
+CO_CAL_START = "2022-05-19"
+
 # fixed value: no calibrated CO from here on
 CO_END = "2022-06-22 10:13"
 

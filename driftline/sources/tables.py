@@ -82,14 +82,18 @@ def read_positional(spark: SparkSession, paths: str | Sequence[str],
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", time: str = "date",
-                mode: str = "error") -> None:
+                mode: str = "error", sort_by: Sequence[str] = ()) -> None:
     """Parquet in one folder per day, or CSV with a header and no row names.
 
     Rows are spread by day before writing; a day too large for one task is split.
+    ``sort_by`` orders CSV rows over all part files, Parquet rows within each file.
     """
     if fmt == "csv":
-        (df.write.mode(mode).option("header", True)
+        ordered = df.orderBy(*sort_by) if sort_by else df
+        (ordered.write.mode(mode).option("header", True)
          .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss[.SSSSSS]").csv(path))
         return
     by_day = df.withColumn("day", F.to_date(time)).hint("rebalance", "day")
+    if sort_by:
+        by_day = by_day.sortWithinPartitions("day", *sort_by)
     by_day.write.mode(mode).partitionBy("day").format(fmt).save(path)

@@ -1,7 +1,7 @@
 """Files in and out."""
 
 import os
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,6 +94,17 @@ def test_csv_sink_round_trip(spark, tmp_path):
     assert tables.read_table(spark, path, SCHEMA).collect() == df.collect()
 
 
+def test_csv_sink_in_order(spark, tmp_path):
+    df = spark.createDataFrame([(datetime(2022, 6, 1) + timedelta(hours=(i * 7) % 50),)
+                                for i in range(50)], "date timestamp_ntz").repartition(4)
+    path = str(tmp_path / "sorted")
+    tables.write_table(df, path, "csv", sort_by=["date"])
+    lines = []
+    for part in sorted(p for p in os.listdir(path) if p.endswith(".csv")):
+        lines += open(os.path.join(path, part)).read().split("\n")[1:-1]
+    assert len(lines) == 50 and lines == sorted(lines)
+
+
 def test_parquet_sink_prunes_days(spark, tmp_path):
     df = spark.range(72).select(F.expr(
         "TIMESTAMP_NTZ '2022-06-01' + make_dt_interval(0, cast(id as int), 0, 0)").alias("date"))
