@@ -66,7 +66,12 @@ def bin_means(binned: DataFrame, by: Iterable[str], time: str,
 def pad_bins(df: DataFrame, every: str, by: Iterable[str] = (), time: str = "date") -> DataFrame:
     """Add the missing bins of each series between its first and last bin."""
     by = list(by)
+    step = bin_seconds(every)
+    chunk = step * 1000  # bins are listed a thousand at a time, however long the series
     span = df.groupBy(*by).agg(F.min(time).alias("__lo"), F.max(time).alias("__hi"))
-    bins = span.select(*by, F.explode(F.sequence(
-        "__lo", "__hi", F.expr(f"INTERVAL '{bin_seconds(every)}' SECOND"))).alias(time))
+    chunks = span.withColumn("__lo", F.explode(F.sequence(
+        "__lo", "__hi", F.expr(f"INTERVAL '{chunk}' SECOND"))))
+    last = F.least(F.col("__hi"), F.col("__lo") + F.expr(f"INTERVAL '{chunk - step}' SECOND"))
+    bins = chunks.select(*by, F.explode(F.sequence(
+        F.col("__lo"), last, F.expr(f"INTERVAL '{step}' SECOND"))).alias(time))
     return bins.join(df, [*by, time], "left").select(*df.columns)

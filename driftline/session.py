@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 # Java compiles no method above 8000 bytes of code, and compiles long ones badly. Spark
 # then does better with its split projections than with one large generated loop;
 # rule sets run several times faster this way.
-_RUNTIME = {"spark.sql.codegen.hugeMethodLimit": "4000"}
+_RUNTIME = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.codegen.hugeMethodLimit": "4000",
+}
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -32,7 +35,6 @@ def build_session(app_name: str = "driftline", master: str | None = None,
     if master:
         builder = builder.master(master)
     settings = {
-        "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
