@@ -13,8 +13,8 @@ How a frame is cut is decided by :func:`slice_series` from measured row counts:
 ``range``   equal shares of the total order, frozen in a staged table; bounded
             even when most rows share one hour or one instant
 
-Later rules of thumb: frames never run to "unbounded following" (quadratic in
-Spark); looking ahead is a descending window looking back.
+No frame runs to "unbounded following", which is quadratic in Spark: looking ahead
+is a descending window looking back.
 """
 
 from __future__ import annotations
