@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from driftline.llm import decontaminate, exact_dedup, licenses, mixing, packing, pii
+from driftline.llm import (decontaminate, exact_dedup, language, licenses, mixing, packing, pii,
+                           simhash, toxicity)
 from driftline.llm.common import table
 
 
@@ -14,6 +15,19 @@ def op2_mix_sources(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op3_language(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op5_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark, sf_dir):
+    return toxicity.grade_toxicity(table(spark, sf_dir, "documents"),
+                                   table(spark, sf_dir, "labels"))
+
+
 def op7_decontaminate(spark, sf_dir):
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"),
                                        table(spark, sf_dir, "benchmark"))
@@ -34,6 +48,9 @@ def op10_pack_tokens(spark, sf_dir):
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mix_sources": op2_mix_sources,
+    "op3_language": op3_language,
+    "op5_simhash": op5_simhash,
+    "op6_toxicity": op6_toxicity,
     "op7_decontaminate": op7_decontaminate,
     "op8_licenses": op8_licenses,
     "op9_pii": op9_pii,
