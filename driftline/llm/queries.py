@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from driftline.llm import (decontaminate, exact_dedup, language, licenses, mixing, packing, pii,
-                           simhash, toxicity)
+                           simhash, suffix_dedup, toxicity)
 from driftline.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op3_language(spark, sf_dir):
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mix_sources": op2_mix_sources,
     "op3_language": op3_language,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_simhash": op5_simhash,
     "op6_toxicity": op6_toxicity,
     "op7_decontaminate": op7_decontaminate,
