@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,3 +84,18 @@ def per_text(docs: DataFrame, id_column: str, text_column: str,
     schema = T.StructType([T.StructField("__id", rows.schema["__id"].dataType), *[
         T.StructField(n, T._parse_datatype_string(k)) for n, k in fields.items()]])
     return rows.mapInArrow(run, schema).withColumnRenamed("__id", id_column)
+
+
+def with_answer(docs: DataFrame, column: str, text_column: str,
+                prepare: Callable[[], Callable[[bytes | None], tuple]],
+                fields: dict[str, str]) -> DataFrame:
+    """``docs`` with a struct column of ``fields`` from the text; other columns stay in the JVM."""
+    names = list(fields)
+
+    def answers(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        of = prepare()
+        for part in texts:
+            yield pd.DataFrame([of(x) for x in part], columns=names)
+
+    answer = F.pandas_udf(answers, ", ".join(f"{k} {v}" for k, v in fields.items()))
+    return docs.withColumn(column, answer(F.col(text_column).cast("binary")))

@@ -9,11 +9,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import WORD_BYTES, per_text, words_of
+from driftline.llm.common import WORD_BYTES, per_text, with_answer, words_of
 
 WINDOW = 13
 #: Bytes of benchmark text that may be broadcast; a larger benchmark is joined instead.
-MAX_BROADCAST_BYTES = 64 << 20
+MAX_BROADCAST_BYTES = 4 << 20
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _MIX = 0x9E3779B97F4A7C15
 
@@ -102,11 +102,37 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     The benchmark is broadcast as a hash set if its texts come to ``max_broadcast_bytes``
     at most, and no exchange takes place; otherwise :func:`decontaminate_by_join` runs.
     """
-    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > max_broadcast_bytes:
+    judge = _judge(docs, benchmark, window, with_text, max_broadcast_bytes)
+    if judge is None:
         if with_text:
             raise ValueError("cleaned texts need a benchmark within max_broadcast_bytes")
         return decontaminate_by_join(docs, benchmark, window, id_column, text_column)
+    fields = _FIELDS if with_text else {k: v for k, v in _FIELDS.items() if k != "cleaned_text"}
+    return per_text(docs, id_column, text_column, judge, fields, keep_null=True)
+
+
+def annotate(docs: DataFrame, benchmark: DataFrame, column: str, window: int = WINDOW,
+             text_column: str = "text",
+             max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """``docs`` with a boolean column: whether the text is contaminated."""
+    judge = _judge(docs, benchmark, window, False, max_broadcast_bytes)
+    if judge is not None:
+        fields = {k: v for k, v in _FIELDS.items() if k != "cleaned_text"}
+        return (with_answer(docs, column, text_column, judge, fields)
+                .withColumn(column, F.col(column).getField("contaminated")))
+    keyed = docs.withColumn("__key", F.sha2(F.coalesce(text_column, F.lit("")), 256))
+    texts = keyed.groupBy("__key").agg(F.first(text_column).alias("__body"))
+    told = decontaminate_by_join(texts, benchmark, window, "__key", "__body")
+    return (keyed.join(told.select("__key", F.col("contaminated").alias(column)), "__key")
+            .drop("__key"))
+
+
+def _judge(docs: DataFrame, benchmark: DataFrame, window: int, with_text: bool,
+           max_broadcast_bytes: int):
+    """What prepares a task for judging texts; None if the benchmark is too large to broadcast."""
+    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > max_broadcast_bytes:
+        return None
     items = benchmark.select("item_id", F.col("text").cast("binary")).collect()
     windows = item_windows(((r[0], bytes(r[1]) if r[1] is not None else None) for r in items),
                            window)
@@ -135,8 +161,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
         return judge
 
-    fields = _FIELDS if with_text else {k: v for k, v in _FIELDS.items() if k != "cleaned_text"}
-    return per_text(docs, id_column, text_column, prepare, fields, keep_null=True)
+    return prepare
 
 
 def _word_list(column):

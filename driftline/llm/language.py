@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import per_text
+from driftline.llm.common import per_text, with_answer
 from driftline.llm.folds import HELD_OUT, drawn, fold
 
 WINDOW = 256
@@ -205,13 +205,7 @@ def classify(net: Network, data: bytes, most: int = 512) -> tuple[str, float]:
     return net.languages[best], float(min(1.0, total[best]))
 
 
-def predict(docs: DataFrame, net: Network | None, id_column: str = "doc_id",
-            text_column: str = "text") -> DataFrame:
-    """id, lang_pred, score of every row; ``und`` and 0 for texts without a letter.
-
-    The whole text is read in windows of 256 bytes; nothing but the text is looked at.
-    Short texts share batches of windows with their neighbours.
-    """
+def _classifier(docs: DataFrame, net: Network | None):
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def prepare():
@@ -224,7 +218,24 @@ def predict(docs: DataFrame, net: Network | None, id_column: str = "doc_id",
 
         return of
 
-    return per_text(docs, id_column, text_column, prepare,
+    return prepare
+
+
+def annotate(docs: DataFrame, net: Network | None, column: str,
+             text_column: str = "text") -> DataFrame:
+    """``docs`` with a struct column: lang_pred and score of the text, as in :func:`predict`."""
+    return with_answer(docs, column, text_column, _classifier(docs, net),
+                       {"lang_pred": "string", "score": "double"})
+
+
+def predict(docs: DataFrame, net: Network | None, id_column: str = "doc_id",
+            text_column: str = "text") -> DataFrame:
+    """id, lang_pred, score of every row; ``und`` and 0 for texts without a letter.
+
+    The whole text is read in windows of 256 bytes; nothing but the text is looked at.
+    Short texts share batches of windows with their neighbours.
+    """
+    return per_text(docs, id_column, text_column, _classifier(docs, net),
                     {"lang_pred": "string", "score": "double"}, keep_null=True)
 
 

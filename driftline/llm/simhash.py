@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import cut, per_text
+from driftline.llm.common import cut, per_text, with_answer
 from driftline.llm.components import components
 
 SHINGLE = 3
@@ -49,13 +49,17 @@ def fingerprint(data: bytes | None, size: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                  size: int = SHINGLE) -> DataFrame:
     """id and ``fp`` (the fingerprint as a signed long) of every row."""
+    return per_text(docs, id_column, text_column, _signed_fingerprint(size), {"fp": "long"})
+
+
+def _signed_fingerprint(size: int):
     def prepare():
         def of(data):
             value = fingerprint(data, size)
             return (value - (1 << 64) if value >> 63 else value,)
         return of
 
-    return per_text(docs, id_column, text_column, prepare, {"fp": "long"})
+    return prepare
 
 
 def within(values: np.ndarray, most: int, references: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,7 +232,37 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     told = known.join(found, known["fp"] == found["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     per_root = told.groupBy("root").agg(F.min("least").alias("component_id"))
-    per_fp = told.join(per_root, "root").select("fp", "component_id")
+    per_fp = told.join(per_root, "root").select("fp", "root", "component_id")
     return rows.join(per_fp, "fp").select(
-        F.col("__id").alias(id_column), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        "component_id")
+        F.col("__id").alias(id_column), _hex("fp").alias("fingerprint"), "component_id",
+        _hex("root").alias("root"))
+
+
+def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay when one of each component does.
+
+    It is the row with the smallest id; of rows that share that id, and of a component
+    without ids, the one with the least text hash.
+    """
+    groups, columns = near_duplicates(docs, id_column, text_column), docs.columns
+    tie = F.xxhash64(F.coalesce(F.col(text_column), F.lit("")))
+
+    def one(rows, key):
+        return rows.groupBy(key).agg(F.min_by(F.struct(*columns), tie).alias("__row")).select(
+            *[F.col("__row").getField(c).alias(c) for c in columns])
+
+    keep = groups.where("component_id is not null").select(
+        F.col("component_id").alias("__keep")).distinct()
+    named = one(docs.join(keep, docs[id_column] == keep["__keep"], "left_semi")
+                .withColumn("__group", F.col(id_column)), "__group")
+    bare = groups.where("component_id is null").select(
+        F.conv("fingerprint", 16, -10).cast("long").alias("__fp"), F.col("root").alias("__group")
+    ).distinct()
+    without = with_answer(docs.where(F.col(id_column).isNull()), "__found", text_column,
+                          _signed_fingerprint(SHINGLE), {"fp": "long"})
+    without = without.withColumn("__fp", F.col("__found.fp")).join(bare, "__fp")
+    return named.unionByName(one(without, "__group"))
+
+
+def _hex(column: str):
+    return F.lower(F.lpad(F.hex(column), 16, "0"))

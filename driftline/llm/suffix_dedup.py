@@ -24,6 +24,7 @@ document with a smaller id.
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -263,16 +264,18 @@ def front_coded(ids, tags, place, right, left, after, before) -> bytes:
     steps = np.arange(after.shape[1])
     tails = after[(steps >= shared[:, None]) & (steps < right[:, None])]
     heads = before[np.arange(before.shape[1]) < left[:, None]]
-    return b"".join([np.int64(len(ids)).tobytes(), ids.tobytes(), tags.tobytes(),
-                     place.astype(np.int32).tobytes(), shared.astype(np.uint8).tobytes(),
-                     right.astype(np.uint8).tobytes(), left.astype(np.uint8).tobytes(),
-                     tails.tobytes(), heads.tobytes()])
+    return zlib.compress(b"".join([
+        np.int64(len(ids)).tobytes(), ids.tobytes(), tags.tobytes(),
+        place.astype(np.int32).tobytes(), shared.astype(np.uint8).tobytes(),
+        right.astype(np.uint8).tobytes(), left.astype(np.uint8).tobytes(),
+        tails.tobytes(), heads.tobytes()]), 1)
 
 
 class Run:
     """A run read back: suffixes as padded strings with the prefix shared with the one before."""
 
     def __init__(self, blob: bytes):
+        blob = zlib.decompress(blob)
         n, at = int(np.frombuffer(blob, np.int64, 1)[0]), 8
 
         def take(kind, count=n):
