@@ -241,8 +241,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay when one of each component does.
 
-    It is the row with the smallest id; of rows that share that id, and of a component
-    without ids, the one with the least text hash.
+    It is the row with the smallest id. Rows that share an id are one document: the one
+    with the least text hash stands for it, and of a component without ids the one with
+    the least text hash stays.
     """
     groups, columns = near_duplicates(docs, id_column, text_column), docs.columns
     tie = F.xxhash64(F.coalesce(F.col(text_column), F.lit("")))
