@@ -6,8 +6,10 @@ import hashlib
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,13 +61,23 @@ ARROW = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(),
          "boolean": pa.bool_(), "binary": pa.binary(), "int": pa.int32()}
 
 
+def pieces_of(batch: pa.RecordBatch, text: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of rows with some ``most`` bytes of text each, one row at least."""
+    column = batch.column(text)
+    sizes = np.asarray(pc.binary_length(column).fill_null(0)).astype(np.int64)
+    group = np.cumsum(sizes) // most
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+    for lo, hi in zip(cuts, cuts[1:]):
+        yield batch.slice(lo, hi - lo)
+
+
 def per_text(docs: DataFrame, id_column: str, text_column: str,
              prepare: Callable[[], Callable[[bytes | None], tuple]],
              fields: dict[str, str], keep_null: bool = False) -> DataFrame:
     """Id and ``fields`` of every row, from a function of the text's UTF-8 bytes.
 
     ``prepare`` runs once in each task and returns the function. No exchange; a task
-    holds one Arrow batch of texts at a time.
+    holds one Arrow batch of texts at a time and works on a small slice of it.
     """
     text = F.col(text_column) if keep_null else whole_text(text_column)
     rows = docs.select(F.col(id_column).alias("__id"), text.cast("binary").alias("__text"))
@@ -74,7 +86,7 @@ def per_text(docs: DataFrame, id_column: str, text_column: str,
 
     def run(batches):
         of = prepare()
-        for batch in batches:
+        for batch in (x for whole in batches for x in pieces_of(whole, 1)):
             found = [of(x) for x in batch.column(1).to_pylist()]
             columns = list(zip(*found)) if found else [()] * len(names)
             yield pa.RecordBatch.from_arrays(

@@ -194,7 +194,7 @@ def windows_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return windows, lengths
 
 
-def classify(net: Network, data: bytes, most: int = 512) -> tuple[str, float]:
+def classify(net: Network, data: bytes, most: int = 64) -> tuple[str, float]:
     """The language with the largest mean probability over the text's bytes, and that mean."""
     windows, lengths = windows_of(data)
     total = np.zeros(len(net.languages))

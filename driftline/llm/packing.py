@@ -10,14 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import whole_text
+from driftline.llm.common import pieces_of, whole_text
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the splitting pattern of the public vocabulary.
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 SEQUENCE = 2048
 SHARD_BYTES = 8 << 20
-_CACHE_ENTRIES = 300_000
+_CACHE_ENTRIES = 100_000
 
 
 def read_ranks(spark, path: str) -> dict[bytes, int]:
@@ -135,7 +135,7 @@ def token_pieces(docs: DataFrame, ranks: dict[bytes, int], sequence: int, shards
 
     def run(batches):
         encoder = Encoder(shared.value)
-        for batch in batches:
+        for batch in (x for whole in batches for x in pieces_of(whole, 1)):
             out: list[list] = [[], [], [], [], []]
             for i, (text, tie) in enumerate(zip(batch.column(1).to_pylist(),
                                                 batch.column(2).to_pylist())):

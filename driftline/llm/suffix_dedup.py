@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import whole_text
+from driftline.llm.common import pieces_of, whole_text
 
 LENGTH = 50
 GRAM = 16
@@ -95,8 +95,8 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def chunks(batches):
-    """Ids, tags, texts laid end to end and their ends, some CHUNK_BYTES at a time."""
-    for batch in batches:
+    """Lists of rows (id, tag, text, ...) with some CHUNK_BYTES of text each."""
+    for batch in (x for whole in batches for x in pieces_of(whole, 2)):
         rows, size = [], 0
         columns = [c.to_pylist() for c in batch.columns]
         for row in zip(*columns):
