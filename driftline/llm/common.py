@@ -71,6 +71,12 @@ def pieces_of(batch: pa.RecordBatch, text: int, most: int = 2 << 20) -> Iterator
         yield batch.slice(lo, hi - lo)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts may be long: rows go to Python a few megabytes at a time, not 10,000 at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def per_text(docs: DataFrame, id_column: str, text_column: str,
              prepare: Callable[[], Callable[[bytes | None], tuple]],
              fields: dict[str, str], keep_null: bool = False) -> DataFrame:
@@ -79,6 +85,7 @@ def per_text(docs: DataFrame, id_column: str, text_column: str,
     ``prepare`` runs once in each task and returns the function. No exchange; a task
     holds one Arrow batch of texts at a time and works on a small slice of it.
     """
+    small_batches(docs.sparkSession)
     text = F.col(text_column) if keep_null else whole_text(text_column)
     rows = docs.select(F.col(id_column).alias("__id"), text.cast("binary").alias("__text"))
     names = list(fields)
@@ -102,6 +109,7 @@ def with_answer(docs: DataFrame, column: str, text_column: str,
                 prepare: Callable[[], Callable[[bytes | None], tuple]],
                 fields: dict[str, str]) -> DataFrame:
     """``docs`` with a struct column of ``fields`` from the text; other columns stay in the JVM."""
+    small_batches(docs.sparkSession)
     names = list(fields)
 
     def answers(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import base64
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import pieces_of, whole_text
+from driftline.llm.common import pieces_of, small_batches, whole_text
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the splitting pattern of the public vocabulary.
@@ -18,6 +19,7 @@ PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 SEQUENCE = 2048
 SHARD_BYTES = 8 << 20
 _CACHE_ENTRIES = 100_000
+_ENCODERS: dict[str, Encoder] = {}
 
 
 def read_ranks(spark, path: str) -> dict[bytes, int]:
@@ -127,14 +129,19 @@ def token_pieces(docs: DataFrame, ranks: dict[bytes, int], sequence: int, shards
                  id_column: str, text_column: str) -> DataFrame:
     """Pieces of at most ``sequence`` ids of every document, dealt to shards one by one."""
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(ranks)
+    mark = uuid.uuid4().hex
     rows = docs.select(F.col(id_column).alias("doc_id"), whole_text(text_column).alias("text"),
                        F.xxhash64(id_column, text_column).alias("tie"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     step = 2 * sequence
 
     def run(batches):
-        encoder = Encoder(shared.value)
+        encoder = _ENCODERS.get(mark)
+        if encoder is None:  # one for all tasks of a worker
+            _ENCODERS.clear()
+            encoder = _ENCODERS[mark] = Encoder(shared.value)
         for batch in (x for whole in batches for x in pieces_of(whole, 1)):
             out: list[list] = [[], [], [], [], []]
             for i, (text, tie) in enumerate(zip(batch.column(1).to_pylist(),

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import pieces_of, whole_text
+from driftline.llm.common import pieces_of, small_batches, whole_text
 
 LENGTH = 50
 GRAM = 16
@@ -458,6 +458,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     Ids are numbers above the least long. A text that a smaller id has as a whole is settled by its SHA-256 and takes no part in
     the search. The exchange that carries texts, by id, is used by all three passes.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(_NO_ID)).alias("d"),
                        whole_text(text_column).alias("text"))
     rows = rows.withColumn("sha", F.coalesce(F.unhex(F.sha2("text", 256)), F.lit(b"")))

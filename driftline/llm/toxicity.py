@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import per_text, whole_text, words_of
+from driftline.llm.common import per_text, small_batches, whole_text, words_of
 from driftline.llm.folds import HELD_OUT, drawn, fold
 
 #: Bounds of the training sample and of the model.
@@ -151,6 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     Labels tell toxic from not; severity grades above 0 come from how large a share of a
     toxic text's words carries a selected feature, in equal parts of the sample.
     """
+    small_batches(docs.sparkSession)
     ids = _sample(docs, labels, each, held_out)
     if ids is None:
         return None
