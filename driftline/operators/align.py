@@ -22,8 +22,8 @@ def align_full(tables: Sequence[DataFrame], on: Iterable[str] = ("date",),
     """Every instant of any table. Value columns must differ between tables.
 
     A repeated key multiplies rows, as a fold of full joins does. With ``unique``
-    the caller vouches that no table repeats a key (averages never do); the fold
-    then becomes one aggregation that shuffles every table once.
+    no table may repeat a key (averages never do); the fold then becomes one
+    aggregation that shuffles every table once, and a repeated key is an error.
     """
     keys = list(on)
     if not unique:
@@ -31,5 +31,10 @@ def align_full(tables: Sequence[DataFrame], on: Iterable[str] = ("date",),
     values = [c for t in tables for c in t.columns if c not in keys]
     if len(values) != len(set(values)):
         raise ValueError("the tables share value columns")
-    stacked = bind_rows(*tables)
-    return stacked.groupBy(*keys).agg(*[F.max(c).alias(c) for c in values])
+    stacked = bind_rows(*[t.withColumn("__table", F.lit(i)) for i, t in enumerate(tables)])
+    rows = [F.sum(F.when(F.col("__table") == i, 1).otherwise(0)) for i in range(len(tables))]
+    most = F.greatest(*rows, F.lit(0))
+    once = F.when(F.col("__most") > 1, F.raise_error(F.lit("a table repeats a key")).cast("boolean")
+                  ).otherwise(F.lit(True))
+    return (stacked.groupBy(*keys).agg(most.alias("__most"), *[F.max(c).alias(c) for c in values])
+            .filter(once).drop("__most"))

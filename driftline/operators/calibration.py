@@ -46,10 +46,3 @@ def calibration_response(df: DataFrame, channel: str, status: str, order: Order,
     return group_mean(trimmed.withColumnRenamed("run_id", "id"),
                       [*order.series, "id"], [channel])
 
-
-def calibration_runs(df: DataFrame, status: str, order: Order,
-                     keys: Iterable[str] = (), scan: str = "auto") -> DataFrame:
-    """Rows inside calibration runs with the number of their run."""
-    numbered = _runs(slice_series(df, order, scan), status, 1).df.filter("run_id > 0")
-    numbered = numbered.withColumn("id", F.col("run_id"))
-    return _drop_run_columns(numbered).drop("__slice").select(*(keys or ["*"]))

@@ -85,7 +85,10 @@ def _bracketed_median(df: DataFrame, keys: list[str], col: str) -> DataFrame:
     middle = ranked.groupBy(*keys).agg(
         F.max(F.when(covers(low_rank), F.col("x"))).alias("a"),
         F.max(F.when(covers(high_rank), F.col("x"))).alias("b"))
-    return middle.select(*keys, ((F.col("a") + F.col("b")) / 2).alias(col))
+    missed = F.raise_error(F.lit(f"the bracket misses a middle rank of {col}")).cast("double")
+    value = F.when(F.col("a").isNull() | F.col("b").isNull(), missed).otherwise(
+        (F.col("a") + F.col("b")) / 2)
+    return middle.select(*keys, value.alias(col))
 
 
 def distinct_stats(df: DataFrame, cols: Iterable[str], keys: Iterable[str] = ()) -> DataFrame:

@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timedelta
+from heapq import heappop, heappush
 from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -19,6 +20,8 @@ from pyspark.sql.types import (DateType, IntegerType, StringType, StructField, S
                                TimestampNTZType)
 
 CHAIN_LIMIT = 200
+#: Day rows of a rule table that may be broadcast, well below 10 MB; a larger one is joined.
+BROADCAST_ROWS = 50_000
 _TICK = timedelta(microseconds=1)
 
 
@@ -64,22 +67,24 @@ def check_rules(rules: Iterable[Rule]) -> list[str]:
     return found
 
 
-def _literal(value) -> str:
+def _literal(value, text: bool = False) -> str:
     if value is None:
         return "NULL"
+    value = str(value) if text else value
     return str(value) if isinstance(value, int) else "'" + value.replace("'", "\\'") + "'"
 
 
-def _bisect(parts: Sequence[tuple], time: str) -> str:
+def _bisect(parts: Sequence[tuple], time: str, text: bool) -> str:
     """SQL finding the stretch an instant lies in by halving the list of stretches."""
     if len(parts) == 1:
-        return _literal(parts[0][1])
+        return _literal(parts[0][1], text)
     middle = len(parts) // 2
     return (f"CASE WHEN `{time}` < TIMESTAMP_NTZ '{parts[middle][0]}' "
-            f"THEN {_bisect(parts[:middle], time)} ELSE {_bisect(parts[middle:], time)} END")
+            f"THEN {_bisect(parts[:middle], time, text)} "
+            f"ELSE {_bisect(parts[middle:], time, text)} END")
 
 
-def _interval_sql(rules: Sequence[Interval], time: str) -> str:
+def _interval_sql(rules: Sequence[Interval], time: str, text: bool) -> str:
     """Label of the first matching interval, or NULL.
 
     The intervals are resolved to stretches that follow each other without gaps, so
@@ -96,30 +101,51 @@ def _interval_sql(rules: Sequence[Interval], time: str) -> str:
         stretches.append((reached, None))
     if not stretches:
         return "NULL"
-    return f"CASE WHEN `{time}` IS NOT NULL THEN {_bisect(stretches, time)} END"
+    return f"CASE WHEN `{time}` IS NOT NULL THEN {_bisect(stretches, time, text)} END"
+
+
+def _as_text(rules: Sequence[Rule], default) -> bool:
+    """Labels are text if one of them is, whatever the form and the length of the list."""
+    return any(isinstance(x, str) for x in [default, *(r.label for r in rules)])
+
+
+def _value_sql(rules: Sequence[Value], text: bool) -> str:
+    branches = " ".join(f"WHEN {r.condition} THEN {_literal(r.label, text)}" for r in rules)
+    return f"CASE {branches} END"
 
 
 def rule_column(rules: Sequence[Rule], default=None, time: str = "date") -> Column:
     """First matching rule wins; unknown conditions do not match."""
-    choices = []
-    for is_interval, group in groupby(rules, lambda r: isinstance(r, Interval)):
-        group = list(group)
-        if is_interval:
-            choices.append(_interval_sql(group, time))
-        else:
-            branches = " ".join(f"WHEN {r.condition} THEN {_literal(r.label)}" for r in group)
-            choices.append(f"CASE {branches} END")
-    return F.expr(f"coalesce({', '.join([*choices, _literal(default)])})")
+    text = _as_text(rules, default)
+    choices = [_interval_sql(list(group), time, text) if is_interval
+               else _value_sql(list(group), text)
+               for is_interval, group in groupby(rules, lambda r: isinstance(r, Interval))]
+    return F.expr(f"coalesce({', '.join([*choices, _literal(default, text)])})")
 
 
 def tag_intervals(df: DataFrame, rules: Sequence[Rule], out: str, default=None,
                   time: str = "date", limit: int = CHAIN_LIMIT) -> DataFrame:
-    """Add the label of the first rule that matches each row."""
+    """Add the label of the first rule that matches each row.
+
+    A list means the same at every length: stretches of more than ``limit`` intervals
+    are looked up in a table, the rest are conditions, and the first match wins.
+    """
     if len(rules) <= limit:
         return df.withColumn(out, rule_column(rules, default, time))
-    if any(isinstance(r, Value) for r in rules):
-        raise ValueError("value rules need the conditional form; split them off first")
-    return _tag_by_segments(df, rules, out, default, time)
+    text, choices, scratch = _as_text(rules, default), [], []
+    for number, (is_interval, group) in enumerate(
+            groupby(rules, lambda r: isinstance(r, Interval))):
+        group = list(group)
+        if not is_interval:
+            choices.append(_value_sql(group, text))
+        elif len(group) <= limit:
+            choices.append(_interval_sql(group, time, text))
+        else:
+            scratch.append(f"__rules_{number}")
+            df = _tag_by_segments(df, group, scratch[-1], None, time, text)
+            choices.append(f"`{scratch[-1]}`")
+    label = F.expr(f"coalesce({', '.join([*choices, _literal(default, text)])})")
+    return df.withColumn(out, label).drop(*scratch)
 
 
 def flag_intervals(df: DataFrame, rules: Sequence[Rule], out: str, time: str = "date",
@@ -138,14 +164,18 @@ def segments(rules: Sequence[Interval]) -> list[tuple[datetime | None, datetime
         starts.setdefault(lo or low, []).append(rank)
         ends.setdefault(hi or high, []).append(rank)
     cuts = sorted({*starts, *ends})
-    active: set[int] = set()
+    active: list[int] = []  # a heap; rules that have ended leave it when they come up
+    ended: set[int] = set()
     out: list[tuple] = []
     for lo, hi in zip(cuts, cuts[1:]):
-        active.update(starts.get(lo, ()))
-        active.difference_update(ends.get(lo, ()))
+        for rank in starts.get(lo, ()):
+            heappush(active, rank)
+        ended.update(ends.get(lo, ()))
+        while active and active[0] in ended:
+            heappop(active)
         if not active:
             continue
-        label = spans[min(active)][2]
+        label = spans[active[0]][2]
         if out and out[-1][1] == lo and out[-1][2] == label:
             out[-1] = (out[-1][0], hi, label)
         else:
@@ -155,8 +185,10 @@ def segments(rules: Sequence[Interval]) -> list[tuple[datetime | None, datetime
 
 
 def _tag_by_segments(df: DataFrame, rules: Sequence[Interval], out: str, default,
-                     time: str) -> DataFrame:
+                     time: str, text: bool) -> DataFrame:
     parts = segments(rules)
+    if text:
+        parts = [(lo, hi, str(label)) for lo, hi, label in parts]
     instant = F.col(time)
     # the two unbounded segments are plain conditions, the others are looked up by day
     open_ended = [Interval(None if lo is None else str(lo - _TICK),
@@ -171,6 +203,9 @@ def _tag_by_segments(df: DataFrame, rules: Sequence[Interval], out: str, default
         StructField("__label", IntegerType() if number else StringType())])
     table = df.sparkSession.createDataFrame(bounded, schema).select(
         F.explode(F.sequence("__first", "__last")).alias("__day"), "__lo", "__hi", "__label")
+    # the list is on the driver, so the rows it makes are known before it is sent
+    if sum((last - first).days + 1 for first, last, *_ in bounded) <= BROADCAST_ROWS:
+        table = F.broadcast(table)
     match = (F.to_date(instant) == F.col("__day")) & (instant >= F.col("__lo")) \
         & (instant < F.col("__hi"))
     joined = df.join(table, match, "left")

@@ -102,11 +102,13 @@ def _snake(name: str) -> str:
 
 def clean_names(df: DataFrame) -> DataFrame:
     """Unique snake_case names; repeats get ``_2``, ``_3``, ..."""
-    seen: dict[str, int] = {}
-    names = []
+    names: list[str] = []
     for name in map(_snake, df.columns):
-        seen[name] = seen.get(name, 0) + 1
-        names.append(name if seen[name] == 1 else f"{name}_{seen[name]}")
+        number, free = 1, name
+        while free in names:
+            number += 1
+            free = f"{name}_{number}"
+        names.append(free)
     return df.toDF(*names)
 
 

@@ -25,6 +25,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from driftline.functions.times import day_number, epoch_seconds, hour_number
+from driftline.operators.groups import join_on
 from driftline.session import stage
 
 MAX_SLICE_ROWS = 2_000_000
@@ -38,7 +39,7 @@ _BEFORE_TIME = -2_147_483_648  # slice of rows without an instant: they sort fir
 class Order:
     """What makes a frame a series: its keys, its instant and the tie-breakers.
 
-    ``series`` columns hold no NULL; ``(series, time, ties)`` is unique.
+    A NULL in a ``series`` column is a key like any other; ``(series, time, ties)`` is unique.
     """
 
     time: str = "date"
@@ -170,7 +171,7 @@ def _running_sum(sliced: Sliced, amount: Column, out: str) -> Sliced:
     sums = df.groupBy(*sliced.keys).agg(F.sum("__a").alias("__a"))
     carry = _Carry(sliced)
     prior = sums.select(*sliced.keys, F.sum("__a").over(_before(carry.forward)).alias("__p"))
-    joined = local.join(prior, sliced.keys, "left")
+    joined = join_on(local, prior, sliced.keys, "left")
     total = F.when(F.col("__s").isNotNull() | F.col("__p").isNotNull(),
                    F.coalesce("__s", F.lit(0)) + F.coalesce("__p", F.lit(0)))
     return sliced.with_df(joined.withColumn(out, total).drop("__a", "__s", "__p"))
@@ -202,7 +203,7 @@ def _previous(sliced: Sliced, cols: Sequence[str], prefix: str = "__prev_") -> S
             F.max_by(row, F.struct(*sliced.order.by)).alias("__t"))
         carried = last.select(
             *sliced.keys, F.lag("__t").over(_Carry(sliced).forward).alias("__c"))
-        local = local.join(carried, sliced.keys, "left").withColumn(
+        local = join_on(local, carried, sliced.keys, "left").withColumn(
             "__l", F.coalesce("__l", "__c")).drop("__c")
     out = local.withColumns({prefix + c: F.col("__l").getField(c) for c in cols})
     return sliced.with_df(out.drop("__l"))
@@ -236,7 +237,7 @@ def locf(df: DataFrame, cols: str | Iterable[str], order: Order, suffix: str = "
         carry = _Carry(sliced)
         carried = last.select(*sliced.keys, *[
             carry.last_before(f"__t_{c}").alias(f"__c_{c}") for c in cols])
-        local = local.join(carried, sliced.keys, "left")
+        local = join_on(local, carried, sliced.keys, "left")
         filled = {c + suffix: F.coalesce(f"__f_{c}", f"__c_{c}") for c in cols}
     else:
         filled = {c + suffix: F.col(f"__f_{c}") for c in cols}
@@ -279,7 +280,7 @@ def _interpolate(sliced: Sliced, cols: Sequence[str], x: str, suffix: str) -> Sl
             *sliced.keys, "__off",
             *[carry.last_before(moved(f"__hi_{c}")).alias(f"__cb_{c}") for c in cols],
             *[carry.first_after(moved(f"__lo_{c}")).alias(f"__cn_{c}") for c in cols])
-        local = local.join(state, sliced.keys, "left")
+        local = join_on(local, state, sliced.keys, "left")
         local = local.withColumns({
             name: F.coalesce(moved(name), F.col(name.replace("__b_", "__cb_", 1)
                                                 .replace("__n_", "__cn_", 1)))
@@ -387,7 +388,7 @@ def _runs(sliced: Sliced, col: str, value) -> Sliced:
             carry.total_before(F.col("tno") + one("__th")).alias("__tno0"),
             carry.last_before(hi).alias("__s0"), carry.last_before(thi).alias("__ts0"),
             carry.first_after(lo).alias("__e0"), carry.first_after(tlo).alias("__te0"))
-        local = local.join(state, sliced.keys, "left")
+        local = join_on(local, state, sliced.keys, "left")
     else:
         everything = Window.partitionBy(*sliced.keys)
         zero, none, no = F.lit(0).cast("bigint"), F.lit(None).cast("bigint"), F.lit(False)

@@ -117,10 +117,17 @@ def qc_mask(df: DataFrame, spec: Mapping[str, Sequence[str]] | None = None,
     return mask(df, spec or rules.QC_MASK, null_flag)
 
 
-def qc_mask_older(df: DataFrame) -> DataFrame:
-    """Earlier masking: rows stay, an unknown flag nulls the value, SO2 is masked."""
-    spec = {value: tuple(f for f in flags if f in df.columns)
+def qc_mask_older(df: DataFrame, skip: Iterable[str] = ()) -> DataFrame:
+    """Earlier masking: rows stay, an unknown flag nulls the value, SO2 is masked.
+
+    A flag that a present value depends on has to be there too, unless ``skip`` names it.
+    """
+    skip = set(skip)
+    spec = {value: tuple(f for f in flags if f not in skip)
             for value, flags in rules.OLDER_QC_MASK.items() if value in df.columns}
+    absent = {f for flags in spec.values() for f in flags} - set(df.columns)
+    if absent:
+        raise ValueError(f"no such flags: {sorted(absent)}")
     return qc_mask(df, spec, drop_flag=None, null_flag="drop")
 
 

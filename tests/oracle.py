@@ -63,7 +63,7 @@ def main():
     from driftline.session import build_session
     from __spark_entry__ import oracle_sql, queries
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    chosen = sys.argv[2:] or list(queries())
+    chosen = sys.argv[2:] or [n for n in queries() if n in oracle_sql()]
     spark = build_session("oracle", master="local[8]", shuffle_partitions=8,
                           **{"spark.ui.enabled": "false", "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")

@@ -20,7 +20,7 @@ def duck():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", [n for n in contract.queries() if n in contract.oracle_sql()])
 def test_query(spark, duck, name):
     problem = compare(contract.queries()[name](spark, SF), duck, contract.oracle_sql()[name])
     assert problem is None

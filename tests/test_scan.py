@@ -196,3 +196,22 @@ def test_rows_without_an_instant_are_kept(spark):
         got = [r.idx for r in S.with_position(df, Order(ties=("k",)), scan=scan)
                .orderBy("k").collect()]
         assert got == [1, 2, 3], scan
+
+
+def test_null_series_is_one_series_under_every_cut(spark):
+    rows = [(None if i % 3 else "s", datetime(2022, 1, 1 + i // 5, i % 24), i, i % 2)
+            for i in range(24)]
+    df = spark.createDataFrame(rows, "s string, date timestamp_ntz, v int, status int")
+    order = Order(time="date", ties=("v",), series=("s",))
+    sparse = df.withColumn("v2", F.expr("if(v % 4 = 1, v, null)"))
+
+    def found(cut):
+        frames = [S.with_position(df, order, scan=cut).select("v", "idx"),
+                  S.locf(sparse, "v2", order, scan=cut).select("v", "v2"),
+                  S.diff(df, "v", order, scan=cut).select("v", "diff"),
+                  S.interpolate(sparse, "v2", order, scan=cut).select("v", "v2"),
+                  S.running_sum(df, F.col("v"), "t", order, scan=cut).select("v", "t")]
+        return [sorted(map(tuple, f.collect())) for f in frames]
+
+    whole = found("series")
+    assert all(found(cut) == whole for cut in ("day", "hour", "range"))

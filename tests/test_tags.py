@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftline.functions import cond
-from driftline.operators import intervals, rows
+from driftline.operators import align, intervals, rows
 from driftline.operators.intervals import Interval, Value
 from driftline.plans import products, rules
 
@@ -96,10 +96,20 @@ def test_segments_give_the_same_labels_as_the_chain(spark):
     assert table.count() == len(dates)
 
 
-def test_segments_refuse_value_rules(spark):
-    df = spark.createDataFrame([(datetime(2022, 1, 1), 1)], "date timestamp_ntz, co int")
-    with pytest.raises(ValueError):
-        intervals.tag_intervals(df, [Value("co > 1")], "l", limit=0)
+def test_long_lists_mean_the_same(spark):
+    """Value rules and mixed labels, as conditions and through the segment table."""
+    df = spark.createDataFrame(
+        [(datetime(2022, 1, 1) + timedelta(hours=7 * i), i) for i in range(120)] + [(None, 3)],
+        "date timestamp_ntz, co int")
+    many = [Interval(str(datetime(2022, 1, 1) + timedelta(days=i % 40)),
+                     str(datetime(2022, 1, 1) + timedelta(days=i % 40 + 2 + i % 3)), f"r{i}")
+            for i in range(201)]
+    mixed = [Value("co % 11 = 0", 7), *many, Value("co > 100", "high"), Interval(None, None, 5)]
+    short = intervals.tag_intervals(df, mixed, "l", default=0, limit=1000)
+    long = intervals.tag_intervals(df, mixed, "l", default=0)
+    assert dict(short.dtypes)["l"] == dict(long.dtypes)["l"] == "string"
+    assert sorted(map(tuple, short.collect()), key=str) == sorted(map(tuple, long.collect()), key=str)
+    assert "Exchange hash" not in long._jdf.queryExecution().executedPlan().toString()
 
 
 def test_numeric_labels_through_segments(spark):
@@ -167,3 +177,23 @@ def test_tagging_keeps_every_row(spark):
         F.lit(1.0).alias("no"), F.lit(1.0).alias("no2"), F.lit(3.0).alias("noy"),
         F.lit(100.0).alias("co"), F.lit(5.0).alias("rel_ws"), F.lit(0.0).alias("rel_wd"))
     assert products.flagged_table(df).count() == 500
+
+
+def test_clean_names_never_repeat(spark):
+    df = spark.createDataFrame([(1, 2, 3)], "a int, `A` int, a_2 int")
+    assert len(set(rows.clean_names(df.toDF("a", "A ", "a_2")).columns)) == 3
+
+
+def test_unique_align_refuses_repeats(spark):
+    a = spark.createDataFrame([(1, 1), (1, 2)], "date int, x int")
+    b = spark.createDataFrame([(1, 5), (2, 6)], "date int, y int")
+    with pytest.raises(Exception, match="repeats a key"):
+        align.align_full([a, b], unique=True).collect()
+    assert align.align_full([a.limit(1), b], unique=True).count() == 2
+
+
+def test_older_mask_needs_its_flags(spark):
+    df = spark.createDataFrame([(1.0, 0)], "co double, co_flag int")
+    with pytest.raises(ValueError, match="co_cal"):
+        products.qc_mask_older(df)
+    assert products.qc_mask_older(df, skip=["co_cal", "flag_all"]).first().co == 1.0
