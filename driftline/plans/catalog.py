@@ -401,11 +401,12 @@ def offset_apply(spark, sf):
 
 
 @query(f"""with {_M}, s as (select *, {_STATION} as station from m)
-  select event_id, {_r(_offset_sql('no2', True), 'no2_corr')} from s""")
+  select event_id, {_r(_offset_sql('no', True), 'no_corr')},
+    {_r(_offset_sql('no2', True), 'no2_corr')} from s""")
 def offset_apply_fixed_sources(spark, sf):
     df = zeroes.apply_offsets(products.tag_station(measured(spark, sf)), rules.offsets(),
                               fix_sources=True)
-    return rounded(df.select("event_id", "no2_corr"))
+    return rounded(df.select("event_id", "no_corr", "no2_corr"))
 
 
 @query(f"""with {_M} select event_id, {_r('no - (-0.0363139655120056)', 'no_corr')},
@@ -465,33 +466,33 @@ def offset_table_missing_stations(spark, sf):
 def _channel_means(spark, sf):
     df = timebin.time_average(measured(spark, sf), "1 minute", by=["event_type"], columns=["o3"])
     return [df.filter(F.col("event_type") == t).select("date", F.col("o3").alias(t))
-            for t in ("error", "click", "view")]
+            for t in _CHANNELS]
 
 
+_CHANNELS = ("error", "click", "view", "signup", "purchase")
 _CHANNELS_SQL = f"""{_M},
   a as (select event_type, date_trunc('minute', date) as date, avg(o3) as o3 from m group by all),
-  e as (select date, o3 as error from a where event_type = 'error'),
-  c as (select date, o3 as click from a where event_type = 'click'),
-  v as (select date, o3 as view from a where event_type = 'view')"""
+  {", ".join(f"t_{t} as (select date, o3 as {t} from a where event_type = '{t}')" for t in _CHANNELS)}"""
+
+
+def _aligned_sql(join: str) -> str:
+    first, *others = _CHANNELS
+    return (f"with {_CHANNELS_SQL} select date, {_rs(*_CHANNELS)} from t_{first} "
+            + " ".join(f"{join} join t_{t} using (date)" for t in others))
 
 
-@query(f"""with {_CHANNELS_SQL} select date, {_r('error')}, {_r('click')}, {_r('view')}
-  from e left join c using (date) left join v using (date)""")
+@query(_aligned_sql("left"))
 def align_left_minutes(spark, sf):
     first, *others = _channel_means(spark, sf)
     return rounded(align_left(first, others))
 
 
-_FULL_SQL = f"""with {_CHANNELS_SQL} select date, {_r('error')}, {_r('click')}, {_r('view')}
-  from e full join c using (date) full join v using (date)"""
-
-
-@query(_FULL_SQL)
+@query(_aligned_sql("full"))
 def align_full_minutes(spark, sf):
     return rounded(align_full(_channel_means(spark, sf)))
 
 
-@query(_FULL_SQL)
+@query(_aligned_sql("full"))
 def align_full_unique_minutes(spark, sf):
     return rounded(align_full(_channel_means(spark, sf), unique=True))
 
@@ -946,28 +947,42 @@ def calibration_response_short_trim(spark, sf):
 
 # masks, conditions, columns -------------------------------------------------
 
+_NOX_KEPT = "case when nox_flag = 0 and nox_cal = 0 and coalesce(zero_box, 0) = 0 then {} end"
+
+
 @query(f"""with {_M}, d0 as (select *, o3 * 6 as co, no + no2 as nox from m),
   d1 as (select *, {_flags_sql('current')} from d0)
   select event_id, {_r('case when co_flag = 0 then co end', 'co')},
-    {_r('case when nox_flag = 0 and nox_cal = 0 and coalesce(zero_box, 0) = 0 then no end', 'no')},
+    {', '.join(_r(_NOX_KEPT.format(c), c) for c in ('no', 'no2', 'nox'))},
     {_r('case when noy_flag = 0 and noy_cal = 0 and noy_zero = 0 then noy end', 'noy')},
     {_r('case when o3_flag = 0 then o3 end', 'o3')}, {_r('so2')} from d1 where flag_all = 0""")
 def qc_mask(spark, sf):
     df = products.instrument_flags(measured(spark, sf).withColumn("co", F.col("o3") * 6))
-    return rounded(products.qc_mask(df).select("event_id", "co", "no", "noy", "o3", "so2"))
+    return rounded(products.qc_mask(df).select("event_id", *products.SPECIES))
+
+
+_OLDER_MASKED = ("o3", "co", "no_corr", "no2_corr", "so2_corr", "noy")
+
+
+def _older_masked_sql(value: str) -> str:
+    flags = {"o3": "o3_flag", "co": "co_flag co_cal", "no_corr": "nox_flag zero_box nox_cal",
+             "no2_corr": "nox_flag zero_box nox_cal", "so2_corr": "so2_flag so2_zero_channel",
+             "noy": "noy_cal noy_flag noy_zero"}[value]
+    return _r(f"case when {' and '.join(f'{f} = 0' for f in [*flags.split(), 'flag_all'])} "
+              f"then {value} end", value)
 
 
-@query(f"""with {_M}, d0 as (select *, no as no_corr, so2 as so2_corr from m),
+@query(f"""with {_M}, d0 as (select *, no as no_corr, no2 as no2_corr, so2 as so2_corr, o3 * 6 as co,
+    case when event_id % 19 <> 0 then cast(event_id % 5 = 0 as integer) end as co_cal from m),
   d1 as (select *, {_flags_sql('v2')} from d0)
-  select event_id,
-    {_r('case when nox_flag = 0 and zero_box = 0 and nox_cal = 0 and flag_all = 0 then no_corr end',
-        'no_corr')},
-    {_r('case when so2_flag = 0 and so2_zero_channel = 0 and flag_all = 0 then so2_corr end',
-        'so2_corr')} from d1""")
+  select event_id, {', '.join(map(_older_masked_sql, _OLDER_MASKED))} from d1""")
 def qc_mask_older(spark, sf):
-    df = measured(spark, sf).withColumns({"no_corr": F.col("no"), "so2_corr": F.col("so2")})
+    df = measured(spark, sf).withColumns({
+        "no_corr": F.col("no"), "no2_corr": F.col("no2"), "so2_corr": F.col("so2"),
+        "co": F.col("o3") * 6,
+        "co_cal": F.expr("case when event_id % 19 <> 0 then cast(event_id % 5 = 0 as integer) end")})
     out = products.qc_mask_older(products.instrument_flags(df, "v2"))
-    return rounded(out.select("event_id", "no_corr", "so2_corr"))
+    return rounded(out.select("event_id", *_OLDER_MASKED))
 
 
 @query("""select event_id, cast(case when event_id % 7 <> 0 then value end < 10 as integer) as flag
@@ -1179,28 +1194,25 @@ def harmonise_logs(spark, sf):
     return logs.harmonise_logs(spark, _log_files(spark, sf), rules.LOGGER_CHANNELS)
 
 
-@query(f"""with w as ({_select(_MET)}) select date_trunc('second', date) as date,
-    {_rs('lat', 'long', 'speed', 'heading', 'rel_ws', 'rel_wd')} from (
-    select *, row_number() over (partition by date_trunc('second', date) order by event_id) as k_ from w)
-  where k_ = 1""")
+@query(f"""with w as (select date_trunc('second', date) as date, * exclude (date)
+    from ({_select(_MET)}) q)
+  select date, {_rs('n.lat', 'n.long', 'n.speed', 'n.heading', 's.rel_ws', 's.rel_wd', 's.air_temp',
+                    's.air_humidity').replace(' as n.', ' as ').replace(' as s.', ' as ')}
+  from w n left join w s using (date)""")
 def compile_met(spark, sf):
     """Headerless surface files and position files, joined on the second."""
     folder = new_folder(spark, "met")
-    second = times.time_bin(F.col("date"), "1 second")
-    per_second = met(spark, sf).groupBy(second.alias("date")).agg(
-        F.min_by(F.struct("lat", "long", "speed", "heading", "rel_ws", "rel_wd", "air_temp",
-                          "air_humidity"), "event_id").alias("x")).select("date", "x.*")
+    rows_ = met(spark, sf).withColumn("date", times.time_bin(F.col("date"), "1 second"))
     blank = F.lit("")
-    (per_second.select(
+    (rows_.select(
         blank.alias("a"), F.date_format("date", "dd/MM/yyyy").alias("b"),
         F.date_format("date", "HH:mm:ss").alias("c"),
         *[blank.alias(f"f{i}") for i in range(7)],
         "rel_ws", "rel_wd", "air_temp", "air_humidity").write.csv(f"{folder}/surface"))
-    tables.write_table(per_second.select(F.lit(1).alias("X"), "date", "lat", "long", "speed",
-                                         "heading"), f"{folder}/mvpos", "csv")
-    compiled = logs.compile_met(logs.compile_navigation(spark, f"{folder}/mvpos", glob="*.csv"),
-                                logs.compile_surface_met(spark, f"{folder}/surface"))
-    return rounded(compiled.drop("air_temp", "air_humidity"))
+    tables.write_table(rows_.select(F.lit(1).alias("X"), "date", "lat", "long", "speed",
+                                    "heading"), f"{folder}/mvpos", "csv")
+    return rounded(logs.compile_met(logs.compile_navigation(spark, f"{folder}/mvpos", glob="*.csv"),
+                                    logs.compile_surface_met(spark, f"{folder}/surface")))
 
 
 # products -------------------------------------------------------------------
@@ -1261,11 +1273,11 @@ def minute_product(spark, sf):
 @query(f"""with {_product_sql(_LEFT.replace('join c', 'join cm'))
                  .replace("), j as (", "), cm as (select date_trunc('minute', date) as date, "
                           "avg(co) as co from c group by 1), j as (")}
-  select date_trunc('hour', date) as date, {_r('avg(co)', 'co_ppb')}, {_r('avg(nox)', 'nox_ppb')}
+  select date_trunc('hour', date) as date,
+  {', '.join(_r(f'avg({c})', f'{c}_ppb') for c in _SPECIES)}, {_r('avg(stack_flag)', 'stack_flag')}
   from p group by 1""")
 def hourly_product_binned_co(spark, sf):
-    out = products.hourly_product(*_inputs(spark, sf), bin_first=True)
-    return rounded(out.select("date", "co_ppb", "nox_ppb"))
+    return rounded(products.hourly_product(*_inputs(spark, sf), bin_first=True))
 
 
 @query(f"""with {_product_sql(_LEFT)} select date, station, stack_flag,
