@@ -1172,10 +1172,10 @@ def parquet_by_day(spark, sf):
 
 
 def _log_files(spark, sf):
-    """Two sets of logger files, the first an hour ahead of UTC."""
+    """Two sets of logger files, the first an hour ahead of UTC and with two headers."""
     base = _events(spark, sf)
-    paths = []
-    for ahead, types in ((1, ("error", "view")), (0, ("click", "signup", "purchase"))):
+
+    def written(ahead, types, columns):
         path = new_folder(spark, "logs")
         stamp = times.shift(F.col("ts"), ahead)
         tables.write_table(base.filter(F.col("event_type").isin(*types)).select(
@@ -1183,13 +1183,19 @@ def _log_files(spark, sf):
             F.col("event_id").alias("Event ID"),
             F.when(F.col("event_id") % 7 == 0, "missing")
             .otherwise(F.col("value").cast("string")).alias("t200up_023828_no"),
-            F.lit("NA").alias("Unused")), path, "csv")
-        paths.append((path, ahead))
-    return paths
+            (F.col("value") * 2).alias("Late Channel"),
+            F.lit("NA").alias("Unused")).select(*columns), path, "csv")
+        return path
+
+    first = ("TheTime", "Event ID", "t200up_023828_no", "Unused")
+    later = ("TheTime", "Late Channel", "t200up_023828_no", "Event ID", "Unused")
+    return [([written(1, ["error"], first), written(1, ["view"], later)], 1),
+            (written(0, ["click", "signup", "purchase"], later), 0)]
 
 
 @query("""select date_trunc('second', ts) as date, cast(event_id as double) as event_id,
-  case when event_id % 7 <> 0 then value end as no from events""")
+  case when event_id % 7 <> 0 then value end as no,
+  case when event_type <> 'error' then value * 2 end as late_channel from events""")
 def harmonise_logs(spark, sf):
     return logs.harmonise_logs(spark, _log_files(spark, sf), rules.LOGGER_CHANNELS)
 

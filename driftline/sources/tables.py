@@ -7,6 +7,7 @@ converted is NULL, whatever the file around it holds.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import (DoubleType, FloatType, StructType, TimestampNTZType,
@@ -14,6 +15,7 @@ from pyspark.sql.types import (DoubleType, FloatType, StructType, TimestampNTZTy
 
 from driftline.functions.cond import nan_to_null
 from driftline.functions.times import parse_ymd_hms
+from driftline.operators.rows import bind_rows
 
 NULL_TOKENS = ("NA", "missing", "")
 
@@ -41,27 +43,54 @@ def _typed(df: DataFrame, schema: StructType | None, tokens: Sequence[str],
     return df.select(*[convert(c) for c in df.columns])
 
 
+def files_by_header(spark: SparkSession, paths: str | Sequence[str],
+                    glob: str | None = None) -> list[list[str]]:
+    """The files behind ``paths``, those with the same header line together.
+
+    Lines are read on the executors; one line of each file comes to the driver, which
+    holds the list of files anyway.
+    """
+    reader = spark.read.option("pathGlobFilter", glob) if glob else spark.read
+    lines = reader.text(paths if isinstance(paths, str) else list(paths))
+    known = lines.inputFiles()
+    if len(known) < 2:
+        return [[unquote(f) for f in known]]
+    # rows of one split come in file order, so the least number is the first line
+    first = (lines.select("value", F.col("_metadata.file_path").alias("file"),
+                          F.col("_metadata.file_block_start").alias("at"),
+                          F.monotonically_increasing_id().alias("n"))
+             .filter((F.col("at") == 0) & (F.trim("value") != ""))
+             .groupBy("file").agg(F.min_by("value", "n").alias("header")))
+    groups: dict[str, list[str]] = {}
+    for row in first.orderBy("file").collect():
+        groups.setdefault(row["header"], []).append(unquote(row["file"]))
+    return list(groups.values()) or [[unquote(f) for f in known]]
+
+
 def read_table(spark: SparkSession, paths: str | Sequence[str],
                schema: StructType | None = None,
                null_tokens: Sequence[str] = NULL_TOKENS, glob: str | None = None,
-               parse=parse_ymd_hms, provenance: str | None = None) -> DataFrame:
+               parse=parse_ymd_hms, provenance: str | None = None,
+               by_name: bool = True) -> DataFrame:
     """CSV files (or folders of them) with a header line.
 
-    ``schema`` types the columns it names; others stay text. The headers of all
-    files are checked to agree, since Spark matches columns by place; files with
-    another header are read by a call of their own and appended with bind_rows.
+    ``schema`` types the columns it names; others stay text. Files may have headers of
+    their own: those with equal headers are read together and the groups appended by
+    name, a column that a group lacks being NULL. That takes a pass over the first lines;
+    without ``by_name`` there is none, and headers that disagree are an error.
     ``glob`` selects files by name, ``provenance`` adds the source file.
     """
     reader = (spark.read.option("header", True).option("enforceSchema", False)
               .option("mode", "PERMISSIVE"))
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    raw = reader.csv(paths if isinstance(paths, str) else list(paths))
-    out = _typed(raw, schema, null_tokens, parse)
+    sets = [paths if isinstance(paths, str) else list(paths)]
+    if by_name and len(found := files_by_header(spark, paths, glob)) > 1:
+        sets = found
+    parts = [reader.csv(files) for files in sets]
     if provenance:
-        out = _typed(raw.withColumn(provenance, F.col("_metadata.file_path")), schema,
-                     null_tokens, parse)
-    return out
+        parts = [p.withColumn(provenance, F.col("_metadata.file_path")) for p in parts]
+    return _typed(bind_rows(*parts), schema, null_tokens, parse)
 
 
 def read_positional(spark: SparkSession, paths: str | Sequence[str],

@@ -45,7 +45,22 @@ def test_headers_that_disagree_are_an_error(spark, tmp_path):
     put(tmp_path / "h", "a.csv", "date,no,zero_box\n2022-06-01 00:00:00,1,1\n")
     path = put(tmp_path / "h", "b.csv", "date,zero_box,no\n2022-06-01 00:00:00,1,1\n")
     with pytest.raises(Exception, match="(?i)header"):
-        tables.read_table(spark, path, SCHEMA).collect()
+        tables.read_table(spark, path, SCHEMA, by_name=False).collect()
+
+
+def test_headers_may_differ(spark, tmp_path):
+    put(tmp_path / "log files", "a.csv", "date,no,zero_box\n2022-06-01 00:00:00,1,1\n")
+    put(tmp_path / "log files", "b.csv", "date,zero_box,no\n2022-06-01 00:00:10,0,2\n")
+    put(tmp_path / "log files", "c.csv", "\ndate,no\n2022-06-01 00:00:20,3\n")
+    put(tmp_path / "log files", "d+1%20.csv", "date,no\n2022-06-01 00:00:30,4\n")
+    put(tmp_path / "log files", "empty.csv", "")
+    path = put(tmp_path / "log files", "e.csv", "date,no,zero_box,new\n2022-06-01 00:00:40,NA,1,x\n")
+    got = tables.read_table(spark, path, SCHEMA, provenance="file").orderBy("date")
+    assert got.dtypes[:3] == [("date", "timestamp_ntz"), ("no", "double"), ("zero_box", "int")]
+    assert [(r.no, r.zero_box, r.new) for r in got.collect()] == [
+        (1.0, 1, None), (2.0, 0, None), (3.0, None, None), (4.0, None, None), (None, 1, "x")]
+    assert got.select("file").distinct().count() == 5
+    assert len(tables.files_by_header(spark, path)) == 4
 
 
 def test_positional(spark, tmp_path):
