@@ -174,18 +174,18 @@ def _line_sql(src: str, cols: list[str], keep: str, x: str | None = None) -> str
 
 # time averages --------------------------------------------------------------
 
+_MEANS = ["no", "no2", "zero_box", "o3"]
+
+
 def _mean_sql(unit: str, by: str = "", strict: bool = False) -> str:
     def mean(c):
         return f"case when count({c}) = count(*) then avg({c}) end" if strict else f"avg({c})"
     lead = f"{by}, " if by else ""
     return (f"with {_M} select {lead}date_trunc('{unit}', date) as date, "
-            + ", ".join(_r(mean(c), c) for c in ("no", "no2", "zero_box"))
+            + ", ".join(_r(mean(c), c) for c in _MEANS)
             + f" from m group by all")
 
 
-_MEANS = ["no", "no2", "zero_box"]
-
-
 @query(_mean_sql("minute"))
 def time_mean_minute(spark, sf):
     return rounded(timebin.time_average(measured(spark, sf), "1 minute", columns=_MEANS))
@@ -433,10 +433,14 @@ def _station_zeroes(spark, sf, **options):
 
 
 @query(f"""with {_CLEAN_ZEROES_SQL} select station,
-  {_r('case when count(no) = count(*) then avg(no) end', 'no')},
-  {_r('case when count(no2) = count(*) then avg(no2) end', 'no2')} from z group by station""")
+  {_r('case when count(o3) = count(*) then avg(o3) end', 'no')},
+  {_r('case when max(cast(event_id % 397 = 0 as integer)) = 0 then avg(so2) end', 'no2')}
+  from z group by station""")
 def station_zero_means(spark, sf):
-    return rounded(_station_zeroes(spark, sf))
+    """One channel without gaps, one whose few gaps make the strict mean missing."""
+    df = measured(spark, sf).withColumns({
+        "no": F.col("o3"), "no2": F.when(F.col("event_id") % 397 != 0, F.col("so2"))})
+    return rounded(products.station_zero_table(df, _ORDER))
 
 
 @query(f"""with {_CLEAN_ZEROES_SQL} select station, {_r('median(no)', 'no')},
@@ -739,14 +743,14 @@ def run_statistic_attached(spark, sf):
 
 
 def _zero_sql(stat_no: str, stat_no2: str, keep_no: str = "no", keep_no2: str = "no2",
-              skip: str = "", key: str = "run_id", trim: str = "") -> str:
+              skip: str = "", key: str = "run_id", trim: str = "", source: str = "st") -> str:
     """Zero level per group, attached, interpolated by position and subtracted."""
     trimmed = f"""
   t0 as (select *, row_number() over (partition by run_id order by date, event_id) as a_ from runs),
   t as (select * exclude (no, no2), {trim.format('no')} as no, {trim.format('no2')} as no2 from t0)""" \
         if trim else "\n  t as (select * from runs)"
     valid = f"run_id > 0{' and run_id not in ' + skip if skip else ''}"
-    return f"""with {_STATUS_SQL}, s as (select *, {_STATION} as station from st),
+    return f"""with {_STATUS_SQL}, s as (select *, {_STATION} as station from {source}),
   {_runs_sql('s', 'zb')},{trimmed},
   g0 as (select {key}, {stat_no} as gno, {stat_no2} as gno2 from t where run_id > 0 group by {key}),
   g as (select {key}, case when {keep_no} then gno end as gno,
@@ -791,6 +795,25 @@ def interpolated_zero_by_station(spark, sf):
     return _level(spark, sf, stat="median", by="station")
 
 
+@query(_zero_sql("median(no)", "median(no2)", "true", "true", source=f"""(
+    select * exclude (no, no2), case when nox_flag = 1 then null else no end as no,
+      case when nox_flag = 1 then null else no2 end as no2
+    from (select *, {_flags_sql('v2')} from st) where flag_all = 0)"""))
+def interpolated_zero_cleaned(spark, sf):
+    """The earlier job: rows cleaned by their flags first."""
+    clean = products.older_zero_rows(products.instrument_flags(measured(spark, sf), "v2"))
+    return rounded(zeroes.interpolated_zero(clean, ["no", "no2"], "zero_box", _ORDER,
+                                            stat="median").select(*_LEVEL))
+
+
+@query(_zero_sql("median(no)", "median(no2)", "true", "true", key="station",
+                 source=f"(select * from st where ({_case(rules.zeroing_flag(), '0')}) = 0)"))
+def interpolated_zero_by_station_cleaned(spark, sf):
+    return rounded(zeroes.interpolated_zero(
+        products.station_zero_rows(measured(spark, sf)), ["no", "no2"], "zero_box", _ORDER,
+        stat="median", by="station").select(*_LEVEL))
+
+
 @query(f"""with {_M}, {_runs_sql('m', 'so2_zero_channel')},
   g0 as (select run_id, median(so2) as z from runs where run_id > 0 group by 1),
   g as (select run_id, case when z >= 2.5 then z end as zero_so2 from g0),
@@ -920,8 +943,8 @@ def override_flag(spark, sf):
         .select("event_id", "nox_cal")
 
 
-def _response_sql(head: int, tail: int) -> str:
-    return f"""with {_CAL_SQL}, {_runs_sql('o', 'nox_cal')},
+def _response_sql(head: int, tail: int, src: str = "o") -> str:
+    return f"""with {_CAL_SQL}, {_BLOCKS_SQL}, {_runs_sql(src, 'nox_cal')},
   q as (select *, row_number() over (partition by run_id order by date, event_id) as a,
     row_number() over (partition by run_id order by date desc, event_id desc) as b
     from runs where run_id > 0)
@@ -929,20 +952,31 @@ def _response_sql(head: int, tail: int) -> str:
     {_r(f'avg(case when a > {head} and b > {tail} then o3 end)', 'o3')} from q group by 1"""
 
 
-def _response(spark, sf, **options):
-    df = measured(spark, sf).withColumn("nox_cal", F.col("so2_zero_channel"))
+# long calibrations, some of them broken by an unknown or a set zero box
+_BLOCK_STATUS = "case when event_id % 40 < 15 then 1 else 0 end"
+_BLOCK_BOX = "case when event_id % 400 = 47 then null when event_id % 200 = 88 then 1 else 0 end"
+_BLOCKS_SQL = f"""b0 as (select * exclude (zero_box), {_BLOCK_STATUS} as status,
+    {_BLOCK_BOX} as zero_box from m),
+  b1 as (select *, case {_OVERRIDDEN} else status end as c0 from b0),
+  b as (select *, case when zero_box is null then null when zero_box <> 0 then 0 else c0 end
+    as nox_cal from b1)"""
+
+
+def _response(df, **options):
     return rounded(calibration.calibration_response(
         df, "o3", "nox_cal", _ORDER, rules.NO_CAL_OVERRIDES, **options))
 
 
-@query(_response_sql(6, 2))
+@query(_response_sql(6, 2, "b"))
 def calibration_response(spark, sf):
-    return _response(spark, sf)
+    return _response(measured(spark, sf).withColumns(
+        {"nox_cal": F.expr(_BLOCK_STATUS), "zero_box": F.expr(_BLOCK_BOX)}))
 
 
 @query(_response_sql(1, 0))
 def calibration_response_short_trim(spark, sf):
-    return _response(spark, sf, head=1, tail=0, scan="day")
+    df = measured(spark, sf).withColumn("nox_cal", F.col("so2_zero_channel"))
+    return _response(df, head=1, tail=0, scan="day")
 
 
 # masks, conditions, columns -------------------------------------------------
@@ -968,14 +1002,13 @@ def _older_masked_sql(value: str) -> str:
     flags = {"o3": "o3_flag", "co": "co_flag co_cal", "no_corr": "nox_flag zero_box nox_cal",
              "no2_corr": "nox_flag zero_box nox_cal", "so2_corr": "so2_flag so2_zero_channel",
              "noy": "noy_cal noy_flag noy_zero"}[value]
-    return _r(f"case when {' and '.join(f'{f} = 0' for f in [*flags.split(), 'flag_all'])} "
-              f"then {value} end", value)
+    return f"case when {' and '.join(f'{f} = 0' for f in [*flags.split(), 'flag_all'])} then {value} end"
 
 
 @query(f"""with {_M}, d0 as (select *, no as no_corr, no2 as no2_corr, so2 as so2_corr, o3 * 6 as co,
     case when event_id % 19 <> 0 then cast(event_id % 5 = 0 as integer) end as co_cal from m),
   d1 as (select *, {_flags_sql('v2')} from d0)
-  select event_id, {', '.join(map(_older_masked_sql, _OLDER_MASKED))} from d1""")
+  select event_id, {', '.join(_r(_older_masked_sql(c), c) for c in _OLDER_MASKED)} from d1""")
 def qc_mask_older(spark, sf):
     df = measured(spark, sf).withColumns({
         "no_corr": F.col("no"), "no2_corr": F.col("no2"), "so2_corr": F.col("so2"),
@@ -1299,15 +1332,55 @@ def corrected_minutes(spark, sf):
     return rounded(products.corrected_minutes(measured(spark, sf)))
 
 
-@query(f"""with {_M}, a as (select date_trunc('minute', date) as date,
+def _older_minute_sql(where: str = "true") -> str:
+    return f"""with {_M}, a as (select date_trunc('minute', date) as date,
     case when count(no) = count(*) then avg(no) end as no,
     case when count(o3) = count(*) then avg(o3) end as o3,
-    avg(so2_zero_channel) as co_cal from m group by 1)
+    avg(so2_zero_channel) as co_cal from m where {where} group by 1)
   select date, {_rs('no', 'o3')}, {_r("case when date < timestamp '2022-05-19 00:00:00' then 0 "
-                                      "else co_cal end", 'co_cal')}, {_flags_sql('v1')} from a""")
-def older_one_minute(spark, sf):
+                                      "else co_cal end", 'co_cal')}, {_flags_sql('v1')} from a"""
+
+
+def _older_minutes(spark, sf, **options):
     return rounded(products.older_one_minute(measured(spark, sf).select(
-        "date", "no", "o3", F.col("so2_zero_channel").alias("co_cal"))))
+        "date", "no", "o3", F.col("so2_zero_channel").alias("co_cal")), **options))
+
+
+@query(_older_minute_sql())
+def older_one_minute(spark, sf):
+    return _older_minutes(spark, sf)
+
+
+@query(_older_minute_sql("date > timestamp '2022-05-26 00:00:00'"))
+def older_one_minute_since(spark, sf):
+    return _older_minutes(spark, sf, since="2022-05-26")
+
+
+_OLDER_FLAGS = [f for f in rules.flag_rules("v2") if f != "co_flag"]
+_OLDER_VALUES = ["o3", "no_corr", "no2_corr", "noy"]
+
+
+@query(f"""with {_M},
+  d0 as (select *, no - (-0.0363139655120056) as no_corr, no2 - (-0.134759009068831) as no2_corr,
+    so2 as so2_corr from m),
+  d1 as (select *, {_flags_sql('v2')}, {_case(rules.pollution(), '0')} as pollution from d0),
+  d2 as (select date_trunc('second', date + interval 500 millisecond) as date, no, no2, zero_box,
+    so2_zero_channel, pollution, {', '.join(_OLDER_FLAGS)},
+    {', '.join(f'{_older_masked_sql(c)} as {c}' for c in [*_OLDER_VALUES, 'so2_corr'])} from d1),
+  d3 as (select date_trunc('minute', date) as date, {', '.join(
+      f'avg({c}) as {c}' for c in ['no', 'no2', 'zero_box', 'so2_zero_channel', 'pollution',
+                                   *_OLDER_FLAGS, *_OLDER_VALUES])}, avg(so2_corr) as so2
+    from d2 group by 1),
+  c0 as (select date_trunc('second', ts - INTERVAL '592' DAY + interval 500 millisecond) as date,
+    value / 0.3117 as co from events),
+  c1 as (select *, {_case(rules.flag_rules('v2')['flag_all'], '0')} as co_flag_all,
+    {_case(rules.flag_rules('v2')['co_flag'], '0')} as co_flag from c0
+    where date < timestamp '2022-06-22 10:13:00'),
+  c as (select * replace (case when co_flag_all = 0 and co_flag = 0 then co end as co) from c1)
+  select date, co_flag_all, co_flag, {_rs('no', 'no2', 'zero_box', 'so2_zero_channel', 'pollution',
+    *_OLDER_FLAGS, *_OLDER_VALUES, 'so2', 'co')} from d3 left join c using (date)""")
+def older_minute_product(spark, sf):
+    return rounded(products.older_minute_product(measured(spark, sf), co_table(spark, sf)))
 
 
 @query(f"""with {_M} select event_id,
@@ -1317,12 +1390,17 @@ def instrument_flags_with_pollution(spark, sf):
         .select("event_id", "flag_all")
 
 
+_HOUSEKEEPING = ("samp_pressure", "samp_flow", "rcell_temp", "box_temp", "pmt_temp")
+
+
 @query(f"""with {_M} select date_trunc('second', date + interval 500 millisecond) as date, {_r('so2')},
-  {_r('o3', 'samp_pressure')}, cast(null as double) as samp_flow, cast(null as double) as rcell_temp,
-  cast(null as double) as box_temp, cast(null as double) as pmt_temp,
+  {', '.join(_r(f'o3 * {i}', name) for i, name in enumerate(_HOUSEKEEPING, 1))},
   cast(null as double) as conv_temp, so2_zero_channel from m""")
 def so2_diagnostics(spark, sf):
-    raw = measured(spark, sf).withColumn("t101_022639_samppress", F.col("o3"))
+    """The last channel is absent from the input."""
+    channels = list(products.SO2_DIAGNOSTICS)[:-1]
+    raw = measured(spark, sf).withColumns(
+        {c: F.col("o3") * i for i, c in enumerate(channels, 1)})
     return rounded(products.so2_diagnostics(raw))
 
 

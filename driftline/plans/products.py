@@ -13,7 +13,7 @@ from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from driftline.functions.cond import below_limit, case_when
+from driftline.functions.cond import below_limit, case_when, r_ifelse
 from driftline.functions.times import round_second
 from driftline.operators.align import align_full, align_left
 from driftline.operators.groups import lod
@@ -23,9 +23,11 @@ from driftline.operators.rows import (between_time, column_or_null, mask, mask_i
 from driftline.operators.scan import Order
 from driftline.operators.timebin import time_average
 from driftline.operators.wind import wind_average
-from driftline.operators.zeroes import Offset, apply_offsets, station_zeroes, zero_cycles
+from driftline.operators.zeroes import (Offset, apply_constant, apply_offsets, station_zeroes,
+                                        zero_cycles)
 from driftline.plans import rules
 
+# fixed values: columns of the published tables and of the measured input
 SPECIES = ("co", "so2", "noy", "o3", "no", "no2", "nox")
 MEASURED = ("so2", "noy", "no", "no2", "zero_box", "so2_zero_channel", "o3")
 
@@ -97,6 +99,8 @@ def minute_table(measured: DataFrame, co: DataFrame, met: DataFrame, how: str =
     gases = corrected_minutes(measured, fix_sources=fix_sources)
     co = calibrated_co(co, bin_first)
     if how == "left":
+        if not bin_first:  # only full minutes can meet one; the others need not be exchanged
+            co = co.filter(F.second("date") == 0)
         return align_left(wind, [co, gases])
     # averages never repeat an instant, CO may: it alone joins the costlier way
     if bin_first:
@@ -178,14 +182,38 @@ def species_table(df: DataFrame, species: Sequence[str],
     return species_long(df, species, ids)
 
 
-def older_one_minute(df: DataFrame, polluted: bool = False) -> DataFrame:
-    """Earlier minute means: any missing sample makes the minute missing."""
-    means = time_average(df, "1 minute", strict=True)
+def older_one_minute(df: DataFrame, polluted: bool = False,
+                     since: str | None = None) -> DataFrame:
+    """Earlier minute means: any missing sample makes the minute missing.
+
+    ``since`` keeps the rows after that instant only.
+    """
+    means = time_average(between_time(df, lo=since) if since else df, "1 minute", strict=True)
     if "co_cal" in means.columns:
         means = override_flag(means, "co_cal", [(None, rules.CO_CAL_START)])
     return instrument_flags(means, version="v1", polluted=polluted)
 
 
+def older_minute_product(measured: DataFrame, co: DataFrame) -> DataFrame:
+    """Earlier minute product: constant zeroes, values masked as sampled, then minute means.
+
+    The flags are averaged like the values. CO is masked by its own two flags and joins
+    at its own instants, so a minute has the CO of its first second or none.
+    """
+    rows = nan_as_null(measured.select("date", *MEASURED))
+    rows = instrument_flags(apply_constant(rows, rules.CONSTANT_ZEROES), "v2").drop("co_flag")
+    rows = pollution_flag(rows, "pollution")
+    spec = {("so2" if value == "so2_corr" else value): flags
+            for value, flags in rules.OLDER_QC_MASK.items() if value != "co"}
+    masked = qc_mask(rows, spec, drop_flag=None, null_flag="drop")
+    minutes = time_average(masked.withColumn("date", round_second(F.col("date"))), "1 minute")
+    flags = rules.flag_rules("v2")
+    co = calibrated_co(co).filter(F.second("date") == 0).withColumns({
+        "co_flag_all": rule_column(flags["flag_all"], 0),
+        "co_flag": rule_column(flags["co_flag"], 0)})
+    return align_left(minutes, [mask(co, {"co": ("co_flag_all", "co_flag")})])
+
+
 # zeroes and limits ----------------------------------------------------------
 
 def zero_job_rows(measured: DataFrame) -> DataFrame:
@@ -194,6 +222,20 @@ def zero_job_rows(measured: DataFrame) -> DataFrame:
     return tag_station(flagged.filter("nox_cal = 0"))
 
 
+def older_zero_rows(flagged: DataFrame) -> DataFrame:
+    """Rows of the earlier zero job: distrusted ones out, flagged species blank, status known."""
+    return flagged.filter("flag_all = 0").withColumns({
+        **{c: F.coalesce(F.col(c), F.lit(0)) for c in ("zero_box", "so2_zero_channel")},
+        **{c: r_ifelse(F.col(flag) == 1, F.lit(None), F.col(c))
+           for c, flag in (("no", "nox_flag"), ("no2", "nox_flag"), ("so2", "so2_flag"))}})
+
+
+def station_zero_rows(measured: DataFrame) -> DataFrame:
+    """Rows of the zero job by station: flagged, calibrating and polluted ones out."""
+    clean = zeroing_flag(measured, "__flag").filter("__flag = 0").drop("__flag")
+    return tag_station(clean.withColumn("zero_box", F.coalesce("zero_box", F.lit(0))))
+
+
 def station_zero_table(measured: DataFrame, order: Order, stat: str = "mean",
                        scan: str = "auto") -> DataFrame:
     """NO and NO2 zero of each station, the odd cycles left out."""
