@@ -173,8 +173,9 @@ def pack(docs: DataFrame, sequence: int = SEQUENCE, tokenizer: str = TOKENIZER,
     often as they occur, a null id stays null; other columns are not looked at; an empty
     table gives no rows.
 
-    Pieces are dealt to shards by a hash of their row and their place in it, so neither a
-    long document nor a repeated one fills a shard; a task holds one shard (about
+    Pieces are dealt to shards by a hash of their row's id and text and their place in it,
+    so neither a long document nor copies under ids of their own fill a shard; rows that
+    repeat both id and text share their shards. A task holds one shard (about
     ``shard_bytes`` of text) and packs it by best-fit-decreasing.
     """
     size = docs.agg(F.sum(F.octet_length(text_column))).first()[0] or 0
