@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from driftline.functions.stats import mean_strict, quadrature, sd_strict
-from driftline.session import small_table
 
-MAX_GROUP_ROWS = 5_000_000
-_ACCURACY = 10_000
+#: Different values of a group that one task puts in order.
+RANKED_VALUES = 1_000_000
+_CELLS = 128
 
 
 def group_mean(df: DataFrame, keys: Iterable[str], cols: Iterable[str],
@@ -27,21 +27,73 @@ def group_sd(df: DataFrame, keys: Iterable[str], cols: Iterable[str],
 
 
 def group_median(df: DataFrame, keys: Iterable[str], cols: Iterable[str],
-                 max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+                 max_rows: int = RANKED_VALUES) -> DataFrame:
     """Exact median, missing values skipped.
 
-    Spark's median keeps every distinct value of a group in one task, so groups
-    are measured first; when one is larger than ``max_rows``, the median is
-    bracketed and selected instead (:func:`_bracketed_median`), still exactly.
+    Equal values of a group are merged and counted, the middle ranks are read off the
+    running count. While a group has more than ``max_rows`` different values (and more
+    than two), it is narrowed to the cells that hold its middle ranks (:func:`_narrowed`).
     """
     keys, cols = list(keys), list(cols)
-    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    if (largest or 0) <= max_rows:
-        return df.groupBy(*keys).agg(*[F.median(c).alias(c) for c in cols])
-    medians = df.select(*keys).distinct()
-    for c in cols:
-        medians = join_on(medians, _bracketed_median(df, keys, c), keys, "left")
-    return medians
+    if not cols:
+        return df.select(*keys).distinct()
+    by = [*keys, "__c"]
+    values = df.select(*keys, F.explode(F.array(*[F.struct(
+        F.lit(i).alias("c"), F.col(c).cast("double").alias("x"))
+        for i, c in enumerate(cols)])).alias("__v"))
+    # the missing values of a group are one row that counts nothing
+    merged = (values.groupBy(*keys, F.col("__v.c").alias("__c"), F.col("__v.x").alias("__x"))
+              .agg(F.count("__v.x").alias("__n"))
+              .withColumns({"__below": F.lit(0).cast("bigint"), "__above": F.lit(0).cast("bigint")}))
+    while (merged.groupBy(*by).agg(F.count("__x").alias("d")).agg(F.max("d")).first()[0]
+           or 0) > max(max_rows, 2):
+        merged = _narrowed(merged, by)
+    ordered = Window.partitionBy(*by).orderBy("__x").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    ranked = merged.withColumns({
+        "__upto": F.col("__below") + F.sum("__n").over(ordered),
+        "__all": F.col("__below") + F.sum("__n").over(Window.partitionBy(*by)) + F.col("__above")})
+    middle = {(i, side): F.max(F.when((F.col("__c") == i) & _covers(rank), F.col("__x")))
+              for i in range(len(cols)) for side, rank in enumerate(_middle_ranks("__all"))}
+    return ranked.groupBy(*keys).agg(*[
+        ((middle[i, 0] + middle[i, 1]) / 2).alias(c) for i, c in enumerate(cols)])
+
+
+def _middle_ranks(total: str) -> tuple[Column, Column]:
+    """The rank of the median, or the two ranks it lies between."""
+    return F.floor((F.col(total) + 1) / 2), F.floor(F.col(total) / 2) + 1
+
+
+def _covers(rank: Column) -> Column:
+    return (F.col("__upto") >= rank) & (F.col("__upto") - F.col("__n") < rank)
+
+
+def _narrowed(merged: DataFrame, by: list[str]) -> DataFrame:
+    """Only the values near the middle of each group, with the number of rows left out.
+
+    Approximate quantiles of the different values bound some cells; the rows of each are
+    counted, so how well the quantiles fit affects the number of rounds, not the result.
+    """
+    grid = merged.groupBy(*by).agg(F.percentile_approx(
+        "__x", [i / _CELLS for i in range(1, _CELLS)], 10 * _CELLS).alias("__grid"))
+    inside = join_on(merged.where("__x is not null"), grid, by, "inner").withColumn(
+        "__cell", F.size(F.filter("__grid", lambda edge: edge < F.col("__x"))))
+    cells = inside.groupBy(*by, "__below", "__above", "__cell").agg(
+        F.sum("__n").alias("__n"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
+    ordered = Window.partitionBy(*by).orderBy("__cell").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    ranked = cells.withColumns({
+        "__upto": F.col("__below") + F.sum("__n").over(ordered),
+        "__all": F.col("__below") + F.sum("__n").over(Window.partitionBy(*by)) + F.col("__above")})
+    low, high = _middle_ranks("__all")
+    kept = ranked.where(_covers(low) | _covers(high)).groupBy(*by).agg(
+        F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi"),
+        F.min(F.col("__upto") - F.col("__n")).alias("__b"),
+        F.min(F.col("__all") - F.col("__upto")).alias("__a"))
+    rows = join_on(merged.drop("__below", "__above"), kept, by, "left").where(
+        "__x is null or __x between __lo and __hi")
+    return rows.select(*by, "__x", "__n", F.coalesce("__b", F.lit(0)).alias("__below"),
+                       F.coalesce("__a", F.lit(0)).alias("__above"))
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
@@ -51,46 +103,6 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> Dat
     return left.join(renamed, same, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def _bracketed_median(df: DataFrame, keys: list[str], col: str) -> DataFrame:
-    """Median of large groups in three aggregations, none holding a whole group.
-
-    The approximate quantiles just below and above one half have a known rank
-    error, so the middle ranks lie between them. Rows below the bracket are only
-    counted; inside it, equal values are merged before the ranks are read off.
-    """
-    known = df.filter(F.col(col).isNotNull()).select(*keys, F.col(col).cast("double").alias("x"))
-    slack = 2.0 / _ACCURACY
-    bracket = known.groupBy(*keys).agg(
-        F.percentile_approx("x", [0.5 - slack, 0.5 + slack], _ACCURACY).alias("b"),
-        F.min("x").alias("least"), F.max("x").alias("most"), F.count(F.lit(1)).alias("n"))
-    # small groups: the bracket is everything
-    whole = F.col("n") < 10 * _ACCURACY
-    bracket = bracket.select(
-        *keys, "n",
-        F.when(whole, F.col("least")).otherwise(F.col("b")[0]).alias("lo"),
-        F.when(whole, F.col("most")).otherwise(F.col("b")[1]).alias("hi"))
-    placed = join_on(known, small_table(bracket) or bracket, keys, "inner")
-    # values outside the bracket collapse to one row per group and side
-    merged = placed.groupBy(
-        *keys, "n",
-        F.when(F.col("x") < F.col("lo"), F.lit(-1)).when(F.col("x") > F.col("hi"), F.lit(1))
-        .otherwise(F.lit(0)).alias("side"),
-        F.when(F.col("x").between(F.col("lo"), F.col("hi")), F.col("x")).alias("x")
-    ).agg(F.count(F.lit(1)).alias("c"))
-    ranked = merged.withColumn("upto", F.sum("c").over(
-        Window.partitionBy(*keys).orderBy("side", "x")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    low_rank, high_rank = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
-    covers = lambda rank: (F.col("upto") >= rank) & (F.col("upto") - F.col("c") < rank)
-    middle = ranked.groupBy(*keys).agg(
-        F.max(F.when(covers(low_rank), F.col("x"))).alias("a"),
-        F.max(F.when(covers(high_rank), F.col("x"))).alias("b"))
-    missed = F.raise_error(F.lit(f"the bracket misses a middle rank of {col}")).cast("double")
-    value = F.when(F.col("a").isNull() | F.col("b").isNull(), missed).otherwise(
-        (F.col("a") + F.col("b")) / 2)
-    return middle.select(*keys, value.alias(col))
-
-
 def distinct_stats(df: DataFrame, cols: Iterable[str], keys: Iterable[str] = ()) -> DataFrame:
     """Mean and sample standard deviation over the distinct values."""
     aggregates = []

@@ -10,8 +10,8 @@ How a frame is cut is decided by :func:`slice_series` from measured row counts:
 ``series``  a whole series per window group (one shuffle, no summary join)
 ``day``     one slice per series and day
 ``hour``    one slice per series and hour
-``range``   equal shares of the total order, frozen in a staged table; bounded
-            even when most rows share one hour or one instant
+``range``   the same, with every crowded hour split at values of the total order
+            until no slice is above the bound, even when most rows share one instant
 
 No frame runs to "unbounded following", which is quadratic in Spark: looking ahead
 is a descending window looking back.
@@ -30,7 +30,10 @@ from driftline.session import stage
 
 MAX_SLICE_ROWS = 2_000_000
 SMALL_SERIES_ROWS = 250_000
-MAX_SHARES = 20_000
+#: Parts a crowded slice is split into at a time, and sampled rows for each part.
+PARTS, SAMPLED = 64, 100
+#: Crowded slices whose boundaries may be broadcast: PARTS keys each.
+BROADCAST_SLICES = 1_000
 _SLICE = "__slice"
 _BEFORE_TIME = -2_147_483_648  # slice of rows without an instant: they sort first
 
@@ -73,9 +76,13 @@ class Sliced:
     def with_df(self, df: DataFrame) -> "Sliced":
         return replace(self, df=df)
 
-    def staged(self) -> "Sliced":
-        """Cut the lineage before the next pass; a whole-series scan needs none."""
-        return self.with_df(stage(self.df)) if self.cut else self
+    def staged(self, drop: Iterable[str] = ()) -> "Sliced":
+        """Cut the lineage before the next pass; a whole-series scan needs none.
+
+        ``drop`` names columns that no later pass reads.
+        """
+        lean = self.df.drop(*drop)
+        return self.with_df(stage(lean) if self.cut else lean)
 
     def plain(self) -> DataFrame:
         return self.df.drop(_SLICE)
@@ -109,9 +116,8 @@ def slice_series(df: DataFrame, order: Order, scan: str = "auto",
 
     ``scan='auto'`` measures the frame and takes the coarsest cut that fits. Whole
     series are taken when they are small or spread evenly enough to keep all cores
-    busy. Beyond MAX_SHARES shares, a share grows past ``max_rows`` and may spill.
+    busy. The bound is held by ``auto`` and ``range``; the other cuts are the caller's.
     """
-    total = None
     if scan == "auto":
         sizes = measure(df, order)
         total, largest = sizes["total"], sizes["series"]
@@ -122,14 +128,48 @@ def slice_series(df: DataFrame, order: Order, scan: str = "auto",
     if scan == "series":
         return Sliced(df, order, cut=False)
     if scan == "range":
-        total = df.count() if total is None else total
-        # range partitions come out uneven, so aim at half the bound
-        shares = min(MAX_SHARES, max(1, -(-2 * total // max_rows)))
-        ranged = df.repartitionByRange(shares, *order.series, *order.by)
-        return Sliced(stage(ranged.withColumn(_SLICE, F.spark_partition_id())), order, cut=True)
+        hours = df.withColumn(_SLICE, F.array(_slice_column(order, "hour")))
+        return Sliced(_split_crowded(hours, order, max_rows), order, cut=True)
     return Sliced(df.withColumn(_SLICE, _slice_column(order, scan)), order, cut=True)
 
 
+def _split_crowded(df: DataFrame, order: Order, max_rows: int) -> DataFrame:
+    """Append part numbers to the slice (an array) of crowded slices until none is left.
+
+    The boundaries of the parts are keys of rows, sampled by a hash, so the slice of a row
+    depends on its values alone and a retried task finds the same one.
+    """
+    keys = [*order.series, _SLICE]
+    place = F.struct(*order.by)
+    before = None
+    while True:
+        crowded = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(
+            F.col("__n") > max_rows)
+        found = crowded.agg(F.count(F.lit(1)).alias("slices"), F.max("__n").alias("n")).first()
+        if not found["slices"]:
+            return df
+        if before is not None and found["n"] >= before:
+            raise ValueError(f"more than {max_rows} rows share one place in the order "
+                             f"{[*order.series, *order.by]}; name ties that tell them apart")
+        before = found["n"]
+        small = found["slices"] <= BROADCAST_SLICES
+        crowded = F.broadcast(crowded) if small else crowded
+        # about PARTS * SAMPLED rows of each crowded slice
+        drawn = join_on(df.select(*dict.fromkeys([*keys, *order.by])), crowded, keys, "inner").where(
+            F.pmod(F.xxhash64(*order.series, *order.by),
+                   F.floor(F.col("__n") / (PARTS * SAMPLED)) + 1) == 0)
+        ranked = Window.partitionBy(*keys).orderBy(*order.by)
+        part = F.floor((F.row_number().over(ranked) - 1) * PARTS
+                       / F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+        starts = (drawn.select(*keys, place.alias("__at"), part.alias("__part"))
+                  .groupBy(*keys, "__part").agg(F.min("__at").alias("__at"))
+                  .groupBy(*keys).agg(F.array_sort(F.collect_list("__at")).alias("__starts")))
+        placed = join_on(df, F.broadcast(starts) if small else starts, keys, "left")
+        number = F.size(F.filter("__starts", lambda at: at <= place))
+        df = placed.withColumn(_SLICE, F.when(F.col("__starts").isNull(), F.col(_SLICE)).otherwise(
+            F.concat(F.col(_SLICE), F.array(number)))).drop("__starts")
+
+
 def _before(window):
     return window.rowsBetween(Window.unboundedPreceding, -1)
 

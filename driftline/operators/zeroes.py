@@ -12,9 +12,13 @@ from driftline.operators.groups import distinct_stats, group_mean, group_median,
 from driftline.operators.intervals import Interval, rule_column
 from driftline.operators.rows import exclude
 from driftline.operators.scan import (MAX_SLICE_ROWS, Order, Sliced, _drop_run_columns,
-                                      _interpolate, _runs, _trim, run_id, slice_series)
+                                      _RUN_COLUMNS, _interpolate, _runs, _trim, run_id,
+                                      slice_series)
 from driftline.session import small_table
 
+#: What the runs tell beside their number; of no use once a cycle's edges are trimmed.
+_PLACES = tuple(c for c in _RUN_COLUMNS if c != "run_id")
+
 
 # tabulated offsets ----------------------------------------------------------
 
@@ -129,7 +133,7 @@ def run_statistic(df: DataFrame, channels: Iterable[str], status: str, order: Or
                   value=1, stat: str = "mean", strict: bool = False, prefix: str = "zero_",
                   scan: str = "auto", max_rows: int = MAX_SLICE_ROWS) -> DataFrame:
     """Mean or median of each run of ``status == value``, given back to its rows."""
-    sliced = _runs(slice_series(df, order, scan, max_rows), status, value).staged()
+    sliced = _runs(slice_series(df, order, scan, max_rows), status, value).staged(_PLACES)
     keys = [*order.series, "run_id"]
     names = {prefix + c: c for c in channels}
     attached = _attach(sliced, _group_stats(sliced, keys, names, stat, strict), keys)
@@ -159,7 +163,7 @@ def interpolated_zero(df: DataFrame, channels: Iterable[str], status: str, order
     sliced = _runs(slice_series(df, order, scan, max_rows), status, 1)
     if head:
         sliced = _trim(sliced, channels, head, 0, trim_background)
-    sliced = sliced.staged()
+    sliced = sliced.staged(_PLACES)
     keys = [*order.series, by or "run_id"]
     zero = {f"zero_{c}": c for c in channels}
     table = _group_stats(sliced, keys, zero, stat, strict)
@@ -170,7 +174,7 @@ def interpolated_zero(df: DataFrame, channels: Iterable[str], status: str, order
         kept = ~F.col("run_id").isin(list(skip_ids))
         attached = attached.with_df(attached.df.withColumns(
             {z: F.when(kept, F.col(z)) for z in zero}))
-    level = _interpolate(attached.staged(), list(zero), x, "")
+    level = _interpolate(attached, list(zero), x, "")
     out = level.df.withColumn("id", F.col("run_id")).withColumns(
         {f"{c}_corr": F.col(c) - F.col(f"zero_{c}") for c in channels})
     return _drop_run_columns(out).drop("__slice")
@@ -194,12 +198,12 @@ def zero_diagnostics(df: DataFrame, channel: str, keep: Iterable[str], order: Or
         "zero_flag": rule_column(drop_windows, 0, order.time)})
     rows = rows.withColumn(channel, r_ifelse(
         (F.col(status) == 1) & (F.col("zero_flag") == 1), F.lit(None), F.col(channel)))
-    sliced = _runs(slice_series(rows, order, scan), status, 1).staged()
+    sliced = _runs(slice_series(rows, order, scan), status, 1).staged(_PLACES)
     keys = [*order.series, "run_id"]
     med, mean = f"zero_med_{channel}", f"zero_mean_{channel}"
     table = join_on(_group_stats(sliced, keys, {med: channel}, "median", False),
                     _group_stats(sliced, keys, {mean: channel}, "mean", False), keys, "left")
-    attached = _attach(sliced, table, keys).staged()
+    attached = _attach(sliced, table, keys)
     level = _interpolate(attached, [med, mean], "position", "_line")
     out = _drop_run_columns(level.df.withColumn("id", F.col("run_id"))).drop("__slice")
     spread = distinct_stats(table.filter(F.col(mean).isNotNull()), [mean, med], order.series)

@@ -174,12 +174,39 @@ def test_auto_takes_the_coarsest_cut_that_fits(spark, frame):
     assert S.slice_series(frame, ORDER, "auto", sizes["day"]).df.schema["__slice"]
     one = spark.range(100).select(F.lit("a").alias("s"), F.col("id").alias("k"),
                                   F.expr("TIMESTAMP_NTZ '2022-01-01'").alias("date"))
-    # a hundred rows at one instant: only equal shares of the order are small enough
+    # a hundred rows at one instant: only splitting them by their tie-breaker is enough
     cut = S.slice_series(one, ORDER, "auto", 20)
     largest = cut.df.groupBy("__slice").count().agg(F.max("count")).first()[0]
     assert largest <= 20
 
 
+def test_crowded_hours_are_split_by_values(spark):
+    """A third of all rows at one instant, an hour too full, and a null series among them."""
+    df = spark.range(6000).select(
+        F.when(F.col("id") % 7 != 0, F.lit("a")).alias("s"), F.col("id").alias("k"),
+        F.expr("TIMESTAMP_NTZ '2022-01-01' + make_dt_interval(0, 0, 0, "
+               "if(id % 3 = 0, 100, cast(id as int)))").alias("date"))
+    cut = S.slice_series(df, ORDER, "range", 30)
+    sizes = cut.df.groupBy("s", "__slice").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 30
+    assert cut.df.count() == 6000
+    again = S.slice_series(df.repartition(3, "k"), ORDER, "range", 30).df
+    first = {r.k: r["__slice"] for r in cut.df.select("k", "__slice").collect()}
+    assert first == {r.k: r["__slice"] for r in again.select("k", "__slice").collect()}
+    # slices follow each other in the order of rows
+    rows = sorted(cut.df.filter("s = 'a'").collect(), key=lambda r: (r.date, r.k))
+    places = [r["__slice"] for r in rows]
+    assert places == sorted(places)
+    assert not cut.df.inputFiles()  # nothing was staged
+
+
+def test_rows_that_share_their_place_are_refused(spark):
+    df = spark.range(50).select(F.lit("a").alias("s"), F.lit(1).alias("k"),
+                                F.expr("TIMESTAMP_NTZ '2022-01-01'").alias("date"))
+    with pytest.raises(ValueError, match="share one place"):
+        S.slice_series(df, ORDER, "range", 20)
+
+
 def test_single_series_without_keys(spark):
     df = spark.createDataFrame(
         [(datetime(2022, 1, 1, 23, 59, 50) + timedelta(seconds=10 * i), z)

@@ -119,6 +119,16 @@ def test_bracketed_median_is_exact(spark):
     assert groups.group_median(large, ["g"], ["x"], max_rows=10).first().x == want["a"]
 
 
+def test_median_of_many_columns_and_of_nothing(spark):
+    df = spark.createDataFrame(
+        [("a", 1.0, 5), ("a", 2.0, None), ("a", 2.0, 6), (None, None, 1), (None, None, 4),
+         ("c", None, None)], "g string, x double, y int")
+    for most in (0, 1_000_000):
+        got = {r.g: (r.x, r.y) for r in groups.group_median(df, ["g"], ["x", "y"], most).collect()}
+        assert got == {"a": (2.0, 5.5), None: (None, 2.5), "c": (None, None)}
+    assert groups.group_median(df.filter("false"), ["g"], ["x"]).count() == 0
+
+
 def test_distinct_and_lod(spark):
     df = spark.createDataFrame([(1.0,), (1.0,), (3.0,)], "x double")
     row = groups.distinct_stats(df, ["x"]).first()
