@@ -130,10 +130,14 @@ def annotate(docs: DataFrame, benchmark: DataFrame, column: str, window: int = W
 def _judge(docs: DataFrame, benchmark: DataFrame, window: int, with_text: bool,
            max_broadcast_bytes: int):
     """What prepares a task for judging texts; None if the benchmark is too large to broadcast."""
-    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    named = benchmark.where("item_id is not null and octet_length(text) > 0").select(
+        "item_id", F.col("text").cast("binary").alias("text"))
+    # every row that is sent counts with its id, so the bound holds for the rows too
+    size = named.agg(F.sum(F.octet_length("text") + F.octet_length(
+        F.col("item_id").cast("string")))).first()[0] or 0
     if size > max_broadcast_bytes:
         return None
-    items = benchmark.select("item_id", F.col("text").cast("binary")).collect()
+    items = named.collect()
     windows = item_windows(((r[0], bytes(r[1]) if r[1] is not None else None) for r in items),
                            window)
     shared = docs.sparkSession.sparkContext.broadcast(windows)
