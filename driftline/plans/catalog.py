@@ -8,6 +8,7 @@ flag and plume rule meets data. All queries read whole tables.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -328,6 +329,18 @@ def interval_tag_many_rules(spark, sf):
         .select("event_id", "leg")
 
 
+_HIGH_SQL = _case(["when no > 60 then 'high no'", *_many_rules(), "when o3 > 40 then 'high o3'"],
+                  "'none'")
+
+
+@query(f"with {_M} select event_id, {_HIGH_SQL} as leg from m")
+def interval_tag_many_rules_with_values(spark, sf):
+    legs = [intervals.Value("no > 60", "high no"), *_many_rules(),
+            intervals.Value("o3 > 40", "high o3")]
+    return intervals.tag_intervals(measured(spark, sf), legs, "leg", "none") \
+        .select("event_id", "leg")
+
+
 @query(f"""with {_M} select event_id, {_case(rules.zeroing_flag(), '0')} as flag,
   {_case(rules.pollution(), '0')} as poll from m""")
 def interval_flag(spark, sf):
@@ -590,6 +603,14 @@ def run_ids_by_range(spark, sf):
     return scan.run_id(_status(spark, sf), "zb", 1, _ORDER, scan="range").select("event_id", "id")
 
 
+@query(f"""with {_STATUS_SQL}, k as (select *, nullif(event_type, 'click') as kind from st),
+  {_runs_sql('k', 'zb', part='kind')} select event_id, cast(run_id as bigint) as id from runs""")
+def run_ids_null_series_by_day(spark, sf):
+    df = _status(spark, sf).withColumn("kind", F.nullif("event_type", F.lit("click")))
+    order = replace(_ORDER, series=("kind",))
+    return scan.run_id(df, "zb", 1, order, scan="day").select("event_id", "id")
+
+
 @query(f"""with {_M}, {_runs_sql('m', 'zero_box', part='user_id')}
   select event_id, cast(run_id as bigint) as id, cast(carried_id as bigint) as carried from runs""")
 def run_ids_per_series(spark, sf):
