@@ -329,13 +329,13 @@ def interval_tag_many_rules(spark, sf):
         .select("event_id", "leg")
 
 
-_HIGH_SQL = _case(["when no > 60 then 'high no'", *_many_rules(), "when o3 > 40 then 'high o3'"],
+_HIGH_SQL = _case(["when no > 3.0 then 'high no'", *_many_rules(), "when o3 > 40 then 'high o3'"],
                   "'none'")
 
 
 @query(f"with {_M} select event_id, {_HIGH_SQL} as leg from m")
 def interval_tag_many_rules_with_values(spark, sf):
-    legs = [intervals.Value("no > 60", "high no"), *_many_rules(),
+    legs = [intervals.Value("no > 3.0", "high no"), *_many_rules(),
             intervals.Value("o3 > 40", "high o3")]
     return intervals.tag_intervals(measured(spark, sf), legs, "leg", "none") \
         .select("event_id", "leg")
