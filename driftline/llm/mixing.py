@@ -172,21 +172,28 @@ def mix_report(docs: DataFrame) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-                  chars_column: str | None = "n_chars") -> DataFrame:
+                  chars_column: str | None = "n_chars",
+                  source_column: str = "source") -> DataFrame:
     """The mixed documents: a row for each time a document is taken, with the taken words.
 
     A document taken in part (at the end of a source's quota) is cut after its last taken
-    word. Rows that repeat an id and its text count as one document with as many copies.
+    word. Rows that repeat a source, an id and its text count as one document with as many
+    copies; where their other columns differ, the least of the rows stands for all.
     Columns stay; ``chars_column``, if there, becomes the length of the text.
     """
-    mix = Mix(docs, id_column, text_column)
+    mix = Mix(docs, id_column, text_column, source_column)
     took = (mix.schedule.groupBy("rank", "start", "pass", "id", "tie")
-            .agg(F.sum("words").alias("words")))
+            .agg(F.sum("words").alias("words"))
+            .join(mix.sources.select("rank", F.col("source").alias("from_source")), "rank"))
     columns = docs.columns
     keyed = docs.withColumn("__tie", F.xxhash64(whole_text(text_column)))
-    one = keyed.groupBy(F.col(id_column).alias("__id"), "__tie").agg(
-        F.first(F.struct(*[F.col(c) for c in columns])).alias("__row"))
-    rows = (took.join(one, took["id"].eqNullSafe(one["__id"]) & (took["tie"] == one["__tie"]))
+    # the text is the same in all of them; JSON orders columns of any type
+    rest = F.to_json(F.struct(*[F.col(c) for c in columns if c != text_column]))
+    one = keyed.groupBy(F.col(id_column).alias("__id"), F.col(source_column).alias("__from"),
+                        "__tie").agg(
+        F.min_by(F.struct(*[F.col(c) for c in columns]), rest).alias("__row"))
+    rows = (took.join(one, took["id"].eqNullSafe(one["__id"]) & (took["tie"] == one["__tie"])
+                      & took["from_source"].eqNullSafe(one["__from"]))
             .select(F.col("words").alias("__words"),
                     *[F.col("__row").getField(c).alias(c) for c in columns]))
     part = r"[\x20\x09-\x0D]*" + NON_SPACE
