@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import WORD_BYTES, per_text, with_answer, words_of
+from driftline.llm.common import WORD_BYTES, per_text, small_batches, with_answer, words_of
 
 WINDOW = 13
 #: Bytes of benchmark text that may be broadcast; a larger benchmark is joined instead.
@@ -104,9 +106,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     """
     judge = _judge(docs, benchmark, window, with_text, max_broadcast_bytes)
     if judge is None:
-        if with_text:
-            raise ValueError("cleaned texts need a benchmark within max_broadcast_bytes")
-        return decontaminate_by_join(docs, benchmark, window, id_column, text_column)
+        return decontaminate_by_join(docs, benchmark, window, id_column, text_column, with_text)
     fields = _FIELDS if with_text else {k: v for k, v in _FIELDS.items() if k != "cleaned_text"}
     return per_text(docs, id_column, text_column, judge, fields, keep_null=True)
 
@@ -127,6 +127,29 @@ def annotate(docs: DataFrame, benchmark: DataFrame, column: str, window: int = W
             .drop("__key"))
 
 
+def without(data: bytes, hit) -> bytes:
+    """The text without its hit words; what stands before a hit word stays."""
+    kept, at = [], 0
+    for found, bad in zip(_WORD.finditer(data.translate(WORD_BYTES)), hit):
+        if bad:
+            kept.append(data[at:found.start()])
+            at = found.end()
+    return b"".join([*kept, data[at:]])
+
+
+def _cleaned(texts: pd.Series, places: pd.Series) -> pd.Series:
+    """Texts without the words at the given places, null ones null."""
+    def of(data, at):
+        if data is None:
+            return None
+        if at is not None and len(at):
+            bad = set(map(int, at))
+            data = without(data, (i in bad for i in itertools.count()))
+        return data.decode("utf-8", "replace")
+
+    return pd.Series([of(d, a) for d, a in zip(texts, places)], dtype=object)
+
+
 def _judge(docs: DataFrame, benchmark: DataFrame, window: int, with_text: bool,
            max_broadcast_bytes: int):
     """What prepares a task for judging texts; None if the benchmark is too large to broadcast."""
@@ -154,13 +177,7 @@ def _judge(docs: DataFrame, benchmark: DataFrame, window: int, with_text: bool,
             if not with_text:
                 return out
             if n_hit and data is not None:
-                spans = [m.span() for m in _WORD.finditer(data.translate(WORD_BYTES))]
-                kept, at = [], 0
-                for (start, end), bad in zip(spans, hit.tolist()):
-                    if bad:
-                        kept.append(data[at:start])
-                        at = end
-                data = b"".join([*kept, data[at:]])
+                data = without(data, hit.tolist())
             return (*out, data.decode("utf-8", "replace") if data is not None else None)
 
         return judge
@@ -175,12 +192,15 @@ def _word_list(column):
 
 
 def decontaminate_by_join(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
-                          id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+                          id_column: str = "doc_id", text_column: str = "text",
+                          with_text: bool = False) -> DataFrame:
     """The same rows for a benchmark of any size: windows of both sides meet in a join.
 
     Rows of ``docs`` with the same id and text are answered together and counted.
     """
-    texts = (docs.select(F.col(id_column).alias("__id"), _word_list(F.col(text_column)).alias("__w"))
+    body = [F.col(text_column).cast("binary").alias("__body")] if with_text else []
+    texts = (docs.select(F.col(id_column).alias("__id"), _word_list(F.col(text_column)).alias("__w"),
+                         *body)
              .withColumn("__t", F.sha2(F.array_join("__w", " "), 256)))
 
     def windows(words, size):
@@ -214,8 +234,12 @@ def decontaminate_by_join(docs: DataFrame, benchmark: DataFrame, window: int = W
     n_hit = F.when(F.col("hit").isNull(), 0).otherwise(n_hit)
     n_words = F.size("__w")
     none = F.coalesce("items", F.array().cast("array<string>"))
+    cleaned = []
+    if with_text:
+        small_batches(docs.sparkSession)
+        cleaned = [F.pandas_udf(_cleaned, "string")("__body", "hit").alias("cleaned_text")]
     return (texts.join(found, "__t", "left").select(
         F.col("__id").alias(id_column), n_words.cast("long").alias("n_words"),
         n_hit.cast("long").alias("n_hit"), F.size(none).cast("long").alias("n_items"),
         F.sha2(F.array_join(none, ","), 256).alias("items_sha256"),
-        ((n_hit > 0) & (20 * n_hit >= n_words)).alias("contaminated")))
+        ((n_hit > 0) & (20 * n_hit >= n_words)).alias("contaminated"), *cleaned))
