@@ -57,6 +57,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Keys with the most rows that :func:`join_groups` broadcasts.
+HEAVY_KEYS = 1_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """``rows`` with the columns of their group; NULL where ``groups`` has no such key.
+
+    ``groups`` has one row per (binary) key and its number of rows in ``size``. The groups
+    with most rows, a thousand at most, are broadcast, and their rows are spread instead of
+    meeting in the exchange: no key that is left there has a thousandth of all rows. They
+    are spread by the partition they were read in, which a retried task finds again.
+    """
+    values = [c for c in groups.columns if c != key]
+    heavy = groups.orderBy(F.col(size).desc(), key).limit(HEAVY_KEYS).select(
+        F.col(key).alias("__heavy"), F.struct(*values).alias("__h"))
+    met = rows.join(F.broadcast(heavy), F.col(key) == F.col("__heavy"), "left")
+    # a heavy row's key is one that no group has
+    met = met.withColumns({
+        "__own": F.when(F.col("__heavy").isNull(), F.col(key)).otherwise(
+            F.encode(F.concat(F.lit("h"), F.spark_partition_id(), F.lit("-"),
+                              F.substring(F.hex(key), 1, 4)), "UTF-8"))})
+    light = groups.select(F.col(key).alias("__light"), F.struct(*values).alias("__l"))
+    joined = met.join(light, F.col("__own") == F.col("__light"), "left").withColumn(
+        "__g", F.coalesce("__h", "__l"))
+    return joined.select(*rows.columns, *[F.col(f"__g.{c}").alias(c) for c in values])
+
+
 ARROW = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(),
          "boolean": pa.bool_(), "binary": pa.binary(), "int": pa.int32()}
 
