@@ -108,3 +108,14 @@ def hour_number(instant: Column) -> Column:
 def epoch_seconds(instant: Column) -> Column:
     since = instant - ts("1970-01-01")
     return since.cast("interval second").cast("decimal(18,6)").cast("double")
+
+
+def epoch_micros(instant: Column) -> Column:
+    """Whole microseconds since 1970, exact."""
+    since = instant.cast("timestamp_ntz") - ts("1970-01-01")
+    return (since.cast("interval second").cast("decimal(18,6)") * 1_000_000).cast("bigint")
+
+
+def from_micros(micros: Column) -> Column:
+    seconds = (micros.cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)")
+    return ts("1970-01-01") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)

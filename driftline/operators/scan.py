@@ -34,7 +34,7 @@ SMALL_SERIES_ROWS = 250_000
 PARTS, SAMPLED = 64, 100
 #: Crowded slices whose boundaries may be broadcast: PARTS keys each.
 BROADCAST_SLICES = 1_000
-_SLICE = "__slice"
+SLICE = "__slice"
 _BEFORE_TIME = -2_147_483_648  # slice of rows without an instant: they sort first
 
 
@@ -56,15 +56,19 @@ class Order:
 
 @dataclass(frozen=True)
 class Sliced:
-    """A frame with its order; ``__slice`` is present when ``cut`` is true."""
+    """A frame with its order; ``__slice`` is present when ``cut`` is true.
+
+    ``numbered`` slices have a number that no slice of another series has.
+    """
 
     df: DataFrame
     order: Order
     cut: bool
+    numbered: bool = False
 
     @property
     def keys(self) -> list[str]:
-        return [*self.order.series, *([_SLICE] if self.cut else [])]
+        return [*self.order.series, *([SLICE] if self.cut else [])]
 
     def window(self):
         return Window.partitionBy(*self.keys).orderBy(*self.order.by)
@@ -73,6 +77,14 @@ class Sliced:
         return Window.partitionBy(*self.keys).orderBy(
             *[F.col(c).desc() for c in self.order.by])
 
+    def meet(self, rows: DataFrame, summary: DataFrame) -> DataFrame:
+        """``rows`` with the columns of their slice's summary row."""
+        if not self.numbered:
+            return join_on(rows, summary, self.keys, "left")
+        # one known key: rows that lie by slice number stay where they are
+        named = summary.drop(*self.order.series).withColumnRenamed(SLICE, "__of")
+        return rows.join(named, F.col(SLICE) == F.col("__of"), "left").drop("__of")
+
     def with_df(self, df: DataFrame) -> "Sliced":
         return replace(self, df=df)
 
@@ -84,8 +96,13 @@ class Sliced:
         lean = self.df.drop(*drop)
         return self.with_df(stage(lean) if self.cut else lean)
 
+    def in_order(self, order: Order) -> "Sliced":
+        if order != self.order:
+            raise ValueError(f"the slices are stored for {self.order}, not {order}")
+        return self
+
     def plain(self) -> DataFrame:
-        return self.df.drop(_SLICE)
+        return self.df.drop(SLICE)
 
 
 def _slice_column(order: Order, grain: str) -> Column:
@@ -117,7 +134,11 @@ def slice_series(df: DataFrame, order: Order, scan: str = "auto",
     ``scan='auto'`` measures the frame and takes the coarsest cut that fits. Whole
     series are taken when they are small or spread evenly enough to keep all cores
     busy. The bound is held by ``auto`` and ``range``; the other cuts are the caller's.
+    Slices that are stored (:mod:`driftline.operators.stored`) are taken as they are:
+    every scan accepts them in place of a frame.
     """
+    if isinstance(df, Sliced):
+        return df.in_order(order)
     if scan == "auto":
         sizes = measure(df, order)
         total, largest = sizes["total"], sizes["series"]
@@ -128,9 +149,9 @@ def slice_series(df: DataFrame, order: Order, scan: str = "auto",
     if scan == "series":
         return Sliced(df, order, cut=False)
     if scan == "range":
-        hours = df.withColumn(_SLICE, F.array(_slice_column(order, "hour")))
+        hours = df.withColumn(SLICE, F.array(_slice_column(order, "hour")))
         return Sliced(_split_crowded(hours, order, max_rows), order, cut=True)
-    return Sliced(df.withColumn(_SLICE, _slice_column(order, scan)), order, cut=True)
+    return Sliced(df.withColumn(SLICE, _slice_column(order, scan)), order, cut=True)
 
 
 def _split_crowded(df: DataFrame, order: Order, max_rows: int) -> DataFrame:
@@ -139,7 +160,7 @@ def _split_crowded(df: DataFrame, order: Order, max_rows: int) -> DataFrame:
     The boundaries of the parts are keys of rows, sampled by a hash, so the slice of a row
     depends on its values alone and a retried task finds the same one.
     """
-    keys = [*order.series, _SLICE]
+    keys = [*order.series, SLICE]
     place = F.struct(*order.by)
     before = None
     while True:
@@ -166,8 +187,8 @@ def _split_crowded(df: DataFrame, order: Order, max_rows: int) -> DataFrame:
                   .groupBy(*keys).agg(F.array_sort(F.collect_list("__at")).alias("__starts")))
         placed = join_on(df, F.broadcast(starts) if small else starts, keys, "left")
         number = F.size(F.filter("__starts", lambda at: at <= place))
-        df = placed.withColumn(_SLICE, F.when(F.col("__starts").isNull(), F.col(_SLICE)).otherwise(
-            F.concat(F.col(_SLICE), F.array(number)))).drop("__starts")
+        df = placed.withColumn(SLICE, F.when(F.col("__starts").isNull(), F.col(SLICE)).otherwise(
+            F.concat(F.col(SLICE), F.array(number)))).drop("__starts")
 
 
 def _before(window):
@@ -183,8 +204,8 @@ class _Carry:
 
     def __init__(self, sliced: Sliced):
         self.all = Window.partitionBy(*sliced.order.series)
-        self.forward = self.all.orderBy(_SLICE)
-        self.backward = self.all.orderBy(F.col(_SLICE).desc())
+        self.forward = self.all.orderBy(SLICE)
+        self.backward = self.all.orderBy(F.col(SLICE).desc())
 
     def total_before(self, c) -> Column:
         return F.coalesce(F.sum(c).over(_before(self.forward)), F.lit(0))
@@ -211,7 +232,7 @@ def _running_sum(sliced: Sliced, amount: Column, out: str) -> Sliced:
     sums = df.groupBy(*sliced.keys).agg(F.sum("__a").alias("__a"))
     carry = _Carry(sliced)
     prior = sums.select(*sliced.keys, F.sum("__a").over(_before(carry.forward)).alias("__p"))
-    joined = join_on(local, prior, sliced.keys, "left")
+    joined = sliced.meet(local, prior)
     total = F.when(F.col("__s").isNotNull() | F.col("__p").isNotNull(),
                    F.coalesce("__s", F.lit(0)) + F.coalesce("__p", F.lit(0)))
     return sliced.with_df(joined.withColumn(out, total).drop("__a", "__s", "__p"))
@@ -228,7 +249,7 @@ def with_position(df: DataFrame, order: Order, out: str = "idx",
     """Row number from 1 in each series."""
     sliced = slice_series(df, order, scan)
     if not sliced.cut:
-        return df.withColumn(out, F.row_number().over(sliced.window()).cast("bigint"))
+        return sliced.df.withColumn(out, F.row_number().over(sliced.window()).cast("bigint"))
     return _running_sum(sliced, F.lit(1).cast("bigint"), out).plain()
 
 
@@ -243,7 +264,7 @@ def _previous(sliced: Sliced, cols: Sequence[str], prefix: str = "__prev_") -> S
             F.max_by(row, F.struct(*sliced.order.by)).alias("__t"))
         carried = last.select(
             *sliced.keys, F.lag("__t").over(_Carry(sliced).forward).alias("__c"))
-        local = join_on(local, carried, sliced.keys, "left").withColumn(
+        local = sliced.meet(local, carried).withColumn(
             "__l", F.coalesce("__l", "__c")).drop("__c")
     out = local.withColumns({prefix + c: F.col("__l").getField(c) for c in cols})
     return sliced.with_df(out.drop("__l"))
@@ -267,8 +288,7 @@ def locf(df: DataFrame, cols: str | Iterable[str], order: Order, suffix: str = "
     cols = [cols] if isinstance(cols, str) else list(cols)
     sliced = slice_series(df, order, scan)
     window = _upto(sliced.window())
-    local = df if not sliced.cut else sliced.df
-    local = local.withColumns(
+    local = sliced.df.withColumns(
         {f"__f_{c}": F.last(c, ignorenulls=True).over(window) for c in cols})
     if sliced.cut:
         last = sliced.df.groupBy(*sliced.keys).agg(*[
@@ -277,12 +297,12 @@ def locf(df: DataFrame, cols: str | Iterable[str], order: Order, suffix: str = "
         carry = _Carry(sliced)
         carried = last.select(*sliced.keys, *[
             carry.last_before(f"__t_{c}").alias(f"__c_{c}") for c in cols])
-        local = join_on(local, carried, sliced.keys, "left")
+        local = sliced.meet(local, carried)
         filled = {c + suffix: F.coalesce(f"__f_{c}", f"__c_{c}") for c in cols}
     else:
         filled = {c + suffix: F.col(f"__f_{c}") for c in cols}
     scratch = [f"__f_{c}" for c in cols] + [f"__c_{c}" for c in cols]
-    return local.withColumns(filled).drop(_SLICE, *scratch)
+    return local.withColumns(filled).drop(SLICE, *scratch)
 
 
 # interpolation --------------------------------------------------------------
@@ -320,7 +340,7 @@ def _interpolate(sliced: Sliced, cols: Sequence[str], x: str, suffix: str) -> Sl
             *sliced.keys, "__off",
             *[carry.last_before(moved(f"__hi_{c}")).alias(f"__cb_{c}") for c in cols],
             *[carry.first_after(moved(f"__lo_{c}")).alias(f"__cn_{c}") for c in cols])
-        local = join_on(local, state, sliced.keys, "left")
+        local = sliced.meet(local, state)
         local = local.withColumns({
             name: F.coalesce(moved(name), F.col(name.replace("__b_", "__cb_", 1)
                                                 .replace("__n_", "__cn_", 1)))
@@ -428,7 +448,7 @@ def _runs(sliced: Sliced, col: str, value) -> Sliced:
             carry.total_before(F.col("tno") + one("__th")).alias("__tno0"),
             carry.last_before(hi).alias("__s0"), carry.last_before(thi).alias("__ts0"),
             carry.first_after(lo).alias("__e0"), carry.first_after(tlo).alias("__te0"))
-        local = join_on(local, state, sliced.keys, "left")
+        local = sliced.meet(local, state)
     else:
         everything = Window.partitionBy(*sliced.keys)
         zero, none, no = F.lit(0).cast("bigint"), F.lit(None).cast("bigint"), F.lit(False)
@@ -477,7 +497,7 @@ def run_id(df: DataFrame, col: str, value, order: Order, out: str = "id",
     runs_ = _runs(slice_series(df, order, scan), col, value)
     number = "carried_id" if carry else "run_id"
     return _drop_run_columns(runs_.df.withColumn("__id", F.col(number))) \
-        .withColumnRenamed("__id", out).drop(_SLICE)
+        .withColumnRenamed("__id", out).drop(SLICE)
 
 
 def runs(df: DataFrame, col: str, order: Order, value=None, scan: str = "auto") -> DataFrame:
@@ -520,7 +540,7 @@ def with_run_position(df: DataFrame, col: str, value, order: Order, grouping: st
     head, tail = _edge_positions(grouping)
     number = "carried_id" if grouping == "carry" else "run_id"
     out = numbered.df.withColumns({"__i": F.col(number), "__h": head, "__t": tail})
-    return _drop_run_columns(out).drop(_SLICE).withColumnsRenamed(
+    return _drop_run_columns(out).drop(SLICE).withColumnsRenamed(
         {"__i": "id", "__h": "from_start", "__t": "from_end"})
 
 
@@ -542,7 +562,7 @@ def trim_runs(df: DataFrame, cols: Iterable[str], status: str, value, order: Ord
     numbered = _runs(slice_series(df, order, scan), status, value)
     trimmed = _trim(numbered, cols, head, tail, background).df
     return _drop_run_columns(trimmed.withColumn("__id", F.col("run_id"))) \
-        .withColumnRenamed("__id", "id").drop(_SLICE)
+        .withColumnRenamed("__id", "id").drop(SLICE)
 
 
 def flag_run_edges(df: DataFrame, status: str, value, order: Order, head: int, tail: int,
@@ -550,7 +570,7 @@ def flag_run_edges(df: DataFrame, status: str, value, order: Order, head: int, t
                    scan: str = "auto") -> DataFrame:
     """1 on the first ``head`` and last ``tail`` samples of each group, else 0."""
     numbered = _runs(slice_series(df, order, scan), status, value)
-    return _drop_run_columns(_flag_edges(numbered, head, tail, grouping, out).df).drop(_SLICE)
+    return _drop_run_columns(_flag_edges(numbered, head, tail, grouping, out).df).drop(SLICE)
 
 
 def _flag_edges(sliced: Sliced, head: int, tail: int, grouping: str, out: str) -> Sliced:

@@ -10,6 +10,7 @@ from pyspark.sql.types import NumericType
 from driftline.functions.angles import direction_of, speed_of
 from driftline.functions.stats import mean_strict
 from driftline.functions.times import bin_seconds, time_bin
+from driftline.operators.groups import join_on
 
 
 def time_average(df: DataFrame, every: str = "1 minute", by: Iterable[str] = (),
@@ -74,4 +75,4 @@ def pad_bins(df: DataFrame, every: str, by: Iterable[str] = (), time: str = "dat
     last = F.least(F.col("__hi"), F.col("__lo") + F.expr(f"INTERVAL '{chunk - step}' SECOND"))
     bins = chunks.select(*by, F.explode(F.sequence(
         F.col("__lo"), last, F.expr(f"INTERVAL '{step}' SECOND"))).alias(time))
-    return bins.join(df, [*by, time], "left").select(*df.columns)
+    return join_on(bins, df, [*by, time], "left").select(*df.columns)

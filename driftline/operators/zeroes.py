@@ -11,7 +11,7 @@ from driftline.functions.cond import clip_to_null, combine_flags, r_ifelse
 from driftline.operators.groups import distinct_stats, group_mean, group_median, join_on
 from driftline.operators.intervals import Interval, rule_column
 from driftline.operators.rows import exclude
-from driftline.operators.scan import (MAX_SLICE_ROWS, Order, Sliced, _drop_run_columns,
+from driftline.operators.scan import (MAX_SLICE_ROWS, SLICE, Order, Sliced, _drop_run_columns,
                                       _RUN_COLUMNS, _interpolate, _runs, _trim, run_id,
                                       slice_series)
 from driftline.session import small_table
@@ -51,18 +51,20 @@ def apply_offset_table(df: DataFrame, table: DataFrame, targets: Iterable[str],
                        key: str = "station", suffix: str = "_corr") -> DataFrame:
     """The same with computed offsets: one row per key, one column per target.
 
-    The table is broadcast only once its size is known to be small.
+    The table is broadcast only once its size is known to be small. An unknown key is a
+    key like any other: it meets the table's row without one.
     """
     targets = list(targets)
     named = table.select(key, *[F.col(t).alias(f"__o_{t}") for t in targets])
-    joined = df.join(small_table(named) or named, key, "left")
+    joined = join_on(df, small_table(named) or named, [key], "left")
     corrected = {t + suffix: F.col(t) - F.col(f"__o_{t}") for t in targets}
     return joined.withColumns(corrected).drop(*[f"__o_{t}" for t in targets])
 
 
 def missing_keys(df: DataFrame, table: DataFrame, key: str = "station") -> DataFrame:
-    """Keys of ``df`` without a computed offset."""
-    return df.select(key).distinct().join(table.select(key), key, "left_anti")
+    """Keys of ``df`` without a computed offset, an unknown one among them."""
+    known = table.select(F.col(key).alias("__key"))
+    return df.select(key).distinct().join(known, F.col(key).eqNullSafe(F.col("__key")), "left_anti")
 
 
 def apply_constant(df: DataFrame, offsets: Mapping[str, float],
@@ -121,7 +123,7 @@ def _attach(sliced: Sliced, table: DataFrame, keys: list[str]) -> Sliced:
     touched = tagged.filter("__in").select(*spread).distinct()
     local = join_on(touched, table, keys, "inner").withColumn("__in", F.lit(True))
     named = local.withColumnsRenamed({k: f"__r_{k}" for k in spread})
-    same = [F.col(k) == F.col(f"__r_{k}") if k in sliced.keys or k == "run_id"
+    same = [F.col(k) == F.col(f"__r_{k}") if k in (SLICE, "run_id")
             else F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in spread]
     named = named.withColumnRenamed("__in", "__r_in")
     joined = tagged.join(named, [*same, F.col("__in") == F.col("__r_in")], "left")

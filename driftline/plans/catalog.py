@@ -11,13 +11,14 @@ from collections.abc import Callable
 from dataclasses import replace
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, Window, functions as F
 from pyspark.sql.types import (DoubleType, IntegerType, LongType, StructType,
                                TimestampNTZType)
 
 from driftline.functions import cond, times
 from driftline.functions.angles import direction_of, wrap_once
-from driftline.operators import calibration, groups, intervals, rows, scan, timebin, zeroes
+from driftline.operators import (calibration, groups, intervals, rows, rule_tables, scan, stored,
+                                 timebin, zeroes)
 from driftline.operators.align import align_full, align_left
 from driftline.operators.intervals import Interval
 from driftline.operators.scan import Order
@@ -219,6 +220,20 @@ def time_mean_padded(spark, sf):
                                         columns=["o3"], pad=True))
 
 
+@query(f"""with {_M},
+  a as (select nullif(event_type, 'error') as event_type,
+    time_bucket(interval '10 minutes', date) as date, avg(o3) as o3 from m group by all),
+  s as (select event_type, min(date) as lo, max(date) as hi from a group by all),
+  b as (select event_type, unnest(generate_series(lo, hi, interval '10 minutes')) as date from s)
+  select b.event_type, b.date, {_r('o3')} from b left join a
+    on b.event_type is not distinct from a.event_type and b.date = a.date""")
+def time_mean_padded_unknown_series(spark, sf):
+    """One series has no name; it is padded like any other."""
+    df = measured(spark, sf).withColumn("event_type", F.nullif("event_type", F.lit("error")))
+    return rounded(timebin.time_average(df, "10 minutes", by=["event_type"], columns=["o3"],
+                                        pad=True))
+
+
 def _wind_sql(weight: str, speed: str) -> str:
     return f"""with w as ({_select(_MET)}),
   a as (select date_trunc('hour', date) as date, avg({weight} * sin(radians(rel_wd))) as u,
@@ -465,7 +480,7 @@ def station_zero_medians(spark, sf):
 @query(f"""with {_CLEAN_ZEROES_SQL}, o as (select station, median(no) as no, median(no2) as no2
     from z group by station)
   select event_id, {_r('m1.no - o.no', 'no_corr')}, {_r('m1.no2 - o.no2', 'no2_corr')}
-  from m1 left join o using (station)""")
+  from m1 left join o on m1.station is not distinct from o.station""")
 def offset_table_computed(spark, sf):
     table = _station_zeroes(spark, sf, stat="median")
     out = zeroes.apply_offset_table(_clean(spark, sf), table, ["no", "no2"])
@@ -473,11 +488,76 @@ def offset_table_computed(spark, sf):
 
 
 @query(f"""with {_CLEAN_ZEROES_SQL} select distinct station from m1
-  where station not in (select station from z)""")
+  where not exists (select 1 from z where z.station is not distinct from m1.station)""")
 def offset_table_missing_stations(spark, sf):
     return zeroes.missing_keys(_clean(spark, sf), _station_zeroes(spark, sf))
 
 
+# intervals as a table ---------------------------------------------------------
+
+#: Rules made from the events: windows of their type, open or closed, some without a bound,
+#: some that end before they start, most of them overlapping.
+_WINDOWS = {
+    "start": "case when event_id % 997 <> 3 then ts - INTERVAL '592' DAY end",
+    "end": "case when event_id % 991 <> 5 then ts - INTERVAL '592' DAY "
+           "+ INTERVAL '1' MINUTE * (event_id % 173 - 3) end",
+    "label": "case when event_id % 19 <> 0 then concat(event_type, ' ', cast(user_id as varchar(9))) end",
+    "p": "case when event_id % 7 <> 0 then case when event_id % 997 = 3 or event_id % 991 = 5 "
+         "then 1000 else user_id end end",
+    "closed": "event_id % 2 = 0",
+}
+
+
+def _window_table(spark, sf):
+    return _events(spark, sf).where("event_id % 3 = 0").select(
+        *[F.expr(e).alias(n) for n, e in _WINDOWS.items()])
+
+
+_WINDOW_SQL = f"""w as ({_select(_WINDOWS).replace('"end"', 'end')} where event_id % 3 = 0),
+  i as (select *, coalesce("start", timestamp '0001-01-01') as lo,
+    coalesce("end", timestamp '9999-01-01') as hi from w where label is not null),
+  j as (select m.event_id, i.label, i.p from m join i on m.date >= lo and m.date <= hi
+    where closed or (m.date > lo and m.date < hi)),
+  k as (select event_id, first(label order by p nulls last, label) as label from j group by 1)"""
+
+
+@query(f"""with {_M}, {_WINDOW_SQL} select event_id, label from m left join k using (event_id)""")
+def rule_table_tag(spark, sf):
+    """A rule table as long as a third of the events, its stretches met range by range."""
+    return rule_tables.tag_by_table(measured(spark, sf), _window_table(spark, sf), "label",
+                                    few=100, range_rows=20_000).select("event_id", "label")
+
+
+@query(f"""with {_M}, {_WINDOW_SQL.replace('% 3 = 0', '% 101 = 0')}
+  select event_id, case when label is null then 0 else 1 end as flag from m left join k using (event_id)""")
+def rule_table_flag(spark, sf):
+    """A short rule table: its stretches become conditions."""
+    table = _events(spark, sf).where("event_id % 101 = 0").select(
+        *[F.expr(e).alias(n) for n, e in _WINDOWS.items()])
+    return rule_tables.flag_by_table(
+        measured(spark, sf), table.withColumn("label", F.when(F.col("label").isNotNull(), 1)),
+        "flag").select("event_id", "flag")
+
+
+@query("""with w as (select event_id, ts as lo, ts + INTERVAL '1' MINUTE * (event_id % 173) as hi,
+    user_id as p, event_type as label from events where event_id % 4 = 0),
+  v as (select * from w where lo < hi),
+  c as (select t as a, lead(t) over (order by t) as b
+    from (select distinct unnest([lo, hi]) as t from v)),
+  s as (select a, b, first(label order by p, label) as label from c join v on lo <= a and hi >= b
+    group by all)
+  select label, cast(sum(datediff('microsecond', a, b)) as bigint) as covered from s group by 1""")
+def rule_table_stretches(spark, sf):
+    """How long each label is in force after the overlaps are resolved, in many ranges."""
+    table = _events(spark, sf).where("event_id % 4 = 0").select(
+        # open bounds a microsecond apart hold [lo, hi)
+        (F.col("ts") - F.expr("INTERVAL '0.000001' SECOND")).alias("start"),
+        F.expr("ts + INTERVAL '1' MINUTE * (event_id % 173)").alias("end"),
+        F.col("event_type").alias("label"), F.col("user_id").alias("p"))
+    found = rule_tables.resolve_intervals(table, cuts=500)
+    return found.groupBy("label").agg(F.sum(F.col("hi") - F.col("lo")).alias("covered"))
+
+
 # joins ----------------------------------------------------------------------
 
 def _channel_means(spark, sf):
@@ -526,6 +606,43 @@ def align_full_repeated_keys(spark, sf):
     return align_full([shipped, ordered])
 
 
+_REPEATED_SQL = """with a as (select cast(ts as date) as date, event_id from events
+    where event_type = 'error' and event_id % 5 = 0),
+  b as (select o_orderdate as date, o_orderkey from orders where o_orderkey % 3 = 0),
+  c as (select date_trunc('day', l_shipdate) as date, l_returnflag, count(*) as shipped
+    from lineitem group by all),
+  d as (select case when n_nationkey % 4 = 0 then null else timestamp '1994-01-01'
+    + interval (n_nationkey * 7) day end as date, n_name from nation)
+  select date, event_id, o_orderkey, l_returnflag, shipped, n_name
+  from a full join b using (date) full join c using (date) full join d using (date)"""
+
+
+def _repeated(spark, sf):
+    """Four tables that all repeat instants; one has rows without an instant."""
+    day = lambda c: F.date_trunc("day", c).cast("timestamp_ntz").alias("date")
+    return [
+        _events(spark, sf).where("event_type = 'error' and event_id % 5 = 0").select(
+            day("ts"), "event_id"),
+        _table(spark, sf, "orders").where("o_orderkey % 3 = 0").select(
+            day("o_orderdate"), "o_orderkey"),
+        _table(spark, sf, "lineitem").groupBy(day("l_shipdate"), "l_returnflag").agg(
+            F.count(F.lit(1)).alias("shipped")),
+        _table(spark, sf, "nation").select(F.when(F.col("n_nationkey") % 4 != 0, F.expr(
+            "TIMESTAMP_NTZ '1994-01-01' + make_dt_interval(cast(n_nationkey * 7 as int))"))
+            .alias("date"), "n_name")]
+
+
+@query(_REPEATED_SQL)
+def align_full_many_repeated(spark, sf):
+    return align_full(_repeated(spark, sf))
+
+
+@query(_REPEATED_SQL)
+def align_full_many_repeated_cut(spark, sf):
+    """The same with every key of more than two rows in a table cut into parts."""
+    return align_full(_repeated(spark, sf), key_rows=2)
+
+
 # groups ---------------------------------------------------------------------
 
 @query(f"""with {_M}, s as (select *, {_STATION} as station from m) select station,
@@ -598,6 +715,18 @@ def run_ids_by_day(spark, sf):
     return scan.run_id(_status(spark, sf), "zb", 1, _ORDER, scan="day").select("event_id", "id")
 
 
+def _stored(spark, sf, df, order, **options):
+    """A layout in a new folder, made from the events."""
+    return stored.store_slices(df, order, new_folder(spark, "layout"), f"{sf}/events.parquet",
+                               **options)
+
+
+@query(_RUN_IDS_SQL)
+def run_ids_stored(spark, sf):
+    slices = _stored(spark, sf, _status(spark, sf), _ORDER)
+    return scan.run_id(slices, "zb", 1, _ORDER).select("event_id", "id")
+
+
 @query(_RUN_IDS_SQL)
 def run_ids_by_range(spark, sf):
     return scan.run_id(_status(spark, sf), "zb", 1, _ORDER, scan="range").select("event_id", "id")
@@ -732,6 +861,12 @@ def interpolate(spark, sf):
                    .select("event_id", "v"))
 
 
+@query(_LINE_SQL)
+def interpolate_stored(spark, sf):
+    slices = _stored(spark, sf, _derived(spark, sf, _SPARSE), _ORDER, max_rows=50)
+    return rounded(scan.interpolate(slices, "v", _ORDER).select("event_id", "v"))
+
+
 @query(_LINE_SQL)
 def interpolate_by_day(spark, sf):
     return rounded(scan.interpolate(_derived(spark, sf, _SPARSE), "v", _ORDER, scan="day")
@@ -1225,6 +1360,65 @@ def parquet_by_day(spark, sf):
     return rounded(timebin.time_average(spark.read.parquet(path), "1 hour", columns=["no"]))
 
 
+#: Fields of a raw line, some of which cannot be converted, and what follows the last one.
+_RAW = {
+    "event_id": "cast(event_id as varchar(20))",
+    "date": "case when event_id % 23 = 0 then 'yesterday' when event_id % 29 = 0 then 'NA' "
+            "else substr(cast(ts as varchar(30)), 1, 19) end",
+    "no": "case when event_id % 7 = 0 then 'missing' when event_id % 11 = 0 then '1,5' "
+          "when event_id % 13 = 0 then '<0.3' when event_id % 17 = 0 then 'NaN' "
+          "else cast(event_id % 100 as varchar(20)) end",
+    "zero_box": "case when event_id % 19 = 0 then '1.5' else '1' end",
+}
+_TAIL = "case when event_id % 31 = 0 then ',more' when event_id % 37 = 0 then ',a,b' else '' end"
+
+
+@query(f"""with r as (select {', '.join(f'{e} as "{n}"' for n, e in _RAW.items())}, {_TAIL} as tail,
+    event_id % 41 = 0 as short from events),
+  f as (select *, case when not short then zero_box end as z from r)
+  select count(*) as n_rows, count(*) filter (short) as n_short,
+    count(*) filter (not short and tail <> '') as n_long, cast(0 as bigint) as n_lost_event_id,
+    count(*) filter ("date" = 'yesterday') as n_lost_date,
+    count(*) filter (no in ('1,5', '<0.3')) as n_lost_no,
+    count(*) filter (z = '1.5') as n_lost_zero_box from f""")
+def csv_losses(spark, sf):
+    """What a reader could not convert, counted while the table is written."""
+    path, out = new_folder(spark, "raw"), new_folder(spark, "typed")
+    quoted = {n: f"concat('\"', {e}, '\"')" if n == "no" else e for n, e in _RAW.items()}
+    whole = F.concat(F.concat_ws(",", *[F.expr(e) for e in quoted.values()]), F.expr(_TAIL))
+    short = F.concat_ws(",", *[F.expr(e) for e in list(quoted.values())[:3]])
+    lines = _events(spark, sf).select(F.when(F.col("event_id") % 41 == 0, short).otherwise(
+        whole).alias(",".join(_RAW)))
+    # no field holds a tab, so the lines are written as they are
+    lines.write.options(header=True, sep="\t", quote="\0").csv(path)
+    schema = (StructType().add("event_id", LongType()).add("date", TimestampNTZType())
+              .add("no", DoubleType()).add("zero_box", IntegerType()))
+    seen = Observation()
+    tables.read_table(spark, path, schema, observe=seen).write.parquet(out)
+    return spark.createDataFrame([seen.get])
+
+
+@query("""select row_number() over (order by date_trunc('second', ts - INTERVAL '592' DAY), event_id)
+    as line, event_id from events""")
+def csv_order(spark, sf):
+    """The numbers of the lines of a sorted sink, over all its files."""
+    path = new_folder(spark, "sorted")
+    tables.write_table(measured(spark, sf).select(
+        F.date_trunc("second", "date").cast("timestamp_ntz").alias("date"), "event_id"),
+        path, "csv", sort_by=["date", "event_id"])
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("n")).where("value <> 'date,event_id'")
+    files = lines.groupBy("file").agg(F.count(F.lit(1)).alias("rows"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("file", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("file").orderBy("block", "n"))
+    return lines.withColumn("inside", inside).join(files, "file").select(
+        (F.col("before") + F.col("inside")).alias("line"),
+        F.split("value", ",")[1].cast("bigint").alias("event_id"))
+
+
 def _log_files(spark, sf):
     """Two sets of logger files, the first an hour ahead of UTC and with two headers."""
     base = _events(spark, sf)

@@ -4,7 +4,7 @@ import os
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructType, TimestampNTZType
 
 from driftline.plans import rules
@@ -139,3 +139,54 @@ def test_stage_and_small_table(spark):
     assert all(folder in f for f in staged.inputFiles())
     assert small_table(df, 5) is None
     assert sorted(small_table(df, 20).collect()) == sorted(df.collect())
+
+
+def test_paths_that_look_like_patterns(spark, tmp_path):
+    put(tmp_path / "p", "a[1].csv", "date,no\n2022-06-01 00:00:00,1\n")
+    path = put(tmp_path / "p", "b{x}.csv", "no,date\n2,2022-06-01 00:00:10\n")
+    assert sorted(r.no for r in tables.read_table(spark, path, SCHEMA).collect()) == [1.0, 2.0]
+
+
+def test_headers_are_read_without_the_files(spark, tmp_path):
+    """What the header pass reads does not grow with the files."""
+    def read_by(action):
+        known = spark._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics
+        before = sum(x.getBytesRead() for x in known())
+        action()
+        return sum(x.getBytesRead() for x in known()) - before
+
+    def files(name, lines):
+        put(tmp_path / name, "a.csv", "date,no\n" + "2022-06-01 00:00:00,1\n" * lines)
+        return put(tmp_path / name, "b.csv", "no,date\n" + "1,2022-06-01 00:00:00\n" * lines)
+
+    small, large = files("small", 10_000), files("large", 1_000_000)
+    bytes_read = [read_by(lambda: tables.files_by_header(spark, p)) for p in (small, large)]
+    assert os.path.getsize(f"{large}/a.csv") > 20_000_000
+    assert 0 < bytes_read[1] < 2_000_000, bytes_read
+
+
+def test_what_could_not_be_read(spark, tmp_path):
+    path = put(tmp_path / "r", "a.csv",
+               "date,no,zero_box,note\n2022-06-01 00:00:00,1.5,1,fine\n"
+               "yesterday,\"1,5\",1.5,NA\n2022-06-01 00:00:20,missing,NA,\n"
+               "2022-06-01 00:00:30,1\n2022-06-01 00:00:40,oops,1,a,b\n2022-06-01 00:00:50,NaN,1,z\n")
+    put(tmp_path / "r", "b.csv", "no,date\nbad,2022-06-02 00:00:00\n")
+    seen = Observation()
+    got = tables.read_table(spark, path, SCHEMA, rescue="lost", observe=seen)
+    rows = {str(r.date)[8:]: r for r in got.collect()}
+    assert rows["01 00:00:00"].lost is None and rows["01 00:00:20"].lost is None
+    assert rows["01 00:00:50"].lost is None and rows["01 00:00:50"].no is None
+    bad = rows["" if "" in rows else [k for k in rows if rows[k].date is None][0]]
+    assert bad.lost.fields == {"date": "yesterday", "no": "1,5", "zero_box": "1.5"}
+    assert (bad.lost.misfit, bad.lost.line) == (None, None)
+    short, long = rows["01 00:00:30"].lost, rows["01 00:00:40"].lost
+    assert (short.misfit, short.line, short.fields) == ("short", "2022-06-01 00:00:30,1", {})
+    assert (long.misfit, long.fields) == ("long", {"no": "oops"})
+    assert rows["02 00:00:00"].lost.fields == {"no": "bad"}
+    assert seen.get == {"n_rows": 7, "n_short": 1, "n_long": 1, "n_lost_date": 1, "n_lost_no": 3,
+                        "n_lost_zero_box": 1}
+    plain = tables.read_table(spark, path, SCHEMA)
+    assert got.drop("lost").dtypes == plain.dtypes
+    assert sorted(map(str, got.drop("lost").collect())) == sorted(map(str, plain.collect()))
+    counted = Observation()
+    assert tables.read_table(spark, path, SCHEMA, observe=counted).columns == plain.columns

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftline.functions import cond
-from driftline.operators import align, intervals, rows
+from driftline.operators import align, intervals, rows, zeroes
 from driftline.operators.intervals import Interval, Value
 from driftline.plans import products, rules
 
@@ -197,3 +197,40 @@ def test_older_mask_needs_its_flags(spark):
     with pytest.raises(ValueError, match="co_cal"):
         products.qc_mask_older(df)
     assert products.qc_mask_older(df, skip=["co_cal", "flag_all"]).first().co == 1.0
+
+
+def brute_full(tables):
+    """A fold of full joins over lists of (key, value)."""
+    done = [(k, (v,)) for k, v in tables[0]]
+    for n, table in enumerate(tables[1:], 1):
+        out = []
+        for k, vs in done:
+            met = [v for other, v in table if other is not None and other == k]
+            out += [(k, (*vs, v)) for v in met or [None]]
+        known = {k for k, _ in done if k is not None}
+        out += [(k, (None,) * n + (v,)) for k, v in table if k not in known]
+        done = out
+    return sorted(done, key=str)
+
+
+@pytest.mark.parametrize("key_rows", [1, 2, 3, 1000])
+def test_many_tables_multiply_their_repeats(spark, key_rows):
+    rng = random.Random(key_rows)
+    data = [[(rng.choice([None, 1, 2, 3, 4, 4, 4]), rng.randrange(3)) for _ in range(n)]
+            for n in (12, 9, 0, 14)]
+    frames = [spark.createDataFrame(rows, f"date int, v{i} int").repartition(3)
+              for i, rows in enumerate(data)]
+    got = align.align_full(frames, key_rows=key_rows)
+    assert got.columns == ["date", "v0", "v1", "v2", "v3"]
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hash") == 1
+    assert sorted(((r[0], tuple(r[1:])) for r in got.collect()), key=str) == brute_full(data)
+
+
+def test_offsets_of_an_unknown_key(spark):
+    df = spark.createDataFrame([("a", 5.0), (None, 7.0), ("b", 1.0)], "station string, no double")
+    table = spark.createDataFrame([("a", 1.0), (None, 2.0)], "station string, no double")
+    got = zeroes.apply_offset_table(df, table, ["no"])
+    assert {r.station: r.no_corr for r in got.collect()} == {"a": 4.0, None: 5.0, "b": None}
+    assert [r.station for r in zeroes.missing_keys(df, table).collect()] == ["b"]
+    assert [r.station for r in zeroes.missing_keys(df, table.where("station = 'a'")).orderBy(
+        "station").collect()] == [None, "b"]

@@ -119,6 +119,37 @@ def test_bracketed_median_is_exact(spark):
     assert groups.group_median(large, ["g"], ["x"], max_rows=10).first().x == want["a"]
 
 
+def test_median_exchanges_the_middle_only(spark):
+    """Of a large group only the values inside the bracket leave the tasks that read them."""
+    df = spark.range(0, 200_000, 1, 8).select(
+        (F.col("id") % 2).alias("g"), F.rand(3).alias("x"), (F.col("id") % 977).alias("y"))
+    known = df.select("g").distinct()
+    bounds = groups.brackets(df, ["g"], ["x", "y"], known, max_rows=2000)
+    values = groups.middle_values(df, ["g"], ["x", "y"], bounds)
+    assert values.where("__side = 0 and __c = 0").count() < 2 * 2000
+    assert values.agg(F.sum("__n")).first()[0] == 400_000
+    got = {r.g: (r.x, r.y) for r in groups.group_median(df, ["g"], ["x", "y"], 2000).collect()}
+    want = {r.g: (r.x, r.y) for r in df.groupBy("g").agg(F.median("x").alias("x"),
+                                                         F.median("y").alias("y")).collect()}
+    assert got == want
+    # what is exchanged has been grouped by value and side in the task that read it
+    plan = groups.group_median(df, ["g"], ["x", "y"], 2000)._jdf.queryExecution().executedPlan().toString()
+    below = [plan[i:].split("\n")[1] for i in range(len(plan)) if plan.startswith("Exchange hash", i)]
+    assert below and all("Aggregate" in x for x in below)
+
+
+def test_bad_summaries_do_not_matter(spark, monkeypatch):
+    """A summary that misses the middle costs a round, not the answer."""
+    df = spark.range(5001).select(F.lit(None).cast("int").alias("g"),
+                                  (F.col("id") * 7919 % 5003).cast("double").alias("x"))
+    real = groups.F.percentile_approx
+    monkeypatch.setattr(groups.F, "percentile_approx", lambda c, q, a: F.transform(
+        real(c, q, a), lambda v: v + 4000))
+    want = df.agg(F.median("x")).first()[0]
+    assert [tuple(r) for r in groups.group_median(df, ["g"], ["x"], 10).collect()] == [(None, want)]
+    assert groups.group_median(df, [], ["x"], 10).collect()[0].x == want
+
+
 def test_median_of_many_columns_and_of_nothing(spark):
     df = spark.createDataFrame(
         [("a", 1.0, 5), ("a", 2.0, None), ("a", 2.0, 6), (None, None, 1), (None, None, 4),
@@ -133,6 +164,12 @@ def test_distinct_and_lod(spark):
     df = spark.createDataFrame([(1.0,), (1.0,), (3.0,)], "x double")
     row = groups.distinct_stats(df, ["x"]).first()
     assert (row.x_mean, row.x_sd) == pytest.approx((2, math.sqrt(2)))
+    two = spark.createDataFrame([(None, 1, 5.0), (None, 1, None), (None, 3, 5.0), ("a", None, None)],
+                                "g string, x int, y double")
+    stats = groups.distinct_stats(two, ["x", "y"], ["g"])
+    assert {r.g: tuple(r)[1:] for r in stats.collect()} == {
+        None: (2.0, pytest.approx(math.sqrt(2)), 5.0, None), "a": (None, None, None, None)}
+    assert "Expand" not in stats._jdf.queryExecution().executedPlan().toString()
     no, no2 = [1.0, 1.01, 1.02], [2.0, 2.02, 2.04]
     df = spark.createDataFrame([(4, a, b) for a, b in zip(no, no2)] + [(5, 1.0, 1.0)],
                                "id int, no double, no2 double")
