@@ -16,9 +16,12 @@ document with a smaller id.
    lengths tell how far two suffixes agree to the right, and a second order, by the bytes
    before the anchor read backwards, how far to the left. A string at an anchor's offset
    l is another's if they agree in l bytes to the left and LENGTH - l to the right.
-5. Grams of very many suffixes (a line on a third of all pages) never meet in one place:
-   their strings of LENGTH bytes are aggregated to the least id, map side first, and
-   joined back by their bytes.
+5. A task sends a context (the bytes before and after an anchor) once, with the least id
+   that it has read there and that id's places; the places of larger ids are answered at
+   once, as they repeat the least. A gram of very many documents is cut by the offset of
+   the string: a group for some offsets needs more bytes to agree than the gram, so the
+   gram's suffixes part into groups by those bytes, at most as fine as one group for each
+   string. All groups go through the same runs and the same merge.
 """
 
 from __future__ import annotations
@@ -36,14 +39,22 @@ from driftline.llm.common import pieces_of, small_batches, whole_text
 LENGTH = 50
 GRAM = 16
 BEFORE = LENGTH - GRAM  # bytes that an anchored string can have before its anchor
-#: Suffixes of one gram that may meet in a task; more are joined as strings.
-HOT_GRAM = 5_000
+#: Documents of one gram whose suffixes may meet in one group; the gram of more is cut.
+HOT_GRAM = 100_000
 #: Bytes of text worked on at once in a task.
 CHUNK_BYTES = 1 << 19
 #: Suffixes in a sorted run, and bytes of text for each bucket that runs are dealt to.
 RUN_RECORDS = 200_000
 BUCKET_BYTES = 8 << 20
-_NO_ID = -(1 << 63)
+#: Records made at a time from a chunk.
+BLOCK_RECORDS = 1 << 16
+#: Below this are the numbers of texts without an id, from their hash; all rank alike.
+_NO_ID = -(1 << 62)
+
+
+def ranks(d: np.ndarray) -> np.ndarray:
+    """What ids are compared by: texts without an id are no smaller than each other."""
+    return np.maximum(d, _NO_ID - 1)
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -95,16 +106,22 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def chunks(batches):
-    """Lists of rows (id, tag, text, ...) with some CHUNK_BYTES of text each."""
+    """Lists of pieces (id, tag, text, ..., base) with some CHUNK_BYTES of text each.
+
+    A long text is cut into pieces from ``base`` on, each string of LENGTH bytes lying in
+    one of them.
+    """
     for batch in (x for whole in batches for x in pieces_of(whole, 2)):
         rows, size = [], 0
         columns = [c.to_pylist() for c in batch.columns]
         for row in zip(*columns):
-            rows.append(row)
-            size += len(row[2])
-            if size >= CHUNK_BYTES:
-                yield rows
-                rows, size = [], 0
+            for base in range(0, max(1, len(row[2]) - LENGTH + 1), CHUNK_BYTES):
+                piece = row[2][base:base + CHUNK_BYTES + LENGTH - 1]
+                rows.append((*row[:2], piece, *row[3:], base))
+                size += len(piece)
+                if size >= CHUNK_BYTES:
+                    yield rows
+                    rows, size = [], 0
         if rows:
             yield rows
 
@@ -115,7 +132,7 @@ def laid_out(rows) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gram_rows(batches):
-    """(h, d): the different anchor grams of every text and its id."""
+    """(h, d): the different anchor grams of every piece of text and its id."""
     for rows in chunks(batches):
         data, ends = laid_out(rows)
         text, _, _, _, h = anchors(data, ends)
@@ -128,53 +145,58 @@ def gram_rows(batches):
             [pa.array(h[new].view(np.int64)), pa.array(ids[text[new]])], names=["h", "d"])
 
 
+def cuts_of(count: np.ndarray, hot_gram: int) -> np.ndarray:
+    """Groups of offsets that a gram of so many rows is cut into: 1, 4, 16 or one for each."""
+    out = np.ones(len(count), np.int32)
+    for times, cuts in ((1, 4), (2, 16), (4, BEFORE + 1)):
+        out[count > times * hot_gram] = cuts
+    return out
+
+
 def shared_grams(batches, hot_gram: int):
-    """Rows of sorted (h, d) whose gram has two ids; hot if it has more than ``hot_gram`` rows.
+    """Rows of sorted (h, d) whose gram has two ids, with the cuts of the gram.
 
-    Holds one gram's rows at a time, up to the bound.
+    Holds one gram's rows at a time, up to the number from which it is cut the most.
     """
-    def out(h, d, hot):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(d), pa.array(h), pa.array(np.full(len(h), hot))], names=["d", "h", "hot"])
+    def out(h, d, cuts):
+        return pa.RecordBatch.from_arrays([pa.array(d), pa.array(h), pa.array(cuts)],
+                                          names=["d", "h", "cuts"])
 
+    most = 4 * hot_gram
     held: list[np.ndarray] = []
-    current, count, hot = None, 0, False
+    current, count = None, 0
 
     def close():
         if held:
             d = np.concatenate(held)
-            if hot or d.min() < d.max():
-                yield out(np.full(len(d), current, np.int64), d, hot)
+            if count > most or ranks(d).min() < ranks(d).max():
+                yield out(np.full(len(d), current, np.int64), d,
+                          np.full(len(d), cuts_of(np.array([count]), hot_gram)[0]))
 
     for batch in batches:
         h, d = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         if not len(h):
             continue
-        starts = np.flatnonzero(np.diff(h, prepend=h[0] - 1 if h[0] > _NO_ID else h[0] + 1))
+        starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         sizes = np.diff(np.append(starts, len(h)))
         # groups that lie inside the batch
         inner = np.ones(len(starts), bool)
         inner[-1] = False
         if current is not None and h[0] == current:
             inner[0] = False
-        many = inner & (sizes > 1) & (sizes <= hot_gram)
-        low, high = np.minimum.reduceat(d, starts), np.maximum.reduceat(d, starts)
-        many &= low < high
+        low, high = (f.reduceat(ranks(d), starts) for f in (np.minimum, np.maximum))
+        many = inner & (low < high)
         rows = np.repeat(many, sizes)
         if rows.any():
-            yield out(h[rows], d[rows], False)
-        for i in np.flatnonzero(inner & (sizes > hot_gram)).tolist():
-            part = slice(starts[i], starts[i] + sizes[i])
-            yield out(h[part], d[part], True)
+            yield out(h[rows], d[rows], np.repeat(cuts_of(sizes, hot_gram), sizes)[rows])
         for i in np.flatnonzero(~inner).tolist():
             part = d[starts[i]:starts[i] + sizes[i]]
             if h[starts[i]] != current or current is None:
                 yield from close()
-                held, current, count, hot = [], int(h[starts[i]]), 0, False
+                held, current, count = [], int(h[starts[i]]), 0
             held.append(part)
             count += len(part)
-            if count > hot_gram:
-                hot = True
+            if count > most:
                 yield from close()
                 held = []
     yield from close()
@@ -203,70 +225,152 @@ def windows_at(data: np.ndarray, at: np.ndarray, size: np.ndarray, width: int, b
     return block
 
 
+def progressions(group, ids, tags, place) -> np.ndarray:
+    """Where places begin that follow the one before, in a group and text, by an equal step."""
+    n = len(group)
+    same, step = np.zeros(n, bool), np.zeros(n, np.int64)
+    same[1:] = (group[1:] == group[:-1]) & (ids[1:] == ids[:-1]) & (tags[1:] == tags[:-1])
+    step[1:] = place[1:] - place[:-1]
+    joins = same.copy()
+    joins[1:] &= (step[1:] == step[:-1]) | ~same[:-1]
+    return np.flatnonzero(~joins)
+
+
+def places_of(group, ids, tags, place):
+    """Progressions of places: group, id, tag, first place, step, number."""
+    at = progressions(group, ids, tags, place)
+    count = np.diff(np.append(at, len(group)))
+    second = np.minimum(at + 1, max(len(group) - 1, 0))
+    step = np.where(count > 1, place[second] - place[at], 0)
+    return group[at], ids[at], tags[at], place[at], step, count
+
+
+def masks(right, left) -> np.ndarray:
+    """Bit l for every offset l at which a context holds a whole string."""
+    one = np.uint64(1)
+    return ((one << (left + 1).astype(np.uint64)) - one) \
+        & ~((one << np.maximum(LENGTH - right, 0).astype(np.uint64)) - one)
+
+
 class Runs:
     """Suffix records of one task, flushed as sorted, front-coded runs for each bucket."""
 
     def __init__(self, buckets: int):
-        self.buckets, self.parts, self.count, self.strings = buckets, [], 0, {}
+        self.buckets, self.parts, self.count = buckets, [], 0
 
-    def add(self, data, ends, rows, cold, hot):
-        text, place, first, last, h = cold
-        if len(text):
-            starts = np.concatenate([[0], ends[:-1]])
-            ids, tags = (np.array([r[k] for r in rows], np.int64)[text] for k in (0, 1))
-            right, left = last + LENGTH - place, place - first
-            self.parts.append((h, ids, tags, place - starts[text], right, left,
-                               windows_at(data, place, right, LENGTH, False),
-                               windows_at(data, place, left, BEFORE, True)))
-            self.count += len(text)
-        text, place, first, last, _ = hot
+    def add(self, data, ends, rows, found, cuts):
         starts = np.concatenate([[0], ends[:-1]])
-        raw = data.tobytes()
-        for t, lo, hi in zip(text.tolist(), first.tolist(), last.tolist()):
-            d, tag = rows[t][0], rows[t][1]
-            base = int(starts[t])
-            for p in range(lo, hi + 1):
-                self.strings.setdefault(raw[p:p + LENGTH], []).append((d, tag, p - base))
-            self.count += hi - lo + 1
-        if self.count >= RUN_RECORDS:
-            yield from self.flush()
+        ids, tags, base = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, -1))
+        for lo in range(0, len(cuts), BLOCK_RECORDS):
+            block = slice(lo, lo + BLOCK_RECORDS)
+            text, place, first, last, h = (x[block] for x in found)
+            right, left = last + LENGTH - place, place - first
+            part = [h, ids[text], tags[text], place - starts[text] + base[text], right, left,
+                    windows_at(data, place, right, LENGTH, False),
+                    windows_at(data, place, left, BEFORE, True)]
+            for kind in np.unique(cuts[block]).tolist():
+                mine = [x[cuts[block] == kind] for x in part]
+                for record in [mine] if kind == 1 else cut_by_offset(mine, kind):
+                    self.parts.append(record)
+                    self.count += len(record[0])
+                    if self.count >= RUN_RECORDS:
+                        yield from self.flush()
 
     def flush(self):
         rows = []
-        if self.parts:
-            h, ids, tags, place, right, left, after, before = (
+        if self.count:
+            key, ids, tags, place, right, left, after, before = (
                 np.concatenate(x) for x in zip(*self.parts))
-            bucket = (h % np.uint64(self.buckets)).astype(np.int64)
-            order = np.argsort(as_bytes(after), kind="stable")
+            bucket = (key % np.uint64(self.buckets)).astype(np.int64)
+            # the lengths, which are never zero here, end the context
+            context = np.concatenate([after, before, (right + 1)[:, None].astype(np.uint8),
+                                      (left + 1)[:, None].astype(np.uint8)], axis=1)
+            context = as_bytes(context)
+            order = np.argsort(context, kind="stable")
             order = order[np.argsort(bucket[order], kind="stable")]
-            bucket = bucket[order]
-            cuts = np.flatnonzero(np.diff(bucket)) + 1
-            for part in np.split(order, cuts):
-                rows.append((int(h[part[0]] % np.uint64(self.buckets)), 0, b"", 0, front_coded(
-                    ids[part], tags[part], place[part], right[part], left[part], after[part],
-                    before[part])))
-        for key, found in self.strings.items():
-            members = np.array(found, np.int64)
-            rows.append((int.from_bytes(hashlib.blake2b(key, digest_size=7).digest(), "big")
-                         % self.buckets, 1, key, int(members[:, 0].min()), members.tobytes()))
-        self.parts, self.count, self.strings = [], 0, {}
+            bucket, context = bucket[order], context[order]
+            new = np.ones(len(order), bool)
+            new[1:] = (bucket[1:] != bucket[:-1]) | (context[1:] != context[:-1])
+            group, heads = np.cumsum(new) - 1, np.flatnonzero(new)
+            ids, tags, place = ids[order], tags[order], place[order]
+            rank = ranks(ids)
+            least = np.minimum.reduceat(rank, heads)[group]
+            late = rank > least
+            if late.any():
+                g, *answer = places_of(group[late], ids[late], tags[late], place[late])
+                mask = masks(right[order[heads[g]]], left[order[heads[g]]])
+                rows.append((int(bucket[late][0]), 1, packed(*answer, mask)))
+            g, *members = places_of(group[~late], ids[~late], tags[~late], place[~late])
+            head, limits = order[heads], np.flatnonzero(np.diff(bucket[heads])) + 1
+            for part in np.split(np.arange(len(heads)), limits):
+                lo, hi = np.searchsorted(g, [part[0], part[-1] + 1])
+                rows.append((int(bucket[heads[part[0]]]), 0, front_coded(
+                    np.bincount(g[lo:hi] - part[0], minlength=len(part)),
+                    [x[lo:hi] for x in members], right[head[part]], left[head[part]],
+                    after[head[part]], before[head[part]])))
+        self.parts, self.count = [], 0
         for lo in range(0, len(rows), 4096):
             part = list(zip(*rows[lo:lo + 4096]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(part[0], pa.int32()), pa.array(part[1], pa.int32()),
-                 pa.array(part[2], pa.binary()), pa.array(part[3], pa.int64()),
-                 pa.array(part[4], pa.binary())], names=["bucket", "kind", "key", "d", "run"])
+                 pa.array(part[2], pa.binary())], names=["bucket", "kind", "run"])
+
 
+def cut_by_offset(record, cuts: int):
+    """Copies of records for each group of offsets, limited to the bytes that those need.
 
-def front_coded(ids, tags, place, right, left, after, before) -> bytes:
-    """A sorted run: the bytes that each suffix adds to the prefix shared with the one before."""
+    A string at offset l agrees in l bytes before the anchor and LENGTH - l after it; all
+    strings of the offsets lo .. hi agree in lo before and LENGTH - hi after, and by these
+    the copies are dealt.
+    """
+    h, ids, tags, place, right, left, after, before = record
+    for i in range(cuts):
+        lo, hi = i * (BEFORE + 1) // cuts, (i + 1) * (BEFORE + 1) // cuts - 1
+        pick = np.flatnonzero(np.maximum(lo, LENGTH - right) <= np.minimum(hi, left))
+        if not len(pick):
+            continue
+        key = h[pick] + np.uint64(lo * 64 + hi + 1)
+        for column in [*after[pick, GRAM:LENGTH - hi].T, *before[pick, :lo].T]:
+            key = (key ^ column) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+        r, f = np.minimum(right[pick], LENGTH - lo), np.minimum(left[pick], hi)
+        a, b = after[pick], before[pick]
+        a[np.arange(LENGTH) >= r[:, None]] = 0
+        b[np.arange(BEFORE) >= f[:, None]] = 0
+        yield [key, ids[pick], tags[pick], place[pick], r, f, a, b]
+
+
+def packed(ids, tags, place, step, count, mask) -> bytes:
+    """Answers: progressions of places and the offsets at which their strings are repeated."""
+    return zlib.compress(b"".join([
+        ids.tobytes(), tags.tobytes(), place.astype(np.int32).tobytes(),
+        step.astype(np.int32).tobytes(), count.astype(np.int32).tobytes(), mask.tobytes()]), 1)
+
+
+def unpacked(blob: bytes):
+    blob = zlib.decompress(blob)
+    n, at, out = len(blob) // 36, 0, []
+    for kind in (np.int64, np.int64, np.int32, np.int32, np.int32, np.uint64):
+        out.append(np.frombuffer(blob, kind, n, at))
+        at += out[-1].nbytes
+    return out
+
+
+def front_coded(sizes, members, right, left, after, before) -> bytes:
+    """A sorted run: the bytes that each suffix adds to the prefix shared with the one before.
+
+    ``sizes`` tells how many of ``members`` (progressions of places of the least id) a
+    suffix has.
+    """
     shared = np.minimum(shared_prefixes(after), right)
     steps = np.arange(after.shape[1])
     tails = after[(steps >= shared[:, None]) & (steps < right[:, None])]
     heads = before[np.arange(before.shape[1]) < left[:, None]]
+    ids, tags, *places = members
     return zlib.compress(b"".join([
-        np.int64(len(ids)).tobytes(), ids.tobytes(), tags.tobytes(),
-        place.astype(np.int32).tobytes(), shared.astype(np.uint8).tobytes(),
+        np.int64(len(right)).tobytes(), np.int64(len(ids)).tobytes(),
+        sizes.astype(np.int32).tobytes(), ids.tobytes(), tags.tobytes(),
+        *[x.astype(np.int32).tobytes() for x in places], shared.astype(np.uint8).tobytes(),
         right.astype(np.uint8).tobytes(), left.astype(np.uint8).tobytes(),
         tails.tobytes(), heads.tobytes()]), 1)
 
@@ -276,7 +380,8 @@ class Run:
 
     def __init__(self, blob: bytes):
         blob = zlib.decompress(blob)
-        n, at = int(np.frombuffer(blob, np.int64, 1)[0]), 8
+        n, m = np.frombuffer(blob, np.int64, 2).tolist()
+        at = 16
 
         def take(kind, count=n):
             nonlocal at
@@ -284,7 +389,10 @@ class Run:
             at += out.nbytes
             return out
 
-        self.ids, self.tags, self.place = take(np.int64), take(np.int64), take(np.int32)
+        self.sizes = take(np.int32)
+        self.members = [take(np.int64, m), take(np.int64, m),
+                        *[take(np.int32, m) for _ in range(3)]]
+        self.rank = ranks(self.members[0][np.cumsum(self.sizes) - self.sizes])
         shared, right, left = (take(np.uint8).astype(np.int64) for _ in range(3))
         tails, heads = take(np.uint8, int((right - shared).sum())), take(np.uint8, int(left.sum()))
         self.right, self.left = right, left
@@ -370,15 +478,15 @@ def merge(runs: list[Run]) -> tuple[list[int], list[int], list[int]]:
 
 
 def repeated(runs: list[Run]):
-    """(d, tag, at, mask) of suffixes with strings that a smaller id has too; bit l for offset l."""
+    """Progressions of places (id, tag, place, step, number) with strings that a smaller id
+    has too, and the mask of those strings: bit l for offset l."""
     order_run, order_index, shared = merge(runs)
-    base = np.concatenate([[0], np.cumsum([len(r.ids) for r in runs])])
+    base = np.concatenate([[0], np.cumsum([len(r.strings) for r in runs])])
     order = base[np.array(order_run, np.int64)] + np.array(order_index, np.int64)
     shared = np.array(shared, np.int64)
-    ids, tags, place, right, left, before = (
-        np.concatenate([getattr(r, k) for r in runs])[order]
-        for k in ("ids", "tags", "place", "right", "left", "before"))
-    n = len(ids)
+    rank, right, left, before = (np.concatenate([getattr(r, k) for r in runs])[order]
+                                 for k in ("rank", "right", "left", "before"))
+    n = len(rank)
     backward = np.argsort(as_bytes(before), kind="stable")
     back_shared = shared_prefixes(before[backward])
     mask = np.zeros(n, np.uint64)
@@ -393,48 +501,61 @@ def repeated(runs: list[Run]):
         by = np.argsort(key, kind="stable")
         key = key[by]
         starts = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
-        d = ids[part][by]
+        d = rank[part][by]
         least = np.repeat(np.minimum.reduceat(d, starts), np.diff(np.append(starts, len(d))))
         mask[part[by[d > least]]] |= np.uint64(1 << offset)
-    hit = mask > 0
-    return ids[hit], tags[hit], place[hit].astype(np.int64), mask[hit]
+    of_suffix = np.zeros(n, np.uint64)
+    of_suffix[order] = mask
+    of_member = np.repeat(of_suffix, np.concatenate([r.sizes for r in runs]))
+    hit = of_member > 0
+    members = [np.concatenate(x)[hit] for x in zip(*[r.members for r in runs])]
+    return *members, of_member[hit]
 
 
 def removable(batches):
-    """Answers of sorted (bucket, kind, key, d, run) rows: runs are merged, hot strings streamed."""
-    def out(d, tag, at, mask):
+    """Answers of sorted (bucket, kind, run) rows: runs of a bucket are merged, answers go on."""
+    def out(d, tag, at, step, number, mask):
         return pa.RecordBatch.from_arrays(
-            [pa.array(d), pa.array(tag), pa.array(at.astype(np.int32)),
-             pa.array(mask.view(np.int64))], names=["d", "tag", "at", "mask"])
+            [pa.array(d), pa.array(tag), pa.array(at), pa.array(step), pa.array(number),
+             pa.array(mask.view(np.int64))], names=["d", "tag", "at", "step", "number", "mask"])
 
-    held, current, key, least = [], None, None, 0
+    held, current = [], None
     for batch in batches:
-        columns = [c.to_pylist() for c in batch.columns]
-        for bucket, kind, string, d, run in zip(*columns):
+        for bucket, kind, run in zip(*[c.to_pylist() for c in batch.columns]):
             if held and (bucket, kind) != (current, 0):
                 yield out(*repeated([Run(x) for x in held]))
                 held = []
             current = bucket
             if kind == 0:
                 held.append(run)
-                continue
-            if string != key:
-                key, least = string, d  # rows of a string come with the least id first
-            members = np.frombuffer(run, np.int64).reshape(-1, 3)
-            members = members[members[:, 0] > least]
-            if len(members):
-                yield out(members[:, 0].copy(), members[:, 1].copy(), members[:, 2],
-                          np.ones(len(members), np.uint64))
+            else:
+                yield out(*unpacked(run))
     if held:
         yield out(*repeated([Run(x) for x in held]))
 
 
-def without(data: bytes, starts: np.ndarray) -> tuple[int, int, bytes]:
+def starts_of(at, step, number, mask):
+    """Starts of repeated strings, some at a time: places less the offsets of their mask."""
+    at, step, number, mask = (np.array(x, np.int64) for x in (at, step, number, mask))
+    for lo in range(0, len(at), BLOCK_RECORDS):
+        block = slice(lo, lo + BLOCK_RECORDS)
+        single = number[block] == 1
+        for offset in range(BEFORE + 1):
+            on = (mask[block] >> offset & 1) > 0
+            yield at[block][on & single] - offset
+            for i in np.flatnonzero(on & ~single).tolist():
+                a, s, n = int(at[lo + i]), int(step[lo + i]), int(number[lo + i])
+                for k in range(0, n, BLOCK_RECORDS):
+                    yield a - offset + s * np.arange(k, min(n, k + BLOCK_RECORDS))
+
+
+def without(data: bytes, starts) -> tuple[int, int, bytes]:
     """Removed bytes, maximal removed runs, and what is left when strings at ``starts`` go."""
     change = np.zeros(len(data) + 1, np.int32)
-    np.add.at(change, starts, 1)
-    np.add.at(change, starts + LENGTH, -1)
-    gone = np.cumsum(change[:-1]) > 0
+    for part in starts:
+        np.add.at(change, part, 1)
+        np.add.at(change, part + LENGTH, -1)
+    gone = np.cumsum(change[:-1], dtype=np.int32) > 0
     runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
     return int(gone.sum()), runs, np.frombuffer(data, np.uint8)[~gone].tobytes()
 
@@ -455,18 +576,25 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     they keep what only they repeat. An empty table gives no rows; other columns are not
     looked at. ``with_text`` adds ``kept``, the remaining bytes.
 
-    Ids are numbers above the least long. A text that a smaller id has as a whole is settled by its SHA-256 and takes no part in
-    the search. The exchange that carries texts, by id, is used by all three passes.
+    Ids are numbers from -2 ** 62 up. A text that a smaller id has as a whole is settled by
+    its SHA-256 and takes no part in the search. The exchange that carries texts, by id (by
+    the text's hash where there is none), is used by all three passes.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(_NO_ID)).alias("d"),
+    rows = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(_NO_ID - 1)).alias("rank"),
                        whole_text(text_column).alias("text"))
     rows = rows.withColumn("sha", F.coalesce(F.unhex(F.sha2("text", 256)), F.lit(b"")))
+
+    def number(rank):
+        """The id; a number from the text's hash where there is none, so that such texts spread."""
+        return F.when(F.col(rank) >= _NO_ID, F.col(rank)).otherwise(
+            F.xxhash64("sha").bitwiseAND((1 << 62) - 1) + F.lit(-(1 << 63)))
+
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
-    dealt = rows.repartition("d")
-    first = (rows.groupBy("sha").agg(F.min("d").alias("d"))
-             .select(F.col("d").alias("first_d"), F.col("sha").alias("first_sha")))
+    dealt = rows.withColumn("d", number("rank")).drop("rank").repartition("d")
+    first = (rows.groupBy("sha").agg(F.min("rank").alias("rank"))
+             .select(number("rank").alias("first_d"), F.col("sha").alias("first_sha")))
     marked = dealt.join(first.hint("shuffle_hash"), (F.col("d") == F.col("first_d"))
                         & _same("sha", "first_sha"), "left").select(
         "d", F.xxhash64("sha").alias("tag"), F.col("text").cast("binary").alias("text"),
@@ -475,54 +603,55 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     shared = (texts.mapInArrow(gram_rows, "h long, d long").repartition("h")
               .sortWithinPartitions("h", "d")
-              .mapInArrow(lambda b: shared_grams(b, hot_gram), "d long, h long, hot boolean"))
+              .mapInArrow(lambda b: shared_grams(b, hot_gram), "d long, h long, cuts int"))
     wanted = shared.groupBy("d").agg(
-        F.collect_list(F.expr("if(hot, null, h)")).alias("cold"),
-        F.collect_list(F.expr("if(hot, h, null)")).alias("hot"))
+        F.collect_list(F.expr("if(cuts = 1, h, null)")).alias("cold"),
+        F.collect_list(F.expr("if(cuts > 1, h, null)")).alias("hot"),
+        F.collect_list(F.expr("if(cuts > 1, cuts, null)")).alias("cuts"))
 
     def make_runs(batches):
         runs = Runs(buckets)
         for rows in chunks(batches):
             data, ends = laid_out(rows)
             found = anchors(data, ends)
-            text, h = found[0], found[4]
-            # (text, gram) pairs that were asked for, numbered in one space
-            picks = []
-            for k in (3, 4):
-                lists = [np.array(r[k], np.int64).view(np.uint64) for r in rows]
-                owner = np.repeat(np.arange(len(rows)), [len(x) for x in lists])
-                grams = np.concatenate(lists) if lists else np.zeros(0, np.uint64)
-                mark = owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ grams
-                mine = text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ h
-                pick = np.isin(mine, mark)
-                picks.append(tuple(x[pick] for x in found))
-            yield from runs.add(data, ends, rows, *picks)
+            # (text, gram) pairs that were asked for, numbered in one space, with their cuts
+            lists = [np.array([*r[3], *r[4]], np.int64).view(np.uint64) for r in rows]
+            cuts = np.concatenate([np.array([1] * len(r[3]) + r[5], np.int32) for r in rows])
+            owner = np.repeat(np.arange(len(rows)), [len(x) for x in lists])
+            wanted, mine = (x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ y for x, y in (
+                (owner, np.concatenate(lists)), (found[0], found[4])))
+            order = np.argsort(wanted)
+            if not len(order) or not len(mine):
+                continue
+            place = np.minimum(np.searchsorted(wanted[order], mine), len(order) - 1)
+            pick = wanted[order][place] == mine
+            yield from runs.add(data, ends, rows, [x[pick] for x in found],
+                                cuts[order][place][pick])
         yield from runs.flush()
 
-    runs = (texts.join(wanted.hint("shuffle_hash"), "d").select("d", "tag", "text", "cold", "hot")
-            .mapInArrow(make_runs, "bucket int, kind int, key binary, d long, run binary"))
-    answers = (runs.repartition("bucket").sortWithinPartitions("bucket", "kind", "key", "d")
-               .mapInArrow(removable, "d long, tag long, at int, mask long")
-               .repartition("d").groupBy("d", "tag").agg(F.collect_list("at").alias("at"),
-                                       F.collect_list("mask").alias("mask"))
-              .select(F.col("d").alias("to_d"), F.col("tag").alias("to_tag"), "at", "mask"))
+    runs = (texts.join(wanted.hint("shuffle_hash"), "d")
+            .select("d", "tag", "text", "cold", "hot", "cuts")
+            .mapInArrow(make_runs, "bucket int, kind int, run binary"))
+    answers = (runs.repartition("bucket").sortWithinPartitions("bucket", "kind")
+               .mapInArrow(removable, "d long, tag long, at int, step int, number int, mask long")
+               .repartition("d").groupBy("d", "tag").agg(*[
+                   F.collect_list(c).alias(c) for c in ("at", "step", "number", "mask")])
+               .select(F.col("d").alias("to_d"), F.col("tag").alias("to_tag"),
+                       "at", "step", "number", "mask"))
     kind = docs.schema[id_column].dataType
     judged = marked.join(answers.hint("shuffle_hash"), (F.col("d") == F.col("to_d"))
                          & _same("tag", "to_tag"), "left").select(
-        F.when(F.col("d") != _NO_ID, F.col("d").cast(kind)).alias("__id"),
-        "text", "first", "at", "mask")
+        F.when(F.col("d") >= _NO_ID, F.col("d").cast(kind)).alias("__id"),
+        "text", "first", "at", "step", "number", "mask")
 
     def finish(batches):
-        bits = np.arange(BEFORE + 1)
-        for batch in batches:
+        for batch in (x for whole in batches for x in pieces_of(whole, 1)):
             out = [[], [], [], [], []]
-            for data, is_first, at, mask in zip(*[c.to_pylist() for c in batch.columns[1:]]):
+            for data, is_first, *found in zip(*[c.to_pylist() for c in batch.columns[1:]]):
                 if not is_first and len(data) >= LENGTH:
                     result = (len(data), len(data), 1, b"")
-                elif at:
-                    on = (np.array(mask, np.int64)[:, None] >> bits & 1) > 0
-                    starts = (np.array(at, np.int64)[:, None] - bits)[on]
-                    result = (len(data), *without(data, starts))
+                elif found[0]:
+                    result = (len(data), *without(data, starts_of(*found)))
                 else:
                     result = (len(data), 0, 0, data)
                 for column, value in zip(out, (*result[:3], hashlib.sha256(result[3]).hexdigest(),

@@ -2,8 +2,10 @@
 
 import hashlib
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -170,9 +172,69 @@ def test_repeats_in_odd_texts(spark, odd, hot_gram):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = suffix_dedup.remove_repeats(docs, with_text=True, hot_gram=hot_gram)
     assert rows_of(got, *REMOVED) == cut_repeats(rows)
-    small = odd.where("doc_id is null or doc_id <> 6")
-    rows = [(r.doc_id, r.text) for r in small.select("doc_id", "text").collect()]
-    assert rows_of(suffix_dedup.remove_repeats(small), *REMOVED) == cut_repeats(rows)
+    rows = [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()]
+    assert rows_of(suffix_dedup.remove_repeats(odd, hot_gram=hot_gram), *REMOVED) == cut_repeats(rows)
+
+
+@pytest.mark.parametrize("hot_gram", [1, 3, 9, 100_000])
+def test_crowded_grams_are_cut_by_offset(spark, monkeypatch, hot_gram):
+    """One passage in many texts, with and without what stands around it, in many small pieces."""
+    rng = np.random.default_rng(hot_gram)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 2000)
+    line = "this very passage stands on every page of the site"
+    word = lambda: "".join(rng.choice(list("abc"), rng.integers(0, 45)))
+    rows = [(None if i % 9 == 4 else i // 2, word() + line[rng.integers(0, 3):][:rng.integers(20, 51)]
+             + word() + line) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = suffix_dedup.remove_repeats(docs, hot_gram=hot_gram)
+    assert rows_of(got, *REMOVED) == cut_repeats(rows)
+
+
+def test_cuts_of_a_gram():
+    count = np.array([1, 10, 11, 20, 21, 40, 41, 10**9])
+    assert suffix_dedup.cuts_of(count, 10).tolist() == [1, 1, 4, 4, 16, 16, 35, 35]
+
+
+def test_long_texts_take_bounded_memory(spark):
+    """A long text of one character, through all that its worker does with it."""
+    size = 10 << 20
+    batch = pa.RecordBatch.from_pydict({
+        "d": [1], "tag": [0], "text": [b"x" * size], "cold": [[]], "hot": [[]], "cuts": [[]]})
+    tracemalloc.start()
+    runs, blobs = suffix_dedup.Runs(3), []
+    for rows in suffix_dedup.chunks(iter([batch])):
+        data, ends = suffix_dedup.laid_out(rows)
+        found = suffix_dedup.anchors(data, ends)
+        for made in runs.add(data, ends, rows, found, np.ones(len(found[0]), np.int32)):
+            blobs += made.column("run").to_pylist()
+    for made in runs.flush():
+        blobs += made.column("run").to_pylist()
+    ids, tags, place, step, number, mask = suffix_dedup.repeated(
+        [suffix_dedup.Run(b) for b in blobs] + [suffix_dedup.Run(b) for b in _one_char(0)])
+    assert ids.tolist().count(1) == len(ids) and number.sum() == size - 49 and len(ids) < 500
+    n = suffix_dedup.without(b"x" * size, suffix_dedup.starts_of(place, step, number, mask))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n[:2] == (size, 1) and sum(map(len, blobs)) < 200_000
+    assert peak < 250 << 20, peak
+
+
+def _one_char(d):
+    """The runs of a text of one character under another id."""
+    runs = suffix_dedup.Runs(3)
+    rows = [(d, 0, b"x" * 300, 0)]
+    data, ends = suffix_dedup.laid_out(rows)
+    found = suffix_dedup.anchors(data, ends)
+    made = [*runs.add(data, ends, rows, found, np.ones(len(found[0]), np.int32)), *runs.flush()]
+    return [b for batch in made for b in batch.column("run").to_pylist()]
+
+
+def test_texts_without_ids_are_spread(spark):
+    docs = spark.range(300).selectExpr(
+        "cast(null as long) as doc_id", "concat(id, ' a line that stands in all of these texts, "
+        "which have no id, and is long') as text")
+    got = suffix_dedup.remove_repeats(docs)
+    assert got.where("n_removed > 0 or doc_id is not null").count() == 0 and got.count() == 300
 
 
 @settings(max_examples=60, deadline=None)
@@ -202,7 +264,20 @@ def test_runs_are_read_back(documents):
     before[np.arange(34) >= left[:, None]] = 0
     order = np.argsort(suffix_dedup.as_bytes(after), kind="stable")
     ids = np.arange(n, dtype=np.int64)
+    sizes = rng.integers(1, 4, n)
+    members = [np.repeat(ids[order], sizes) for _ in range(5)]
     run = suffix_dedup.Run(suffix_dedup.front_coded(
-        ids[order], ids[order], ids[order], right[order], left[order], after[order], before[order]))
+        sizes, members, right[order], left[order], after[order], before[order]))
     assert (run.after == after[order]).all() and (run.before == before[order]).all()
-    assert run.ids.tolist() == order.tolist()
+    assert run.rank.tolist() == order.tolist() and run.sizes.tolist() == sizes.tolist()
+    assert all((x == y).all() for x, y in zip(run.members, members))
+
+
+def test_progressions():
+    places = np.array([3, 4, 5, 9, 2, 4, 6, 8, 1, 7, 7])
+    group = np.array([0, 0, 0, 0, 1, 1, 1, 1, 1, 2, 3])
+    ids = np.array([5, 5, 5, 5, 5, 5, 5, 5, 6, 6, 6])
+    made = suffix_dedup.places_of(group, ids, ids, places)
+    back = [(g, i, a + s * k) for g, i, _, a, s, n in zip(*(x.tolist() for x in made))
+            for k in range(n)]
+    assert back == list(zip(group.tolist(), ids.tolist(), places.tolist())) and len(made[0]) == 6
