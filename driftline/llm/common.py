@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftline.session import shared_folder
+
 NON_SPACE = r"[^\x20\x09-\x0D]+"
 _NOT_WORD = [b for b in range(128) if not (48 <= b <= 57 or 97 <= b <= 122)]
 #: Bytes of A-Z to a-z, every other ASCII byte that is no letter or digit to a space;
@@ -42,18 +43,11 @@ def sha256_hex(data: bytes) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the cluster's checkpoint folder, so that later steps start there.
 
-    The folder is the one that ``spark.checkpoint.dir`` names; a session without the
-    setting gets one only on a local master, where all executors share the machine.
+    The folder is the one that ``spark.checkpoint.dir`` names, or lies in the warehouse.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-            folder = tempfile.mkdtemp(prefix="driftline-checkpoints-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -71,16 +65,16 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> Data
     """
     values = [c for c in groups.columns if c != key]
     heavy = groups.orderBy(F.col(size).desc(), key).limit(HEAVY_KEYS).select(
-        F.col(key).alias("__heavy"), F.struct(*values).alias("__h"))
+        F.col(key).alias("__heavy"), F.struct(*values).alias("__heavy_row"))
     met = rows.join(F.broadcast(heavy), F.col(key) == F.col("__heavy"), "left")
     # a heavy row's key is one that no group has
     met = met.withColumns({
         "__own": F.when(F.col("__heavy").isNull(), F.col(key)).otherwise(
             F.encode(F.concat(F.lit("h"), F.spark_partition_id(), F.lit("-"),
                               F.substring(F.hex(key), 1, 4)), "UTF-8"))})
-    light = groups.select(F.col(key).alias("__light"), F.struct(*values).alias("__l"))
+    light = groups.select(F.col(key).alias("__light"), F.struct(*values).alias("__light_row"))
     joined = met.join(light, F.col("__own") == F.col("__light"), "left").withColumn(
-        "__g", F.coalesce("__h", "__l"))
+        "__g", F.coalesce("__heavy_row", "__light_row"))
     return joined.select(*rows.columns, *[F.col(f"__g.{c}").alias(c) for c in values])
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import whole_text
+from driftline.llm.common import join_groups, whole_text
 
 
 def content_hash(text: Column) -> Column:
@@ -37,28 +37,18 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     rows that repeat the winning id are all kept, as nothing tells them apart. An empty
     table gives an empty result; other columns of ``docs`` are not looked at.
 
-    Only one exchange carries texts, each once per task that read it. Rows then find
-    their group by hash alone; where two texts share a hash (counted, not assumed), the
-    rows of those hashes find it by hash and text. Both joins are plain equi-joins, so
-    the parts of a group with many rows can be split.
+    One exchange carries texts, each once per task that read it; it groups by hash and
+    bytes. Rows then find their group by the hash and the SHA-256 of their text, so two
+    texts of one hash stay apart, and rows of the groups with most copies are not
+    exchanged by either (:func:`driftline.llm.common.join_groups`).
     """
     texts = docs.select(F.col(id_column).alias("__id"), whole_text(text_column).alias("__text"))
     texts = texts.withColumn("__h", hash_of(F.col("__text")))
-    groups = text_groups(texts, keep)
-    per_hash = (groups.select("__h", "__keep", "__n", F.sha2("__text", 256).alias("__sha"))
-                .groupBy("__h").agg(F.count(F.lit(1)).alias("__texts"),
-                                    F.first("__keep").alias("__keep"),
-                                    F.first("__n").alias("__n"), F.first("__sha").alias("__sha")))
-    told = texts.select("__id", "__h").join(per_hash, "__h")
-    alone = told.where("__texts = 1").select("__id", "__keep", "__n", "__sha")
-    shared = per_hash.where("__texts > 1").select("__h")
-    if shared.isEmpty():
-        rows = alone
-    else:
-        by_text = (groups.join(shared, "__h", "left_semi")
-                   .withColumn("__sha", F.sha2("__text", 256)))
-        rows = alone.unionByName(texts.join(by_text, ["__h", "__text"])
-                                 .select("__id", "__keep", "__n", "__sha"))
+    key = F.concat(F.col("__h").cast("string").cast("binary"),
+                   F.unhex(F.sha2("__text", 256))).alias("__key")
+    groups = text_groups(texts, keep).select(key, "__keep", "__n")
+    rows = join_groups(texts.select("__id", key), groups, "__key", "__n").withColumn(
+        "__sha", F.lower(F.substring(F.hex("__key"), -64, 64)))
     return rows.select(F.col("__id").alias(id_column), F.col("__keep").alias("keep_id"),
                        F.col("__n").alias("group_size"),
                        F.col("__id").eqNullSafe(F.col("__keep")).alias("kept"),
