@@ -5,6 +5,7 @@ Everything here is a column expression; no Python runs on the executors.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -35,6 +36,8 @@ CONTEXT = {"email": "mail|contact|write|reply", "ip": "address|host|server|login
            "iban": "iban|bank|account|transfer"}
 CONTEXT_CHARS = 40
 CONTEXT_GAIN = 0.1
+#: Matches that are folded at a time.
+PART_MATCHES = 256
 
 
 def _digits(text: Column) -> Column:
@@ -77,6 +80,50 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _placed(judged: Column) -> Column:
+    """Confirmed matches (start, m, before) of the pieces and matches of a text, in order.
+
+    A fold copies what it has gathered with every match, so it goes over parts of some
+    hundred matches, each from where the ones before it end; the work grows with the text.
+    """
+    def length(x):
+        return F.length(x["gap"]) + F.coalesce(F.length(x["m"]), F.lit(0))
+
+    def step(acc, x):
+        return F.struct(
+            (acc["at"] + length(x)).alias("at"),
+            F.when(x["m"].isNull() | ~x["ok"], acc["out"])
+            .otherwise(F.concat(acc["out"], F.array(F.struct(
+                (acc["at"] + F.length(x["gap"])).alias("start"), x["m"].alias("m"),
+                F.right(x["gap"], F.lit(CONTEXT_CHARS)).alias("before"))))).alias("out"))
+
+    def within(part, at):
+        return F.aggregate(part, F.struct(at.alias("at"), F.array().cast(
+            "array<struct<start:int,m:string,before:string>>").alias("out")), step,
+            lambda acc: acc["out"])
+
+    def folded(parts):
+        sums = F.transform(parts, lambda p: F.aggregate(
+            p, F.lit(0), lambda total, x: total + length(x)))
+        ends = F.aggregate(sums, F.struct(F.lit(0).alias("at"),
+                                          F.array().cast("array<int>").alias("out")),
+                           lambda acc, n: F.struct(
+                               (acc["at"] + n).alias("at"),
+                               F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+                           lambda acc: acc["out"])
+        return F.flatten(F.zip_with(parts, ends, within))
+
+    numbers = F.sequence(F.lit(0), F.greatest(F.floor((F.size(judged) - 1) / PART_MATCHES),
+                                              F.lit(0)).cast("int"))
+    return _let(F.transform(numbers, lambda i: F.slice(
+        judged, i * PART_MATCHES + 1, F.lit(PART_MATCHES))), folded)
+
+
 def _spans(kind: str, order: int, pattern: str, hint: str, score: float, text: Column) -> Column:
     """Confirmed spans of one kind: start and end in code points, kind, score.
 
@@ -88,17 +135,7 @@ def _spans(kind: str, order: int, pattern: str, hint: str, score: float, text: C
     pieces = F.split(text, pattern, -1)
     judged = F.zip_with(pieces, found, lambda gap, m: F.struct(
         gap.alias("gap"), m.alias("m"), F.coalesce(_valid(kind, m), F.lit(False)).alias("ok")))
-    placed = F.aggregate(
-        judged,
-        F.struct(F.lit(0).alias("at"),
-                 F.array().cast("array<struct<start:int,m:string,before:string>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["gap"]) + F.coalesce(F.length(x["m"]), F.lit(0))).alias("at"),
-            F.when(x["m"].isNull() | ~x["ok"], acc["out"])
-            .otherwise(F.concat(acc["out"], F.array(F.struct(
-                (acc["at"] + F.length(x["gap"])).alias("start"), x["m"].alias("m"),
-                F.right(x["gap"], F.lit(CONTEXT_CHARS)).alias("before"))))).alias("out")),
-        lambda acc: acc["out"])
+    placed = _let(judged, _placed)
     kept = F.transform(
         placed,
         lambda s: F.struct(
