@@ -174,6 +174,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
 
     told = (rows.select("__text", "__toxic")
             .mapInArrow(run, "toxic int, n int, hit int, f array<int>, c array<int>")
+            # the bound holds where ids repeat in ``docs`` as well; a hash decides who stays
+            .orderBy(F.xxhash64("f", "c", "n", "toxic"), "toxic", "n", "hit", "f", "c")
             .limit(4 * each).collect())
     told.sort(key=lambda r: (r["toxic"], r["n"], r["hit"], r["f"], r["c"]))
     if not told or not features:
