@@ -44,8 +44,9 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     """
     texts = docs.select(F.col(id_column).alias("__id"), whole_text(text_column).alias("__text"))
     texts = texts.withColumn("__h", hash_of(F.col("__text")))
-    key = F.concat(F.col("__h").cast("string").cast("binary"),
-                   F.unhex(F.sha2("__text", 256))).alias("__key")
+    # a key that is never null, so that both uses of the groups share their exchange
+    key = F.coalesce(F.concat(F.col("__h").cast("string").cast("binary"), F.unhex(
+        F.sha2("__text", 256))), F.lit(b"")).alias("__key")
     groups = text_groups(texts, keep).select(key, "__keep", "__n")
     rows = join_groups(texts.select("__id", key), groups, "__key", "__n").withColumn(
         "__sha", F.lower(F.substring(F.hex("__key"), -64, 64)))

@@ -226,7 +226,7 @@ def refer_repeats(pages: DataFrame, id_column: str = "page_id",
     refers to nothing. Rows that share the smallest id all keep their payload.
     """
     rows = pages.withColumn("__payload", whole_text(payload_column).cast("binary"))
-    rows = rows.withColumn("__key", F.unhex(F.sha2("__payload", 256)))
+    rows = rows.withColumn("__key", F.coalesce(F.unhex(F.sha2("__payload", 256)), F.lit(b"")))
     groups = rows.groupBy("__key").agg(F.min(id_column).alias("__first"),
                                        F.count(F.lit(1)).alias("__n"))
     groups = groups.where((F.col("__n") > 1) & F.col("__first").isNotNull())
