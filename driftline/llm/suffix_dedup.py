@@ -537,16 +537,17 @@ def removable(batches):
 def starts_of(at, step, number, mask):
     """Starts of repeated strings, some at a time: places less the offsets of their mask."""
     at, step, number, mask = (np.array(x, np.int64) for x in (at, step, number, mask))
-    for lo in range(0, len(at), BLOCK_RECORDS):
-        block = slice(lo, lo + BLOCK_RECORDS)
-        single = number[block] == 1
-        for offset in range(BEFORE + 1):
-            on = (mask[block] >> offset & 1) > 0
-            yield at[block][on & single] - offset
-            for i in np.flatnonzero(on & ~single).tolist():
-                a, s, n = int(at[lo + i]), int(step[lo + i]), int(number[lo + i])
-                for k in range(0, n, BLOCK_RECORDS):
-                    yield a - offset + s * np.arange(k, min(n, k + BLOCK_RECORDS))
+    offsets = np.arange(BEFORE + 1)
+    single = number == 1
+    for lo in range(0, len(at), 1 << 13):
+        some = np.flatnonzero(single[lo:lo + (1 << 13)]) + lo
+        on = (mask[some, None] >> offsets & 1) > 0
+        yield (at[some, None] - offsets)[on]
+    for i in np.flatnonzero(~single).tolist():
+        for offset in np.flatnonzero(int(mask[i]) >> offsets & 1).tolist():
+            for k in range(0, int(number[i]), BLOCK_RECORDS):
+                steps = np.arange(k, min(int(number[i]), k + BLOCK_RECORDS))
+                yield int(at[i]) - offset + int(step[i]) * steps
 
 
 def without(data: bytes, starts) -> tuple[int, int, bytes]:
