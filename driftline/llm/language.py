@@ -167,13 +167,30 @@ def sample_windows(docs: DataFrame, id_column: str, text_column: str, lang_colum
     return windows, labels
 
 
+def noise_windows(windows: list[bytes], count: int, seed: int = 7) -> list[bytes]:
+    """Windows that are no language: the bytes of known ones in any order, and any ASCII."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for i in range(count):
+        known = np.frombuffer(windows[int(rng.integers(len(windows)))], np.uint8)
+        out.append((rng.permutation(known) if i % 2 else
+                    rng.integers(0x20, 0x7F, len(known), np.uint8)).tobytes())
+    return out
+
+
 def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         lang_column: str = "lang", sample_docs: int = SAMPLE_DOCS,
-        held_out: int | None = HELD_OUT) -> Network | None:
-    """A network for the languages of the labelled rows; None without any."""
+        held_out: int | None = HELD_OUT, noise: bool = False) -> Network | None:
+    """A network for the languages of the labelled rows; None without any.
+
+    With ``noise`` it also learns what is no language, and calls it ``und``.
+    """
     windows, labels = sample_windows(docs, id_column, text_column, lang_column, sample_docs, held_out)
     if not windows:
         return None
+    if noise:
+        made = noise_windows(windows, max(1, len(windows) // len(set(labels))))
+        windows, labels = windows + made, labels + [UNDETERMINED] * len(made)
     languages = sorted(set(labels))
     number = {x: i for i, x in enumerate(languages)}
     return train(padded(windows), np.array([number[x] for x in labels]), languages)

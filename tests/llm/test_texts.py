@@ -1,7 +1,9 @@
 """Row-by-row operators against plain versions and held-out rows."""
 
 import hashlib
+import math
 import re
+import time
 
 import numpy as np
 import pytest
@@ -185,8 +187,70 @@ def test_pii(spark, odd, documents):
     assert scored["phone"] > 0.6
 
 
+def test_many_matches_in_one_text(spark):
+    """The work grows with the matches: a text of 100,000 addresses and cards."""
+    n = 100_000
+    text = " ".join(f"u{i}@h{i % 997}.org" if i % 10 else "4111-1111-1111-1111" for i in range(n))
+    docs = spark.createDataFrame([(1, text), (2, text[:40])], "doc_id long, text string")
+    began = time.perf_counter()
+    got = pii.pii_report(docs)
+    rows = {r.doc_id: r for r in got.collect()}
+    assert time.perf_counter() - began < 60
+    spans = base_spans(text)
+    want = ",".join(f"{k}:{s}:{e}" for s, _, e, k in spans)
+    assert (rows[1].n_email, rows[1].n_card) == (90_000, 10_000) and rows[2].n_card == 1
+    assert rows[1].base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("part", [1, 2, 3])
+def test_parts_of_matches_join(spark, monkeypatch, part):
+    monkeypatch.setattr(pii, "PART_MATCHES", part)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(
+        [" ".join(f"x{k}@y.z" for k in range(n)) + " 1.2.3.4" for n in range(8)])],
+        "doc_id long, text string")
+    for r, (_, t) in zip(sorted(pii.pii_report(docs).collect()), sorted(map(tuple, docs.collect()))):
+        text = ",".join(f"{k}:{s}:{e}" for s, _, e, k in base_spans(t))
+        assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
 # --- language
 
+def plain_network(net, data):
+    """Probabilities of one window, filter by filter and place by place."""
+    x = [net.embed[b].astype(float) for b in data]
+    x += [net.embed[32].astype(float)] * (max(language.WIDTHS) - 1)
+    pooled = []
+    for k, weight, bias in zip(language.WIDTHS, net.filters, net.biases):
+        for f in range(weight.shape[1]):
+            best = max(float(np.concatenate(x[i:i + k]) @ weight[:, f]) for i in range(len(data)))
+            pooled.append(max(best + float(bias[f]), 0.0))
+    logits = np.array(pooled) @ net.dense + net.offset
+    e = np.exp(logits - logits.max())
+    return e / e.sum()
+
+
+def test_classification_is_that_of_a_plain_network(documents):
+    net = language.fit(documents)
+    texts = [r.text.encode() for r in documents.where("text is not null").limit(4).collect()]
+    texts += [b"a", b"abc", texts[0][:256], texts[0][:257], "für été ñ".encode()]
+    for data in texts:
+        data = data[:900]
+        windows, lengths = language.windows_of(data)
+        total = sum(n * plain_network(net, w) for w, n in zip(windows, lengths)) / lengths.sum()
+        lang, score = language.classify(net, data, most=3)
+        assert lang == net.languages[int(total.argmax())] and score == pytest.approx(
+            total.max(), abs=1e-4)
+
+
+def test_noise_is_no_language(documents):
+    net = language.fit(documents, noise=True)
+    texts = [r.text.encode() for r in documents.where("length(text) > 300").limit(40).collect()]
+    assert sum(language.classify(net, t)[0] == "und" for t in texts) <= 1
+    noise = language.noise_windows([t[:256] for t in texts], 40, seed=99)
+    assert sum(language.classify(net, t)[0] == "und" for t in noise) >= 38
+
+
 def test_network_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(0)
     net = language.Network.start(["a", "b", "c"])
@@ -251,6 +315,26 @@ def test_toxicity_of_held_out_rows(spark):
     assert all(0 <= r.severity <= 3 and 0 <= r.p_toxic <= 1 for r in found.collect())
 
 
+def test_severity_is_that_of_a_plain_model(documents, odd):
+    """Grades from the weights, word by word."""
+    model = toxicity.Ordinal([b"=fox", b"^qui", b"=the", b"^laz"], np.array([1.5, -0.5, 0.7, 2.0]), 0.3,
+                             np.array([0.5, 1.5, 3.0]))
+    for docs in (odd, documents):
+        got = {(r.doc_id, round(r.severity, 6), r.grade, r.toxic) for r in toxicity.predict(
+            docs, model).collect()}
+        want = set()
+        for r in docs.select("doc_id", "text").collect():
+            words = [w.encode() for w in WORD.findall(lowered(r.text))]
+            raw, some = model.length_weight * math.log1p(len(words)), False
+            for f, w in zip(model.features, model.weights):
+                n = sum(x == f[1:] if f[:1] == b"=" else x[:3] == f[1:] for x in words)
+                raw, some = raw + w * math.log1p(n), some or n > 0
+            up = [1 / (1 + math.exp(-(raw - c))) for c in model.cuts] if some else [0.0] * 3
+            p = [a - b for a, b in zip([1, *up], [*up, 0])]
+            want.add((r.doc_id, round(sum(up), 6), p.index(max(p)), up[0] >= 0.5))
+        assert got == want
+
+
 def test_toxicity_without_a_class(odd, spark):
     labels = spark.createDataFrame([(1, 1, 0), (2, None, None), (None, 1, 1)],
                                    "doc_id long, quality int, toxic int")
