@@ -18,7 +18,6 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 SEQUENCE = 2048
 SHARD_BYTES = 8 << 20
-_CACHE_ENTRIES = 100_000
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -29,48 +28,15 @@ def read_ranks(spark, path: str) -> dict[bytes, int]:
 
 
 class Encoder:
-    """Ids of a text as 16-bit little-endian bytes; units between spaces are remembered.
-
-    The splitting pattern always cuts before a space that is followed by no white space,
-    so a text may be encoded unit by unit.
-    """
+    """Ids of a text as 16-bit little-endian bytes."""
 
     def __init__(self, ranks: dict[bytes, int]):
         import tiktoken
         self.core = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks,
                                       special_tokens={})
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.core.encode_ordinary(text), np.uint16).tobytes()
-
-    def _unit(self, unit: str) -> bytes:
-        ids = self._ids(" " + unit)
-        if len(unit) < 40:
-            if len(self.known) >= _CACHE_ENTRIES:
-                self.known.clear()
-            self.known[unit] = ids
-        return ids
 
     def encode(self, text: str) -> bytes:
-        units = text.split(" ")
-        if len(units) == 1:
-            return self._ids(text) if text else b""
-        known, unit = self.known.get, self._unit
-        if not any(not u or u[0].isspace() for u in units):
-            return b"".join([self._ids(units[0]), *[known(u) or unit(u) for u in units[1:]]])
-        out, plain = [], units[0]  # plain: what is encoded as it stands, spaces included
-        for u, after in zip(units[1:], [*units[2:], None]):
-            if not u or u[0].isspace():
-                plain += " " + u
-            else:
-                if plain:
-                    out.append(self._ids(plain))
-                    plain = ""
-                out.append(known(u) or unit(u))
-        if plain:
-            out.append(self._ids(plain))
-        return b"".join(out)
+        return np.array(self.core.encode_ordinary(text), np.uint16).tobytes()
 
 
 class CapacityTree:
