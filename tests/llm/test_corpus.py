@@ -185,8 +185,10 @@ def test_stages_take_effect(spark, tmp_path):
         frames.append(spark.read.parquet(f"{tmp_path}/{name}"))
     ids = [{r.doc_id for r in f.select("doc_id").collect()} for f in frames[:5]]
     net = language.fit(frames[0], noise=True)
-    found = {r.doc_id: r.lang_pred for r in language.predict(frames[0], net).collect()}
-    assert ids[1] == {d for d, lang in found.items() if lang != "und"}
+    found = {r.doc_id: r for r in language.predict(frames[0], net).collect()}
+    assert ids[1] == {d for d, r in found.items()
+                      if r.lang_pred != "und" or 0 < r.score < stages.NO_LANGUAGE}
+    found = {d: None if r.lang_pred == "und" else r.lang_pred for d, r in found.items()}
     labelled = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
     assert {r.doc_id: r.lang for r in frames[1].select("doc_id", "lang").collect()} == {
         d: labelled[d] or found[d] for d in ids[1]}
