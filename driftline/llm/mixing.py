@@ -68,8 +68,9 @@ class Mix:
     schedule   slot, rank, pass, and the run of words (id, first, words) of each document
                that the slot's block takes
 
-    The stream order is a hash of the id (ties by size, then text), so reruns agree. The
-    running sum of sizes is taken in buckets of some thousand rows, however large a source.
+    The stream order is a hash of the id and the text, so reruns agree. The running sum of
+    sizes is taken in buckets of some thousand different rows, however large a source and
+    however many rows repeat an id, or have none.
     Slot i of n is the point i * golden ratio mod 1, looked up in the cumulative weights;
     a source's k-th slot takes its block k mod its number of blocks. A source whose points
     fall short by the sequence's discrepancy gets the rest at the end, so that it takes
@@ -80,27 +81,33 @@ class Mix:
                  source_column: str = "source", block_words: int = BLOCK_WORDS):
         self.spark, self.block = docs.sparkSession, block_words
         text = whole_text(text_column)
-        sized = cut(docs.select(
+        key = F.md5(F.concat(F.coalesce(F.col(id_column).cast("string"), F.lit("")), F.lit(":"),
+                             F.md5(text)))
+        sized = docs.select(
             F.col(id_column).alias("id"), F.col(source_column).alias("source"),
             F.regexp_count(text, F.lit(NON_SPACE)).cast("long").alias("size"),
-            F.md5(F.coalesce(F.col(id_column).cast("string"), F.lit(""))).alias("key"),
-            F.xxhash64(text).alias("tie")))
+            key.alias("key"), F.xxhash64(text).alias("tie"))
+        # rows that repeat id and text stand one after the other: one row with their number
+        sized = cut(sized.groupBy(*sized.columns).agg(F.count(F.lit(1)).alias("copies")))
         rows = sized.count()
         buckets = max(1, -(-rows // ROWS_PER_BUCKET))
-        self.sources = cut(_quotas(source_targets(sized.select("source", "size")), block_words))
+        words = (F.col("size") * F.col("copies")).alias("size")
+        self.sources = cut(_quotas(source_targets(sized.select("source", words)), block_words))
         known = (self.sources.withColumnRenamed("source", "__source"))
         joined = sized.join(known, sized["source"].eqNullSafe(F.col("__source"))).drop("__source")
         joined = joined.withColumn("bucket", F.floor(
             F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * buckets / (1 << 32)).cast("int"))
         inside = Window.partitionBy("rank", "bucket").orderBy("key", "size", "tie").rowsBetween(
             Window.unboundedPreceding, 0)
-        offsets = (joined.groupBy("rank", "bucket").agg(F.sum("size").alias("n"))
+        offsets = (joined.groupBy("rank", "bucket").agg(F.sum(words).alias("n"))
                    .select("rank", "bucket", (F.sum("n").over(
                        Window.partitionBy("rank").orderBy("bucket")) - F.col("n")).alias("offset")))
+        copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")
         self.documents = cut(
-            joined.withColumn("upto", F.sum("size").over(inside)).join(offsets, ["rank", "bucket"])
+            joined.withColumn("upto", F.sum(words).over(inside)).join(offsets, ["rank", "bucket"])
+            .select("*", copy)
             .select("id", "source", "rank", "tie", "size",
-                    (F.col("offset") + F.col("upto") - F.col("size")).alias("start"),
+                    (F.col("offset") + F.col("upto") - F.col("copy") * F.col("size")).alias("start"),
                     "source_size", "target"))
 
     def _slots(self) -> DataFrame:

@@ -91,7 +91,8 @@ from d window g as (partition by t)""",
     "op2_mix_sources": r"""
 with d as (select doc_id, source,
     len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
-    md5(coalesce(cast(doc_id as varchar), '')) as key from documents),
+    md5(coalesce(cast(doc_id as varchar), '') || ':' || md5(coalesce(text, ''))) as key
+    from documents),
 r as (select source, cast(sum(size) as bigint) as s,
     row_number() over (order by source asc nulls last) as rank from d group by source),
 w as (select *, [3, 1, 2][(rank - 1) % 3 + 1] as w from r),

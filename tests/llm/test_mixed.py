@@ -1,8 +1,9 @@
 """Rows that share id and text under several sources."""
 
+import duckdb
 from pyspark.sql import functions as F
 
-from driftline.llm import mixing
+from driftline.llm import mixing, queries
 
 
 def test_copies_keep_their_source(spark):
@@ -22,3 +23,18 @@ def test_copies_keep_their_source(spark):
         assert got == want
         seen.append(sorted((r.doc_id, r.text, r.source or "", r.lang) for r in rows))
     assert seen[0] == seen[1]
+
+
+def test_crowds_of_rows_without_ids_and_of_repeats(spark, monkeypatch):
+    """Neither meets in one bucket, and all rows come back as the SQL has them."""
+    rows = [(None, f"text {i % 500} " + "w " * (i % 7), "a" if i % 3 else None) for i in range(2000)]
+    rows += [(7, "the same row again", "b")] * 3000 + [(8, "", "b")] * 5 + [(i, f"t {i}", "c") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(9)
+    monkeypatch.setattr(mixing, "ROWS_PER_BUCKET", 50)
+    got = sorted((tuple(r) for r in mixing.mix_report(docs).select(
+        "doc_id", "size", "source_size", "target", "taken").collect()), key=repr)
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    want = con.execute(f"select doc_id, size, source_size, target, taken from "
+                       f"({queries.ORACLES['op2_mix_sources']})").fetchall()
+    assert got == sorted(want, key=repr)
