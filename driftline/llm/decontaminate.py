@@ -5,19 +5,25 @@ from __future__ import annotations
 import hashlib
 import itertools
 import re
+import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import WORD_BYTES, per_text, small_batches, with_answer, words_of
+from driftline.llm.common import (WORD_BYTES, per_text, pieces_of, small_batches, with_answer,
+                                  words_of)
 
 WINDOW = 13
 #: Bytes of benchmark text that may be broadcast; a larger benchmark is joined instead.
 MAX_BROADCAST_BYTES = 4 << 20
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _MIX = 0x9E3779B97F4A7C15
+#: Bits of the filter that windows of texts pass before a join (16 MB), and its parts.
+FILTER_BITS, _FILTER_CHUNKS = 1 << 27, 256
 
 
 def item_windows(items, window: int = WINDOW) -> dict[tuple[bytes, ...], list[str]]:
@@ -191,52 +197,129 @@ def _word_list(column):
                                 F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), 0)
 
 
+def _window_hashes(words: list[bytes], size: int) -> np.ndarray:
+    """One hash for each run of ``size`` words."""
+    if len(words) < size:
+        return np.zeros(0, np.uint64)
+    of = xxhash.xxh64_intdigest
+    numbers = np.fromiter((of(w) for w in words), np.uint64, len(words))
+    n = len(words) - size + 1
+    return WindowSet.rolled(np.stack([numbers[k:k + n] for k in range(size)]))
+
+
+def _places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each hash."""
+    bits = np.uint64(FILTER_BITS)
+    return (hashes % bits).astype(np.int64), (hashes // bits * np.uint64(_MIX) % bits).astype(np.int64)
+
+
+def _window_filter(benchmark: DataFrame, window: int) -> tuple[list[int], np.ndarray]:
+    """The sizes of the benchmark's windows and a Bloom filter of them, made on the executors.
+
+    The filter's size is fixed; a larger benchmark lets more windows pass, which the join
+    then drops.
+    """
+    def make(batches):
+        bits, sizes = np.zeros(FILTER_BITS >> 3, np.uint8), set()
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                words = words_of(data)
+                size = min(window, len(words))
+                if size:
+                    sizes.add(size)
+                    for at in _places(_window_hashes(words, size)):
+                        np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        chunks = [(i, c) for i, c in enumerate(bits.reshape(_FILTER_CHUNKS, -1)) if c.any()]
+        yield pa.RecordBatch.from_pydict({
+            "chunk": pa.array([i for i, _ in chunks] + [-1 - x for x in sizes], pa.int32()),
+            "bits": pa.array([zlib.compress(c.tobytes(), 1) for _, c in chunks] + [b""] * len(sizes),
+                             pa.binary())})
+
+    def add(batches):
+        total = {}
+        for batch in batches:
+            for i, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                part = np.frombuffer(zlib.decompress(blob), np.uint8) if i >= 0 else None
+                total[i] = part if i not in total or i < 0 else total[i] | part
+        yield pa.RecordBatch.from_pydict({
+            "chunk": pa.array(list(total), pa.int32()),
+            "bits": pa.array([zlib.compress(c.tobytes(), 1) if c is not None else b""
+                              for c in total.values()], pa.binary())})
+
+    shape = "chunk int, bits binary"
+    small_batches(benchmark.sparkSession)
+    items = benchmark.where("item_id is not null").select(F.coalesce("text", F.lit("")).cast("binary"))
+    out, sizes = np.zeros((_FILTER_CHUNKS, FILTER_BITS // 8 // _FILTER_CHUNKS), np.uint8), []
+    for i, blob in items.mapInArrow(make, shape).repartition("chunk").mapInArrow(add, shape).collect():
+        if i < 0:
+            sizes.append(-1 - i)
+        else:
+            out[i] = np.frombuffer(zlib.decompress(bytes(blob)), np.uint8)
+    return sorted(sizes), out.reshape(-1)
+
+
 def decontaminate_by_join(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                           id_column: str = "doc_id", text_column: str = "text",
                           with_text: bool = False) -> DataFrame:
     """The same rows for a benchmark of any size: windows of both sides meet in a join.
 
-    Rows of ``docs`` with the same id and text are answered together and counted.
+    Of the documents only windows that pass a Bloom filter of the benchmark's (16 MB,
+    broadcast) are exchanged, with their words, which decide; texts stay where they are but
+    for ``with_text``. Rows of ``docs`` with the same text are answered together.
     """
+    small_batches(docs.sparkSession)
+    sizes, bits = _window_filter(benchmark, window)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
     body = [F.col(text_column).cast("binary").alias("__body")] if with_text else []
-    texts = (docs.select(F.col(id_column).alias("__id"), _word_list(F.col(text_column)).alias("__w"),
-                         *body)
-             .withColumn("__t", F.sha2(F.array_join("__w", " "), 256)))
+    text = F.coalesce(text_column, F.lit(""))
+    texts = docs.select(F.col(id_column).alias("__id"), F.size(_word_list(F.col(text_column))).alias("__n"),
+                        F.sha2(text, 256).alias("__t"), *body)
+
+    def passing(batches):
+        """Windows of texts that pass the filter: text, size, place, words."""
+        known = shared.value
+        for batch in (x for whole in batches for x in pieces_of(whole, 1)):
+            out = [[], [], [], []]
+            for t, data in zip(*(c.to_pylist() for c in batch.columns)):
+                words = words_of(data)
+                for size in sizes:
+                    hashes = _window_hashes(words, size)
+                    hit = np.ones(len(hashes), bool)
+                    for at in _places(hashes):
+                        hit &= (known[at >> 3] >> (at & 7) & 1) > 0
+                    for i in np.flatnonzero(hit).tolist():
+                        for column, value in zip(out, (t, size, i, b" ".join(words[i:i + size]))):
+                            column.append(value)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()),
+                pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())],
+                names=["__t", "size", "at", "key"])
 
     def windows(words, size):
         last = F.size(words) - size
         return F.when(last >= 0, F.transform(
             F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
-            lambda i: F.struct(i.cast("int").alias("at"),
-                               F.array_join(F.slice(words, i + 1, size), " ").alias("key"))))
+            lambda i: F.array_join(F.slice(words, i + 1, size), " ")))
 
     items = (benchmark.where("item_id is not null")
              .select(F.col("item_id").cast("string").alias("item"), _word_list(F.col("text")).alias("w"))
              .where(F.size("w") > 0)
              .withColumn("size", F.least(F.size("w"), F.lit(window))))
-    keys = (items.select("item", "size", F.explode(windows(F.col("w"), F.col("size"))).alias("x"))
-            .select("item", "size", F.col("x.key").alias("key")).distinct())
-    sizes = [r[0] for r in keys.select("size").distinct().limit(window).collect()]
+    keys = items.select("item", "size", F.explode(windows(F.col("w"), F.col("size"))).cast(
+        "binary").alias("key")).distinct()
     grouped = keys.groupBy("size", "key").agg(F.collect_set("item").alias("items"))
-    distinct = texts.select("__t", "__w").dropDuplicates(["__t"])
-    parts = [distinct.select("__t", F.lit(n).alias("size"),
-                             F.explode(windows(F.col("__w"), F.lit(n))).alias("x")) for n in sizes]
-    empty = distinct.select("__t", F.lit(0).alias("size"), F.struct(
-        F.lit(0).alias("at"), F.lit("").alias("key")).alias("x")).where("false")
-    for part in parts:
-        empty = empty.unionByName(part)
-    met = (empty.select("__t", "size", F.col("x.at").alias("at"), F.col("x.key").alias("key"))
+    met = (docs.select(F.sha2(text, 256).alias("__t"), text.cast("binary").alias("__text"))
+           .mapInArrow(passing, "__t string, size int, at int, key binary").distinct()
            .join(grouped, ["size", "key"]))
     found = met.groupBy("__t").agg(
         F.array_distinct(F.flatten(F.collect_list(F.sequence("at", F.col("at") + F.col("size") - 1))))
         .alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     n_hit = F.coalesce(F.size("hit"), F.lit(0))
     n_hit = F.when(F.col("hit").isNull(), 0).otherwise(n_hit)
-    n_words = F.size("__w")
+    n_words = F.col("__n")
     none = F.coalesce("items", F.array().cast("array<string>"))
     cleaned = []
     if with_text:
-        small_batches(docs.sparkSession)
         cleaned = [F.pandas_udf(_cleaned, "string")("__body", "hit").alias("cleaned_text")]
     return (texts.join(found, "__t", "left").select(
         F.col("__id").alias(id_column), n_words.cast("long").alias("n_words"),
