@@ -18,6 +18,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 SEQUENCE = 2048
 SHARD_BYTES = 8 << 20
+_APART = 1_000_003  # between the shards of copies that were read in neighbouring partitions
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -99,7 +100,8 @@ def token_pieces(docs: DataFrame, ranks: dict[bytes, int], sequence: int, shards
     shared = spark.sparkContext.broadcast(ranks)
     mark = uuid.uuid4().hex
     rows = docs.select(F.col(id_column).alias("doc_id"), whole_text(text_column).alias("text"),
-                       F.xxhash64(id_column, text_column).alias("tie"))
+                       F.xxhash64(id_column, text_column).alias("tie"),
+                       F.spark_partition_id().alias("part"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     step = 2 * sequence
 
@@ -110,12 +112,13 @@ def token_pieces(docs: DataFrame, ranks: dict[bytes, int], sequence: int, shards
             encoder = _ENCODERS[mark] = Encoder(shared.value)
         for batch in (x for whole in batches for x in pieces_of(whole, 1)):
             out: list[list] = [[], [], [], [], []]
-            for i, (text, tie) in enumerate(zip(batch.column(1).to_pylist(),
-                                                batch.column(2).to_pylist())):
+            rows = zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)))
+            for i, (text, tie, part) in enumerate(rows):
                 ids = encoder.encode(text)
+                first = tie % (1 << 40) + part * _APART
                 for piece, at in enumerate(range(0, len(ids), step)):
-                    for column, value in zip(out, ((tie % (1 << 40) + piece) % shards, i, piece,
-                                                   tie, ids[at:at + step])):
+                    for column, value in zip(out, ((first + piece) % shards, i, piece, tie,
+                                                   ids[at:at + step])):
                         column.append(value)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out[0], pa.int32()), batch.column(0).take(pa.array(out[1], pa.int64())),
@@ -139,9 +142,9 @@ def pack(docs: DataFrame, sequence: int = SEQUENCE, tokenizer: str = TOKENIZER,
     often as they occur, a null id stays null; other columns are not looked at; an empty
     table gives no rows.
 
-    Pieces are dealt to shards by a hash of their row's id and text and their place in it,
-    so neither a long document nor copies under ids of their own fill a shard; rows that
-    repeat both id and text share their shards. A task holds one shard (about
+    Pieces are dealt to shards by a hash of their row's id and text, their place in it and
+    the partition it was read in (which a retried task finds again), so neither a long
+    document nor many copies fill a shard, rows that repeat both id and text included. A task holds one shard (about
     ``shard_bytes`` of text) and packs it by best-fit-decreasing.
     """
     size = docs.agg(F.sum(F.octet_length(text_column))).first()[0] or 0

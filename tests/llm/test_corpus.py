@@ -201,3 +201,13 @@ def test_stages_take_effect(spark, tmp_path):
     packed = {d for r in frames[5].collect() for d in r.doc_ids}
     assert packed == {r.doc_id for r in frames[4].where("length(text) > 0").collect()}
     assert frames[1].select(F.count("text")).first()[0] == len(ids[1])
+
+
+def test_repeated_rows_are_dealt_on(spark):
+    """Copies of one row fill no shard, and all of them are packed."""
+    docs = spark.range(4000).selectExpr("1L as doc_id", "'some words that repeat' as text").repartition(16)
+    rows = packing.pack(docs, sequence=64, shard_bytes=1 << 12).collect()
+    shards = {}
+    for r in rows:
+        shards[r.shard] = shards.get(r.shard, 0) + r.n_segments
+    assert sum(shards.values()) == 4000 and len(shards) >= 8 and max(shards.values()) <= 1000
