@@ -138,5 +138,7 @@ def with_answer(docs: DataFrame, column: str, text_column: str,
         for part in texts:
             yield pd.DataFrame([of(x) for x in part], columns=names)
 
-    answer = F.pandas_udf(answers, ", ".join(f"{k} {v}" for k, v in fields.items()))
+    # a filter on the answer is not moved below it, where the answer would be computed twice
+    answer = F.pandas_udf(answers, ", ".join(
+        f"{k} {v}" for k, v in fields.items())).asNondeterministic()
     return docs.withColumn(column, answer(F.col(text_column).cast("binary")))
