@@ -51,6 +51,9 @@ def test_scans_of_stored_slices(spark, source, tmp_path, max_rows):
         assert same(got.select(*sorted(got.columns)), fn(df).select(*sorted(got.columns)))
         # k is in every row and in no summary
         assert not [x for x in exchanged(got) if " k#" in x or "[k#" in x]
+    fn = lambda x: zeroes.run_statistic(x, ["v"], "status", ORDER)
+    got = fn(slices)
+    assert same(got.select(*sorted(got.columns)), fn(df).select(*sorted(got.columns)))
     assert same(scan.run_lengths(slices, "status", 1, ORDER), scan.run_lengths(df, "status", 1, ORDER))
     with pytest.raises(ValueError, match="stored for"):
         scan.run_id(slices, "status", 1, Order(time="date"))
