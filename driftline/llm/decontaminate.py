@@ -299,14 +299,14 @@ def decontaminate_by_join(docs: DataFrame, benchmark: DataFrame, window: int = W
         last = F.size(words) - size
         return F.when(last >= 0, F.transform(
             F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
-            lambda i: F.array_join(F.slice(words, i + 1, size), " ")))
+            lambda i: F.array_join(F.slice(words, i + 1, size), " ").cast("binary")))
 
     items = (benchmark.where("item_id is not null")
              .select(F.col("item_id").cast("string").alias("item"), _word_list(F.col("text")).alias("w"))
              .where(F.size("w") > 0)
              .withColumn("size", F.least(F.size("w"), F.lit(window))))
-    keys = items.select("item", "size", F.explode(windows(F.col("w"), F.col("size"))).cast(
-        "binary").alias("key")).distinct()
+    keys = items.select("item", "size", F.explode(
+        windows(F.col("w"), F.col("size"))).alias("key")).distinct()
     grouped = keys.groupBy("size", "key").agg(F.collect_set("item").alias("items"))
     met = (docs.select(F.sha2(text, 256).alias("__t"), text.cast("binary").alias("__text"))
            .mapInArrow(passing, "__t string, size int, at int, key binary").distinct()
