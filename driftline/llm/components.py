@@ -2,47 +2,98 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.llm.common import cut
 
+#: Edges that a task contracts at once; any number gives the same result.
+CHUNK = 1 << 20
 
-def _both_ways(edges: DataFrame) -> DataFrame:
-    return edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
+def contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every node of some edges and the least node that these edges lead to, itself included."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    left, right, root = at[:len(a)], at[len(a):], np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(root[left], root[right]), np.maximum(root[left], root[right])
+        if (low == high).all():
+            return nodes, nodes[root]
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _contract(batches):
+    """Edges (a, b) as (node, least node of its chunk); a chunk's nodes stay joined."""
+    held, size = [], 0
+
+    def close():
+        a, b = contracted(*(np.concatenate(x) for x in zip(*held)))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(a), pa.array(b), pa.array(np.ones(len(a), bool))], names=["a", "b", "moved"])
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Every neighbour above a node moves to the least of the node and its neighbours."""
-    near = _both_ways(edges)
-    least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return (near.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .where("a <> b").distinct())
+    for batch in batches:
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        size += batch.num_rows
+        if size >= CHUNK:
+            yield close()
+            held, size = [], 0
+    if size:
+        yield close()
+
+
+def _small_star(batches):
+    """A node and its neighbours below move to the least of them; rows sorted by (a, b).
+
+    A node's rows may go on from batch to batch; only its least neighbour is held.
+    """
+    last = least = None
+    for batch in batches:
+        a, b, moved = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+        if not len(a):
+            continue
+        new = np.append(last is None or a[0] != last, a[1:] != a[:-1])
+        first = np.where(new, b, 0)
+        start = np.maximum.accumulate(np.where(new, np.arange(len(a)), -1))
+        root = np.where(start >= 0, first[start], 0 if least is None else least)
+        other = b != root
+        last, least = a[-1], root[-1]
+        # the node's own row, a mark that something moved, and the neighbours' rows
+        out_a = np.concatenate([a[new], a[~new & ~other & moved], b[other]])
+        out_b = np.concatenate([root[new], root[~new & ~other & moved], root[other]])
+        flags = np.concatenate([moved[new], np.ones(len(out_a) - int(new.sum()), bool)])
+        yield pa.RecordBatch.from_arrays([pa.array(out_a), pa.array(out_b), pa.array(flags)],
+                                         names=["a", "b", "moved"])
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Every neighbour below a node, and the node itself, move to the least of them."""
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+def evened(df: DataFrame) -> DataFrame:
+    """A union in as many partitions as an exchange has, without an exchange."""
+    return df.coalesce(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, roots: bool = False) -> DataFrame:
     """node and root (the least node of its component) for every node of ``edges`` (a, b).
 
-    The two steps are the published star contraction: the number of rounds grows with the
-    logarithm of the longest chain. Each round is cut to the checkpoint folder; a node
-    with many neighbours is reduced by partial aggregation and joined by key.
+    The roots themselves have a row only with ``roots``. Every task first contracts the
+    edges it reads, a bounded number at a time, so that what reaches the exchanges are
+    stars. Then the two steps are the published star contraction: the number of rounds
+    grows with the logarithm of the longest chain. A large-star step moves an edge to the
+    least neighbour of its lower node by a join, which Spark splits where a node has many
+    neighbours; a small-star step streams a node's lower neighbours, of which a contracted
+    chunk gives one. Each round is cut to the checkpoint folder, and the last is the one
+    that moves nothing.
     """
-    edges = cut(edges.where("a <> b").select(
-        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
+    shape = "a long, b long, moved boolean"
+    edges = cut(edges.where("a <> b").select("a", "b").mapInArrow(_contract, shape))
     while True:
-        edges = cut(_small_star(_large_star(edges)))
-        state = edges.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b")
-                          .cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
-        if (state["n"], state["h"]) == seen:
+        least = edges.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("least"))
+        raised = edges.join(least, F.col("b") == F.col("of")).select(
+            "a", F.col("least").alias("b"), (F.col("b") != F.col("least")).alias("moved"))
+        edges = cut(raised.repartition("a").sortWithinPartitions("a", "b").mapInArrow(_small_star, shape))
+        if edges.where("moved").isEmpty():
             break
-        seen = (state["n"], state["h"])
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    found = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return found if roots else found.where("node <> root")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.llm.common import cut, per_text, pieces_of, small_batches, whole_text
-from driftline.llm.components import components
+from driftline.llm.components import components, evened
 
 SHINGLE = 5
 SEED = 42
@@ -39,6 +39,8 @@ PAIRED = 12
 BLOCK, LEADERS = 512, 8
 #: Buckets of the shingle counts; any number gives the same result.
 BUCKETS = 1 << 20
+#: Tasks that merge counts or bits of the buckets.
+MERGERS = 8
 _CHUNK = 1 << 14
 _ROWS = 1 << 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -110,11 +112,24 @@ def bucket_counts(rows: DataFrame, values_of) -> np.ndarray:
 
     shape = "chunk int, counts binary"
     out = np.zeros((BUCKETS // _CHUNK, _CHUNK), np.int64)
-    for i, blob in rows.mapInArrow(count, shape).repartition("chunk").mapInArrow(add, shape).collect():
+    # 64 chunks need no more tasks than that, however many partitions an exchange has
+    merged = rows.mapInArrow(count, shape).repartition("chunk").coalesce(MERGERS).mapInArrow(add, shape)
+    for i, blob in merged.collect():
         out[i] = np.frombuffer(zlib.decompress(bytes(blob)), np.int64)
     return out.reshape(-1)
 
 
+def key_bits(members: DataFrame) -> np.ndarray:
+    """A bit for each bucket, set where a key of ``members`` falls in it."""
+    at, word = F.pmod("key", F.lit(BUCKETS)), 8 * 4096  # bits of one of Spark's bitmaps
+    found = members.groupBy(F.floor(at / word).alias("chunk")).agg(
+        F.bitmap_construct_agg(F.pmod("key", F.lit(word))).alias("bits"))
+    out = np.zeros((BUCKETS // word, word // 8), np.uint8)
+    for i, bits in found.coalesce(MERGERS).collect():
+        out[i] = np.frombuffer(bytes(bits), np.uint8)
+    return out.reshape(-1)
+
+
 def prefix(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The rarest shingles of a set, of which any set in reach has one among its own."""
     up, down = SIMILARITY
@@ -360,17 +375,12 @@ def _reached(batches):
 
 def _told(texts: DataFrame, members: DataFrame, fields: str, answer) -> DataFrame:
     """``key`` and ``answer`` of the sets that ``members`` name, and maybe of some others."""
-    def keys(batches):
-        for batch in batches:
-            yield batch.column(0).to_numpy().view(np.uint64)
-
-    wanted = texts.sparkSession.sparkContext.broadcast(
-        np.packbits(bucket_counts(members.select("key"), keys) > 0))
+    wanted = texts.sparkSession.sparkContext.broadcast(key_bits(members))
 
     def of(batches):
-        some = np.unpackbits(wanted.value)
+        some = np.unpackbits(wanted.value, bitorder="little")
         for key, found in _sets(batches):
-            if some[bucket_of(np.array([key], np.int64).view(np.uint64))[0]]:
+            if some[key % BUCKETS]:
                 yield pa.RecordBatch.from_pydict({"key": [key], **answer(found)})
 
     return texts.mapInArrow(of, f"key long, {fields}")
@@ -397,7 +407,7 @@ def _numbers(upto: str):
 def _in_blocks(told: DataFrame, members: DataFrame, large: DataFrame, compare) -> DataFrame:
     """Edges (a, b) of the members of large groups, as ``compare`` gives them for whole groups."""
     def edges(rows):
-        return cut(_of_members(told, rows.distinct()).mapInArrow(compare, "a long, b long"))
+        return cut(_of_members(told, rows).mapInArrow(compare, "a long, b long"))
 
     dealt = cut(members.join(large, F.col("group") == F.col("of")).withColumn(
         "block", F.pmod(F.xxhash64("key"), F.col("blocks"))).drop("of"))
@@ -445,11 +455,11 @@ def links(docs: DataFrame, text_column: str = "text") -> DataFrame:
     met = cut(texts.mapInArrow(tokens, "token long, key long, place long")
               .repartition("token").sortWithinPartitions("token")
               .mapInArrow(_met, "a long, b long, many boolean"))
-    groups = _as_members(cut(components(met.where("many").select("a", "b"))))
+    groups = _as_members(components(met.where("many").select("a", "b"), roots=True))
     pair = met.where("not many").select("a", "b").distinct().select(
         F.xxhash64("a", "b").alias("group"), "a", "b")
-    members = cut(groups.unionByName(
-        pair.select("group", F.explode(F.array("a", "b")).alias("key"))))
+    members = cut(evened(groups.unionByName(
+        pair.select("group", F.explode(F.array("a", "b")).alias("key")))))
 
     def answered(fields, answer):
         """What is told of the members' sets; the large groups with theirs, and the other members."""
@@ -464,8 +474,8 @@ def links(docs: DataFrame, text_column: str = "text") -> DataFrame:
         "size": [len(found)], "bits": [bitmap(found)]})
     parts = _of_members(told, rest).mapInArrow(_parted, "group long, key long")
     if large is not None:
-        parts = parts.unionByName(_as_members(cut(components(
-            _in_blocks(told, crowded, large, _reached)))))
+        parts = evened(parts.unionByName(_as_members(components(
+            _in_blocks(told, crowded, large, _reached), roots=True))))
     members = cut(parts)
 
     told, large, crowded, rest = answered("found binary", lambda found: {"found": [found.tobytes()]})
@@ -475,10 +485,8 @@ def links(docs: DataFrame, text_column: str = "text") -> DataFrame:
 
 
 def _as_members(found: DataFrame) -> DataFrame:
-    """Components (node, root) as groups of keys, the root among them."""
-    root = F.col("root").alias("group")
-    return found.select(root, F.col("node").alias("key")).unionByName(
-        found.select(root, F.col("root").alias("key")).distinct())
+    """Components (node, root), roots among the nodes, as groups of keys."""
+    return found.select(F.col("root").alias("group"), F.col("node").alias("key"))
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
