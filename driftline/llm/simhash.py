@@ -41,11 +41,21 @@ def fingerprint(data: bytes | None, size: int = SHINGLE) -> int:
     else:
         starts = [0, *[e + 1 for e in ends]]
         hashes = [of(joined[s:e], seed) for s, e in zip(starts, ends[size - 1:])]
-    bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8)).reshape(-1, 64)
+    return majority(np.array(hashes, np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of some hashes: a bit is 1 if it is set in over half of them."""
+    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8)).reshape(-1, 64)
     counts = bits.sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
 
 
+def signed(value: int) -> int:
+    """A fingerprint as a signed long."""
+    return value - (1 << 64) if value >> 63 else value
+
+
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                  size: int = SHINGLE) -> DataFrame:
     """id and ``fp`` (the fingerprint as a signed long) of every row."""
@@ -53,13 +63,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 
 def _signed_fingerprint(size: int):
-    def prepare():
-        def of(data):
-            value = fingerprint(data, size)
-            return (value - (1 << 64) if value >> 63 else value,)
-        return of
-
-    return prepare
+    return lambda: lambda data: (signed(fingerprint(data, size)),)
 
 
 def within(values: np.ndarray, most: int, references: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,8 +126,8 @@ def joined_in_cell(values: np.ndarray, free: tuple[tuple[int, int], ...], most:
                 yield from joined_in_cell(values[rows], rest, most, references)
 
 
-def _cells(known: DataFrame) -> DataFrame:
-    """Sixteen cells for each fingerprint: 16 bits of a block and 12 bits of the rest.
+def _cells(known: DataFrame, *others: str) -> DataFrame:
+    """Sixteen cells for each fingerprint (and ``others``): 16 bits of a block and 12 bits of the rest.
 
     Of four blocks, one is equal in two fingerprints that differ in three bits at most; of
     four parts of the other 48 bits, again one is. Equal blocks have equal distances to
@@ -141,7 +145,7 @@ def _cells(known: DataFrame) -> DataFrame:
             piece = F.shiftrightunsigned(rest, 12 * part).bitwiseAND(F.lit(0xFFF))
             keys.append(F.shiftleft(value, 16).bitwiseOR(F.shiftleft(piece, 4))
                         .bitwiseOR(F.lit(4 * block + part)))
-    return known.select(F.explode(F.array(*keys)).alias("cell"), "fp")
+    return known.select(F.explode(F.array(*keys)).alias("cell"), "fp", *others)
 
 
 def free_bits(cell: int) -> tuple[tuple[int, int], ...]:
@@ -159,52 +163,64 @@ def free_bits(cell: int) -> tuple[tuple[int, int], ...]:
     return tuple(sorted(ranges, key=lambda r: -r[1]))
 
 
-def links(known: DataFrame, most: int = MAX_BITS) -> DataFrame:
-    """Edges (a, b) between different fingerprints of ``known`` (fp) in reach, enough to chain them all."""
+def links(known: DataFrame, most: int = MAX_BITS, of: str = "fp") -> DataFrame:
+    """Edges (a, b) between different fingerprints of ``known`` (fp) in reach, enough to chain them all.
+
+    With another column in ``of`` the edges are between its values (longs) instead, and
+    different values of one fingerprint are chained as well.
+    """
     if most > 3:
         raise ValueError("cells are complete for three differing bits at most")
     references = pivots()
 
     def run(batches):
+        def edge_rows(a, b):
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
         def edges(cell, parts):
-            values = np.unique(np.concatenate(parts)).view(np.uint64)
+            values, nodes = (np.concatenate(x) for x in zip(*parts))
+            values, first, at = np.unique(values.view(np.uint64), return_index=True, return_inverse=True)
+            stands = nodes[first]
+            other = nodes != stands[at]
+            if cell & 15 == 0 and other.any():  # the other cells of a fingerprint hold the same
+                yield edge_rows(stands[at[other]], nodes[other])
             for a, b in joined_in_cell(values, free_bits(cell), most, references):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+                yield edge_rows(stands[np.searchsorted(values, a)], stands[np.searchsorted(values, b)])
 
-        def many(cells, values):
+        def many(cells, values, nodes):
             """Cells that begin and end in a batch; those of two values need no table."""
             starts = np.flatnonzero(np.diff(cells, prepend=cells[0] - 1))
             sizes = np.diff(np.append(starts, len(cells)))
             two = starts[sizes == 2]
-            a, b = values[two], values[two + 1]
-            near = (np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)) <= most) & (a != b)
+            a, b = values[two].view(np.uint64), values[two + 1].view(np.uint64)
+            near = (np.bitwise_count(a ^ b) <= most) & (nodes[two] != nodes[two + 1])
             if near.any():
-                yield pa.RecordBatch.from_arrays([pa.array(a[near]), pa.array(b[near])],
-                                                 names=["a", "b"])
+                yield edge_rows(nodes[two[near]], nodes[two[near] + 1])
             for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-                yield from edges(int(cells[s]), [values[s:s + n]])
+                yield from edges(int(cells[s]), [(values[s:s + n], nodes[s:s + n])])
 
         held, current = [], None
         for batch in batches:
-            cells, values = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            # without a column of their own the fingerprints are the nodes
+            cells, values, nodes = (batch.column(k).to_numpy() for k in (0, 1, batch.num_columns - 1))
             if not len(cells):
                 continue
             lo = 0
             if current is not None:
                 lo = int(np.searchsorted(cells, current, "right"))
-                held.append(values[:lo])
+                held.append((values[:lo], nodes[:lo]))
             if lo < len(cells):
                 if current is not None:
                     yield from edges(current, held)
                 last = int(np.searchsorted(cells, cells[-1], "left"))
                 if last > lo:
-                    yield from many(cells[lo:last], values[lo:last])
-                current, held = int(cells[-1]), [values[max(last, lo):]]
+                    yield from many(cells[lo:last], values[lo:last], nodes[lo:last])
+                last = max(last, lo)
+                current, held = int(cells[-1]), [(values[last:], nodes[last:])]
         if current is not None:
             yield from edges(current, held)
 
-    return (_cells(known).repartition("cell").sortWithinPartitions("cell")
+    return (_cells(known, *[of] * (of != "fp")).repartition("cell").sortWithinPartitions("cell")
             .mapInArrow(run, "a long, b long"))
 
 

@@ -1,10 +1,14 @@
 """Near-duplicates by the Jaccard similarity of word shingles; no pair in reach is missed.
 
 1. A text is the set of its five-word shingles, as 64-bit hashes; equal sets are one set.
-2. Shingles have one order for all texts: rare ones first, by counts in hashed buckets. Two
-   sets of similarity t share one of their first n - ceil(t n) + 1 shingles (prefix filter).
-3. Sets that share such a shingle meet without their texts. Few of them give all pairs whose
-   sizes and places of the shingle allow t; many are chained, and what chains join is a group.
+2. A set has a SimHash fingerprint. Fingerprints that differ in three bits at most meet in
+   op5's cells, through its pivot distance tables, and are chained to groups.
+3. Three bits don't reach down to a similarity of 0.8, so the pairs that they leave come by an
+   exact way. Shingles have one order for all texts: rare ones first, by counts in hashed
+   buckets. Two sets of similarity t share one of their first n - ceil(t n) + 1 shingles
+   (prefix filter). Sets that share such a shingle meet without their texts. Few of them give
+   all pairs whose sizes and places of the shingle allow t; many are chained to groups, with
+   those of 2.
 4. Pairs and groups are split by parity bitmaps, two to four bits a shingle: bitmaps differ in
    no more bits than their sets differ in shingles, so no pair in reach is parted.
 5. The sets that are left come together and are compared in full: each is expanded once,
@@ -26,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftline.llm import simhash
 from driftline.llm.common import cut, per_text, pieces_of, small_batches, whole_text
 from driftline.llm.components import components, evened
 
@@ -68,7 +73,11 @@ def key_of(found: np.ndarray) -> int:
 
 
 def _key():
-    return lambda data: (key_of(shingles(data)),)
+    """Key and SimHash fingerprint of a text's set; a set without shingles has none."""
+    def of(data):
+        found = shingles(data)
+        return key_of(found), simhash.signed(simhash.majority(found)) if len(found) else None
+    return of
 
 
 def _sets(batches):
@@ -435,8 +444,11 @@ def _in_blocks(told: DataFrame, members: DataFrame, large: DataFrame, compare) -
     return first.unionByName(edges(strays.select(label, "key").unionByName(others.select(label, "key"))))
 
 
-def links(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """Edges (a, b) between keys of different sets in reach, enough to chain them all."""
+def links(docs: DataFrame, prints: DataFrame, text_column: str = "text") -> DataFrame:
+    """Edges (a, b) between keys of different sets in reach, enough to chain them all.
+
+    ``prints`` has the key and fp of every set of ``docs`` that has shingles, once or more.
+    """
     small_batches(docs.sparkSession)
     texts = docs.select(whole_text(text_column).cast("binary").alias("text"))
     context = docs.sparkSession.sparkContext
@@ -455,7 +467,8 @@ def links(docs: DataFrame, text_column: str = "text") -> DataFrame:
     met = cut(texts.mapInArrow(tokens, "token long, key long, place long")
               .repartition("token").sortWithinPartitions("token")
               .mapInArrow(_met, "a long, b long, many boolean"))
-    groups = _as_members(components(met.where("many").select("a", "b"), roots=True))
+    near = simhash.links(prints.select("key", "fp").distinct(), of="key")
+    groups = _as_members(components(evened(met.where("many").select("a", "b").unionByName(near)), roots=True))
     pair = met.where("not many").select("a", "b").distinct().select(
         F.xxhash64("a", "b").alias("group"), "a", "b")
     members = cut(evened(groups.unionByName(
@@ -500,9 +513,9 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     """
     tie = F.xxhash64(whole_text(text_column)).alias("__tie")
     rows = per_text(docs.select(F.struct(F.col(id_column).alias("id"), tie).alias("__row"),
-                                text_column), "__row", text_column, _key, {"key": "long"})
-    rows = cut(rows.select("__row.id", "__row.__tie", "key"))
-    found = components(links(docs, text_column))
+                                text_column), "__row", text_column, _key, {"key": "long", "fp": "long"})
+    rows = cut(rows.select("__row.id", "__row.__tie", "key", "fp"))
+    found = components(links(docs, rows.where("fp is not null"), text_column))
     best = rows.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("bare"), "id", "__tie"))
                                    .alias("best"))
     keep = (best.join(found, best["key"] == found["node"], "left")

@@ -36,8 +36,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id.
 
-    Near-duplicates have a Jaccard similarity of 0.8 or more on five-word shingles; op5's
-    digest rule (three words, three bits) is another and stays with op5.
+    Near-duplicates have a Jaccard similarity of 0.8 or more on five-word shingles. They meet
+    by SimHash fingerprints of these shingles, as in op5, and where three bits don't reach
+    by an exact way; whole shingle sets decide on both. op5's digest rule (three words, three
+    bits, nothing verified) stays with op5.
     """
     return similar.keep_one(docs)
 
