@@ -11,6 +11,8 @@ from driftline.llm.common import cut
 
 #: Edges that a task contracts at once; any number gives the same result.
 CHUNK = 1 << 20
+#: Nodes with the most neighbours above them whose least neighbours a large-star step broadcasts.
+HEAVY_NODES = 1_000
 
 
 def contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,25 +76,41 @@ def evened(df: DataFrame) -> DataFrame:
     return df.coalesce(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Every edge moves to the least neighbour of its lower node.
+
+    The nodes with the most neighbours above them meet their edges by broadcast, and these
+    edges are spread by their upper nodes, so that they don't meet in one task.
+    """
+    node = F.explode(F.array(
+        F.struct(F.col("a").alias("of"), F.col("b").alias("least"), F.lit(0).alias("above")),
+        F.struct(F.col("b").alias("of"), F.col("b").alias("least"), F.lit(1).alias("above")))).alias("node")
+    nodes = edges.select(node).groupBy("node.of").agg(
+        F.min("node.least").alias("least"), F.sum("node.above").alias("above"))
+    heavy = nodes.orderBy(F.col("above").desc(), "of").limit(HEAVY_NODES).select(
+        F.col("of").alias("__heavy"), F.col("least").alias("__heavy_least"))
+    met = edges.join(F.broadcast(heavy), F.col("b") == F.col("__heavy"), "left").withColumn(
+        "__own", F.when(F.col("__heavy").isNull(), F.col("b")).otherwise(F.xxhash64("a")))
+    least = F.coalesce("__heavy_least", "least")
+    return met.join(nodes.select("of", "least"), F.col("__own") == F.col("of"), "left").select(
+        "a", least.alias("b"), (F.col("b") != least).alias("moved"))
+
+
 def components(edges: DataFrame, roots: bool = False) -> DataFrame:
     """node and root (the least node of its component) for every node of ``edges`` (a, b).
 
     The roots themselves have a row only with ``roots``. Every task first contracts the
     edges it reads, a bounded number at a time, so that what reaches the exchanges are
     stars. Then the two steps are the published star contraction: the number of rounds
-    grows with the logarithm of the longest chain. A large-star step moves an edge to the
-    least neighbour of its lower node by a join, which Spark splits where a node has many
-    neighbours; a small-star step streams a node's lower neighbours, of which a contracted
-    chunk gives one. Each round is cut to the checkpoint folder, and the last is the one
+    grows with the logarithm of the longest chain. A small-star step streams a node's lower
+    neighbours, of which a contracted chunk gives one. Each round is cut to the checkpoint folder, and the last is the one
     that moves nothing.
     """
     shape = "a long, b long, moved boolean"
     edges = cut(edges.where("a <> b").select("a", "b").mapInArrow(_contract, shape))
     while True:
-        least = edges.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("least"))
-        raised = edges.join(least, F.col("b") == F.col("of")).select(
-            "a", F.col("least").alias("b"), (F.col("b") != F.col("least")).alias("moved"))
-        edges = cut(raised.repartition("a").sortWithinPartitions("a", "b").mapInArrow(_small_star, shape))
+        edges = cut(_large_star(edges).repartition("a").sortWithinPartitions("a", "b")
+                    .mapInArrow(_small_star, shape))
         if edges.where("moved").isEmpty():
             break
     found = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
