@@ -63,9 +63,11 @@ def _small_star(batches):
         root = np.where(start >= 0, first[start], 0 if least is None else least)
         other = b != root
         last, least = a[-1], root[-1]
-        # the node's own row, a mark that something moved, and the neighbours' rows
-        out_a = np.concatenate([a[new], a[~new & ~other & moved], b[other]])
-        out_b = np.concatenate([root[new], root[~new & ~other & moved], root[other]])
+        # the node's own row, a mark that something moved, and the neighbours' rows, each once:
+        # many nodes may have the same neighbour
+        more = ~new & (other | moved)
+        pairs = np.unique(np.stack([np.where(other, b, a)[more], root[more]]), axis=1)
+        out_a, out_b = np.concatenate([a[new], pairs[0]]), np.concatenate([root[new], pairs[1]])
         flags = np.concatenate([moved[new], np.ones(len(out_a) - int(new.sum()), bool)])
         yield pa.RecordBatch.from_arrays([pa.array(out_a), pa.array(out_b), pa.array(flags)],
                                          names=["a", "b", "moved"])

@@ -76,6 +76,16 @@ def test_a_small_star_may_go_on_for_batches(size):
     assert {a for a, _, moved in got if moved} == {5, 3} and (9, 9, False) in got
 
 
+def test_a_neighbour_of_many_moves_once():
+    a = np.repeat(np.arange(10, 510), 2)
+    b = np.tile([1, 5], 500)
+    batch = pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.zeros(1000, bool))],
+                                       names=["a", "b", "moved"])
+    (got,) = joined._small_star(iter([batch]))
+    rows = list(zip(*(c.to_pylist() for c in got.columns)))
+    assert rows.count((5, 1, True)) == 1 and len(rows) == 501
+
+
 def tasks_of(spark, run):
     """How many tasks ``run`` takes where every exchange has as many partitions as it was given."""
     conf, context = "spark.sql.adaptive.coalescePartitions.enabled", spark.sparkContext
