@@ -18,6 +18,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 SEQUENCE = 2048
 SHARD_BYTES = 8 << 20
+ROW_BYTES = 64  # what holding a row's pieces takes, however short its text
 _APART = 1_000_003  # between the shards of copies that were read in neighbouring partitions
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -145,9 +146,11 @@ def pack(docs: DataFrame, sequence: int = SEQUENCE, tokenizer: str = TOKENIZER,
     Pieces are dealt to shards by a hash of their row's id and text, their place in it and
     the partition it was read in (which a retried task finds again), so neither a long
     document nor many copies fill a shard, rows that repeat both id and text included. A task holds one shard (about
-    ``shard_bytes`` of text) and packs it by best-fit-decreasing.
+    ``shard_bytes`` of text, each row that has any counting ``ROW_BYTES`` more, so that many
+    short texts don't fill one either) and packs it by best-fit-decreasing.
     """
-    size = docs.agg(F.sum(F.octet_length(text_column))).first()[0] or 0
+    length = F.octet_length(text_column).cast("long")
+    size = docs.agg(F.sum(F.when(length > 0, length + F.lit(ROW_BYTES)))).first()[0] or 0
     shards = max(1, math.ceil(size / shard_bytes))
     spark = docs.sparkSession
     ranks = read_ranks(spark, tokenizer)

@@ -211,3 +211,16 @@ def test_repeated_rows_are_dealt_on(spark):
     for r in rows:
         shards[r.shard] = shards.get(r.shard, 0) + r.n_segments
     assert sum(shards.values()) == 4000 and len(shards) >= 8 and max(shards.values()) <= 1000
+
+
+def test_many_short_texts_are_dealt_on(spark):
+    """Texts of one byte each fill no shard, and all of them are packed."""
+    docs = spark.range(4000).selectExpr("id as doc_id", "char(97 + id % 26) as text")
+    rows = packing.pack(docs, sequence=64, shard_bytes=1 << 12).collect()
+    shards = {}
+    for r in rows:
+        shards[r.shard] = shards.get(r.shard, 0) + r.n_segments
+    assert sorted(d for r in rows for d in r.doc_ids) == list(range(4000))
+    assert len(shards) >= 32 and max(shards.values()) <= 200
+    blank = docs.selectExpr("doc_id", "if(doc_id % 2 = 0, '', null) as text")
+    assert packing.pack(blank, shard_bytes=1).count() == 0
