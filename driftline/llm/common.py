@@ -40,15 +40,34 @@ def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
+#: With it, a frame's shuffle files go when an action on it ends.
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def freed(df: DataFrame) -> DataFrame:
+    """``df`` for one action, whose end removes the shuffle files that it wrote.
+
+    Otherwise they stay until the driver happens to collect its garbage.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(_FREE, None)
+    conf.set(_FREE, "true")  # read where a frame is made
+    try:
+        return df.select("*")
+    finally:
+        conf.unset(_FREE) if before is None else conf.set(_FREE, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the cluster's checkpoint folder, so that later steps start there.
 
     The folder is the one that ``spark.checkpoint.dir`` names, or lies in the warehouse.
+    Files that were exchanged on the way are removed.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    return freed(df).checkpoint()
 
 
 #: Keys with the most rows that :func:`join_groups` broadcasts.

@@ -5,14 +5,16 @@
    op5's cells, through its pivot distance tables, and are chained to groups.
 3. Three bits don't reach down to a similarity of 0.8, so the pairs that they leave come by an
    exact way. Shingles have one order for all texts: rare ones first, by counts in hashed
-   buckets. Two sets of similarity t share one of their first n - ceil(t n) + 1 shingles
-   (prefix filter). Sets that share such a shingle meet without their texts. Few of them give
-   all pairs whose sizes and places of the shingle allow t; many are chained to groups, with
-   those of 2.
-4. Pairs and groups are split by parity bitmaps, two to four bits a shingle: bitmaps differ in
-   no more bits than their sets differ in shingles, so no pair in reach is parted.
-5. The sets that are left come together and are compared in full: each is expanded once,
-   against those not reached yet, so a group of near copies costs little.
+   buckets, whose number grows with the shingles. Two sets of similarity t share SHARED of their
+   first n - ceil(t n) + SHARED shingles (prefix filter). Sets that share such a shingle meet
+   without their texts. Few of them give all pairs whose sizes and places of the shingle allow
+   t; of these pairs those stay that SHARED shingles give, as pairs that share one by chance grow
+   with the square of the table. Of many sets the first one stands for a group.
+4. Groups and pairs, with those of 2, are split by parity bitmaps, two to four bits a shingle:
+   bitmaps differ in no more bits than their sets differ in shingles, so no pair in reach is
+   parted. What is left of them is chained to new groups.
+5. The sets of these come together and are compared in full: each is expanded once, against
+   those not reached yet, so a group of near copies costs little.
 
 Of a group of more than BLOCK sets no task holds the whole, in 4 or in 5: its sets are dealt
 to blocks, and a few leaders of the group go to every block, so that near copies of one text
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.llm import simhash
-from driftline.llm.common import cut, per_text, pieces_of, small_batches, whole_text
+from driftline.llm.common import cut, freed, per_text, pieces_of, small_batches, whole_text
 from driftline.llm.components import components, evened
 
 SHINGLE = 5
@@ -42,8 +44,14 @@ SIMILARITY = (4, 5)
 PAIRED = 12
 #: Sets of a group that are compared in one place, and leaders of a larger group.
 BLOCK, LEADERS = 512, 8
-#: Buckets of the shingle counts; any number gives the same result.
-BUCKETS = 1 << 20
+#: Shingles of their prefixes that two sets of few have to share. Different sets in reach share
+#: four shingles at least (4 of 5), so up to four loses none.
+SHARED = 3
+#: Least and most buckets of the shingle counts, and shingles for each between; any number of
+#: buckets gives the same result, but with too many shingles in each the order is no longer by rarity.
+BUCKETS, MOST_BUCKETS, LOAD = 1 << 20, 1 << 24, 32
+#: Least and most bits that tell the wanted keys, and bits for each key between.
+BITS, MOST_BITS, KEY_BITS = 1 << 20, 1 << 26, 16
 #: Tasks that merge counts or bits of the buckets.
 MERGERS = 8
 _CHUNK = 1 << 14
@@ -73,10 +81,10 @@ def key_of(found: np.ndarray) -> int:
 
 
 def _key():
-    """Key and SimHash fingerprint of a text's set; a set without shingles has none."""
+    """Key, SimHash fingerprint and size of a text's set; one without shingles has no fingerprint."""
     def of(data):
         found = shingles(data)
-        return key_of(found), simhash.signed(simhash.majority(found)) if len(found) else None
+        return key_of(found), simhash.signed(simhash.majority(found)) if len(found) else None, len(found)
     return of
 
 
@@ -92,16 +100,25 @@ def _sets(batches):
                 yield key, found
 
 
-def bucket_of(values: np.ndarray) -> np.ndarray:
-    return ((values * _MIX) >> np.uint64(40)).astype(np.int64) % BUCKETS
+def power_for(n: int, least: int, most: int) -> int:
+    """The first power of two from ``n`` on, between two others."""
+    return min(most, max(least, 1 << max(0, n - 1).bit_length()))
 
 
-def bucket_counts(rows: DataFrame, values_of) -> np.ndarray:
-    """How many of the values that ``values_of`` makes of a task's batches fall in each bucket."""
+def bucket_of(values: np.ndarray, buckets: int) -> np.ndarray:
+    return ((values * _MIX) >> np.uint64(40)).astype(np.int64) % buckets
+
+
+def bucket_counts(rows: DataFrame, values_of, buckets: int = BUCKETS) -> np.ndarray:
+    """How many of the values that ``values_of`` makes of a task's batches fall in each bucket.
+
+    A task counts up to 255 for each bucket, and the result goes up to 65,535.
+    """
     def count(batches):
-        counts = np.zeros(BUCKETS, np.int64)
+        counts = np.zeros(buckets, np.uint8)
         for values in values_of(batches):
-            np.add.at(counts, bucket_of(values), 1)
+            at, more = np.unique(bucket_of(values, buckets), return_counts=True)
+            counts[at] = np.minimum(counts[at] + more, 255)
         used = [(i, c) for i, c in enumerate(counts.reshape(-1, _CHUNK)) if c.any()]
         yield pa.RecordBatch.from_arrays(
             [pa.array([i for i, _ in used], pa.int32()),
@@ -112,38 +129,44 @@ def bucket_counts(rows: DataFrame, values_of) -> np.ndarray:
         total = {}
         for batch in batches:
             for i, blob in zip(*(c.to_pylist() for c in batch.columns)):
-                part = np.frombuffer(zlib.decompress(blob), np.int64)
-                total[i] = total[i] + part if i in total else part
+                if i not in total:
+                    total[i] = np.zeros(_CHUNK, np.uint32)
+                total[i] += np.frombuffer(zlib.decompress(blob), np.uint8)
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(total), pa.int32()),
-             pa.array([zlib.compress(c.tobytes(), 1) for c in total.values()], pa.binary())],
-            names=["chunk", "counts"])
+             pa.array([zlib.compress(np.minimum(c, 65535).astype(np.uint16).tobytes(), 1)
+                       for c in total.values()], pa.binary())], names=["chunk", "counts"])
 
     shape = "chunk int, counts binary"
-    out = np.zeros((BUCKETS // _CHUNK, _CHUNK), np.int64)
-    # 64 chunks need no more tasks than that, however many partitions an exchange has
+    out = np.zeros((buckets // _CHUNK, _CHUNK), np.uint16)
+    # the chunks need no more tasks than that, however many partitions an exchange has
     merged = rows.mapInArrow(count, shape).repartition("chunk").coalesce(MERGERS).mapInArrow(add, shape)
-    for i, blob in merged.collect():
-        out[i] = np.frombuffer(zlib.decompress(bytes(blob)), np.int64)
+    for i, blob in freed(merged).collect():
+        out[i] = np.frombuffer(zlib.decompress(bytes(blob)), np.uint16)
     return out.reshape(-1)
 
 
 def key_bits(members: DataFrame) -> np.ndarray:
-    """A bit for each bucket, set where a key of ``members`` falls in it."""
-    at, word = F.pmod("key", F.lit(BUCKETS)), 8 * 4096  # bits of one of Spark's bitmaps
+    """Bits, a power of two of them: one is set where a key of ``members`` falls in it."""
+    bits = power_for(KEY_BITS * members.count(), BITS, MOST_BITS)
+    at, word = F.pmod("key", F.lit(bits)), 8 * 4096  # bits of one of Spark's bitmaps
     found = members.groupBy(F.floor(at / word).alias("chunk")).agg(
         F.bitmap_construct_agg(F.pmod("key", F.lit(word))).alias("bits"))
-    out = np.zeros((BUCKETS // word, word // 8), np.uint8)
-    for i, bits in found.coalesce(MERGERS).collect():
-        out[i] = np.frombuffer(bytes(bits), np.uint8)
+    out = np.zeros((bits // word, word // 8), np.uint8)
+    for i, part in freed(found.coalesce(MERGERS)).collect():
+        out[i] = np.frombuffer(bytes(part), np.uint8)
     return out.reshape(-1)
 
 
 def prefix(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The rarest shingles of a set, of which any set in reach has one among its own."""
+    """The rarest shingles of a set, of which any other set in reach has SHARED among its own.
+
+    Two sets in reach share ceil(t n) shingles at least. So the m-th that they share, in the
+    order of all, has as many less m behind it, and is no later than n - ceil(t n) + m.
+    """
     up, down = SIMILARITY
-    order = np.lexsort((found, counts[bucket_of(found)]))
-    return found[order[:len(found) + (-up * len(found)) // down + 1]]
+    order = np.lexsort((found, counts[bucket_of(found, len(counts))]))
+    return found[order[:len(found) + (-up * len(found)) // down + SHARED]]
 
 
 def in_reach(shared, size_a, size_b):
@@ -262,79 +285,90 @@ def _cuts(first: np.ndarray):
     return np.concatenate([[0], starts]), np.append(starts, len(first))
 
 
-def _pairs(keys: np.ndarray, places: np.ndarray) -> list[tuple[int, int, bool]]:
-    """Edges between sets that share a token: all with the first of many, or pairs that may be."""
+def _pairs(token: np.ndarray, key: np.ndarray, place: np.ndarray):
+    """Edges (a, b, many) of whole tokens: a token's first set with all of many, or pairs that may be.
+
+    A pair comes once for each token. Of the first SHARED tokens that a pair in reach shares,
+    the shingles from a token on and those shared before it are enough.
+    """
     up, down = SIMILARITY
-    keys, at = np.unique(keys, return_index=True)
-    if len(keys) > PAIRED:
-        return [(int(keys[0]), int(k), True) for k in keys[1:]]
-    places = places[at]
-    n, rest = places & 0xFFFFFFFF, (places & 0xFFFFFFFF) - (places >> 32)
-    i, j = np.triu_indices(len(keys), 1)
-    fits = ((down * np.minimum(n[i], n[j]) >= up * np.maximum(n[i], n[j]))
-            & in_reach(np.minimum(rest[i], rest[j]), n[i], n[j]))
-    return [(a, b, False) for a, b in zip(keys[i[fits]].tolist(), keys[j[fits]].tolist())]
+    order = np.lexsort((key, token))
+    token, key, place = token[order], key[order], place[order]
+    one = np.append(True, (token[1:] != token[:-1]) | (key[1:] != key[:-1]))
+    token, key, place = token[one], key[one], place[one]
+    lo, hi = _cuts(token)
+    sizes = hi - lo
+    crowd = np.repeat(sizes > PAIRED, sizes)
+    first = np.repeat(lo, sizes)
+    other = crowd & (first != np.arange(len(token)))
+    out = [(key[first[other]], key[other], True)]
+    n, rest = place & 0xFFFFFFFF, (place & 0xFFFFFFFF) - (place >> 32)
+    for step in range(1, min(PAIRED, int(sizes.max(initial=0)))):
+        i = np.flatnonzero(~crowd[:-step] & (first[:-step] == first[step:]))
+        j = i + step
+        fits = ((down * np.minimum(n[i], n[j]) >= up * np.maximum(n[i], n[j]))
+                & in_reach(np.minimum(rest[i], rest[j]) + SHARED - 1, n[i], n[j]))
+        out.append((key[i[fits]], key[j[fits]], False))
+    a, b = (np.concatenate([x[k] for x in out]) for k in range(2))
+    return a, b, np.repeat([x[2] for x in out], [len(x[0]) for x in out])
 
 
 def _met(batches):
-    """(a, b, many) from sorted (token, key, place): sets that share a token of their prefixes.
+    """(a, b, many) from (token, key, place) sorted by token: sets that share a token of their prefixes.
 
-    A place is the token's number in its set's order above the set's size. Two sets in reach
-    have enough shingles from their first shared token on, so one of their tokens pairs them.
-    Of a token that goes on from batch to batch a few rows are held: its first set stands
-    for all that follow.
+    A place is the token's number in its set's order above the set's size. A pair of few sets
+    comes once for each token that they share. Of a token that goes on from batch to batch a
+    few rows are held: its first set stands for all that follow.
     """
-    seen, out = set(), []
-    current, held, first = None, [], None
+    current, first = None, None  # of a token of many that goes on: its first set
 
-    def close():
-        if first is None and held:
-            keys, places = (np.concatenate(x) for x in zip(*held))
-            if len(keys) > 1:
-                return _pairs(keys, places)
-        return []
+    def rows_of(held):
+        return [np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(3)]
 
-    for batch in batches:
-        token, key, place = (batch.column(k).to_numpy() for k in range(3))
-        if not len(token):
-            continue
-        lo, hi = _cuts(token)
-        found = []
-        for s, e in zip(lo.tolist(), hi.tolist()):
-            if token[s] != current:
-                found += close()
-                current, held, first = token[s], [], None
-                if e < len(token):  # the token ends in this batch
-                    if e - s > 1:
-                        found += _pairs(key[s:e], place[s:e])
-                    continue
-            if first is None:
-                held.append((key[s:e], place[s:e]))
-                keys, places = (np.concatenate(x) for x in zip(*held))
-                if len(np.unique(keys)) > PAIRED:
-                    first = int(keys.min())
-                    found += _pairs(keys, places)
-                    held = []
+    def going_on():
+        """The rows, some _ROWS at a time, and whether they are the last."""
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size >= _ROWS:
+                yield rows_of(held), False
+                held, size = [], 0
+        if held:
+            yield rows_of(held), True
+
+    kept = None
+    for (token, key, place), last in going_on():
+        if first is not None:
+            at = int(np.searchsorted(token, current, "right"))
+            more = np.unique(key[:at])
+            more = more[more != first]
+            yield _edges(np.full(len(more), first), more, np.ones(len(more), bool))
+            token, key, place = token[at:], key[at:], place[at:]
+            if not len(token):
+                continue
+            first = None
+        if kept is not None:
+            token, key, place = (np.concatenate(x) for x in zip(kept, (token, key, place)))
+            kept = None
+        if not last:
+            at = int(np.searchsorted(token, token[-1], "left"))
+            keys, rows = np.unique(key[at:], return_index=True)
+            if len(keys) > PAIRED:
+                current, first = token[-1], keys[0]
             else:
-                found += [(first, int(k), True) for k in np.unique(key[s:e]) if k != first]
-        for x in found:
-            if x not in seen:
-                seen.add(x)
-                out.append(x)
-        if len(out) >= _ROWS:
-            yield _edges(out)
-            out = []
-        if len(seen) >= 1 << 19:
-            seen = set()
-    out += close()
-    yield _edges(out)
-
-
-def _edges(rows):
-    a, b, many = zip(*rows) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(many, pa.bool_())],
-        names=["a", "b", "many"])
+                kept = token[at:][rows], key[at:][rows], place[at:][rows]
+                token, key, place = token[:at], key[:at], place[:at]
+        if len(token):
+            yield _edges(*_pairs(token, key, place))
+    if kept is not None:
+        yield _edges(*_pairs(*kept))
+
+
+def _edges(a: np.ndarray, b: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()),
+                                       pa.array(many, pa.bool_())], names=["a", "b", "many"])
 
 
 def _compared(batches):
@@ -352,24 +386,8 @@ def _compared(batches):
             [pa.array([x[k] for x in out], pa.int64()) for k in range(2)], names=["a", "b"])
 
 
-def _parted(batches):
-    """(group, key) of the parts of groups, from rows (group, key, size, bitmap) sorted by group."""
-    for held in whole_groups(batches):
-        rows = [r for b in held for r in zip(*(c.to_pylist() for c in b.columns))]
-        lo, hi = _cuts(np.array([r[0] for r in rows], np.int64))
-        out = []
-        for s, e in zip(lo.tolist(), hi.tolist()):
-            of = {r[1]: r for r in rows[s:e]}
-            _, keys, sizes, bitmaps = map(list, zip(*of.values()))
-            for part in parted(keys, sizes, bitmaps):
-                label = xxhash.xxh64_intdigest(np.array([rows[s][0], min(part)], np.int64).tobytes()) >> 1
-                out += [(label, k) for k in part]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([x[k] for x in out], pa.int64()) for k in range(2)], names=["group", "key"])
-
-
 def _reached(batches):
-    """Edges (a, b) that join the parts of groups, from the rows of :func:`_parted`."""
+    """Edges (a, b) that join the parts of groups, from rows (group, key, size, bitmap) sorted by group."""
     for held in whole_groups(batches):
         rows = [r for b in held for r in zip(*(c.to_pylist() for c in b.columns))]
         lo, hi = _cuts(np.array([r[0] for r in rows], np.int64))
@@ -387,9 +405,10 @@ def _told(texts: DataFrame, members: DataFrame, fields: str, answer) -> DataFram
     wanted = texts.sparkSession.sparkContext.broadcast(key_bits(members))
 
     def of(batches):
-        some = np.unpackbits(wanted.value, bitorder="little")
+        some = wanted.value
         for key, found in _sets(batches):
-            if some[key % BUCKETS]:
+            at = key % (8 * len(some))
+            if some[at >> 3] >> (at & 7) & 1:
                 yield pa.RecordBatch.from_pydict({"key": [key], **answer(found)})
 
     return texts.mapInArrow(of, f"key long, {fields}")
@@ -447,12 +466,14 @@ def _in_blocks(told: DataFrame, members: DataFrame, large: DataFrame, compare) -
 def links(docs: DataFrame, prints: DataFrame, text_column: str = "text") -> DataFrame:
     """Edges (a, b) between keys of different sets in reach, enough to chain them all.
 
-    ``prints`` has the key and fp of every set of ``docs`` that has shingles, once or more.
+    ``prints`` has the key, fp and size of every set of ``docs`` that has shingles, once or more.
     """
     small_batches(docs.sparkSession)
     texts = docs.select(whole_text(text_column).cast("binary").alias("text"))
     context = docs.sparkSession.sparkContext
-    common = context.broadcast(bucket_counts(texts, lambda batches: (s for _, s in _sets(batches))))
+    total = prints.agg(F.sum("size")).first()[0] or 0
+    common = context.broadcast(bucket_counts(texts, lambda batches: (s for _, s in _sets(batches)),
+                                             power_for(total // LOAD, BUCKETS, MOST_BUCKETS)))
 
     def tokens(batches):
         counts = common.value
@@ -466,35 +487,32 @@ def links(docs: DataFrame, prints: DataFrame, text_column: str = "text") -> Data
 
     met = cut(texts.mapInArrow(tokens, "token long, key long, place long")
               .repartition("token").sortWithinPartitions("token")
-              .mapInArrow(_met, "a long, b long, many boolean"))
+              .mapInArrow(_met, "a long, b long, many boolean")
+              .groupBy("a", "b").agg(F.max("many").alias("many"), F.count(F.lit(1)).alias("shared"))
+              .where(F.col("many") | (F.col("shared") >= SHARED)).select("a", "b", "many"))
     near = simhash.links(prints.select("key", "fp").distinct(), of="key")
-    groups = _as_members(components(evened(met.where("many").select("a", "b").unionByName(near)), roots=True))
-    pair = met.where("not many").select("a", "b").distinct().select(
-        F.xxhash64("a", "b").alias("group"), "a", "b")
-    members = cut(evened(groups.unionByName(
-        pair.select("group", F.explode(F.array("a", "b")).alias("key")))))
-
-    def answered(fields, answer):
-        """What is told of the members' sets; the large groups with theirs, and the other members."""
+    # A group is the sets that a first one stands for, and not all that such groups lead to:
+    # tokens that sets share by chance would lead from everywhere to everywhere.
+    many = met.where("many").select(F.col("a").alias("group"), F.explode(F.array("a", "b")).alias("key"))
+    pair = met.where("not many").select("a", "b").unionByName(
+        near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    members = cut(evened(many.unionByName(pair.select(
+        F.xxhash64("a", "b").alias("group"), F.explode(F.array("a", "b")).alias("key"))).distinct()))
+
+    def compared(members, fields, answer, compare):
+        """Edges (a, b) of the members of all groups, by what is told of their sets."""
         large, told = _blocks(members), _told(texts, members, fields, answer)
         if large is None:
-            return told, None, None, members
-        in_large = F.col("group") == F.col("of")
-        return (cut(told), large, members.join(large, in_large, "left_semi"),
-                members.join(large, in_large, "left_anti"))
-
-    told, large, crowded, rest = answered("size long, bits binary", lambda found: {
-        "size": [len(found)], "bits": [bitmap(found)]})
-    parts = _of_members(told, rest).mapInArrow(_parted, "group long, key long")
-    if large is not None:
-        parts = evened(parts.unionByName(_as_members(components(
-            _in_blocks(told, crowded, large, _reached), roots=True))))
-    members = cut(parts)
+            return _of_members(told, members).mapInArrow(compare, "a long, b long")
+        told, in_large = cut(told), F.col("group") == F.col("of")
+        rest = _of_members(told, members.join(large, in_large, "left_anti"))
+        return rest.mapInArrow(compare, "a long, b long").unionByName(
+            _in_blocks(told, members.join(large, in_large, "left_semi"), large, compare))
 
-    told, large, crowded, rest = answered("found binary", lambda found: {"found": [found.tobytes()]})
-    edges = _of_members(told, rest).mapInArrow(_compared, "a long, b long")
-    return edges if large is None else edges.unionByName(
-        _in_blocks(told, crowded, large, _compared))
+    parts = compared(members, "size long, bits binary", lambda found: {
+        "size": [len(found)], "bits": [bitmap(found)]}, _reached)
+    members = cut(_as_members(components(evened(parts), roots=True)))
+    return compared(members, "found binary", lambda found: {"found": [found.tobytes()]}, _compared)
 
 
 def _as_members(found: DataFrame) -> DataFrame:
@@ -513,18 +531,21 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     """
     tie = F.xxhash64(whole_text(text_column)).alias("__tie")
     rows = per_text(docs.select(F.struct(F.col(id_column).alias("id"), tie).alias("__row"),
-                                text_column), "__row", text_column, _key, {"key": "long", "fp": "long"})
-    rows = cut(rows.select("__row.id", "__row.__tie", "key", "fp"))
+                                text_column), "__row", text_column, _key,
+                    {"key": "long", "fp": "long", "size": "long"})
+    rows = cut(rows.select("__row.id", "__row.__tie", "key", "fp", "size"))
     found = components(links(docs, rows.where("fp is not null"), text_column))
     best = rows.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("bare"), "id", "__tie"))
                                    .alias("best"))
     keep = (best.join(found, best["key"] == found["node"], "left")
             .groupBy(F.coalesce("root", "key").alias("__group")).agg(F.min("best").alias("best"))
-            .select("__group", F.col("best.id").alias("__id"), F.col("best.__tie").alias("__least")))
+            .select(F.col("best.id").alias("__id"), F.col("best.__tie").alias("__tie"),
+                    F.lit(True).alias("__keep")))
+    # rows and what stays meet in one aggregation, so that texts are exchanged once
     columns = docs.columns
     rest = F.to_json(F.struct(*[c for c in columns if c != text_column]))
-    kept = docs.withColumn("__tie", tie)
-    kept = kept.join(keep, kept[id_column].eqNullSafe(keep["__id"])
-                     & (kept["__tie"] == keep["__least"]))
-    return (kept.groupBy("__group").agg(F.min_by(F.struct(*columns), rest).alias("__row"))
-            .select(*[F.col("__row").getField(c).alias(c) for c in columns]))
+    met = docs.select(F.col(id_column).alias("__id"), tie, F.struct(*columns).alias("__row"),
+                      rest.alias("__rest")).unionByName(keep, allowMissingColumns=True)
+    kept = met.groupBy("__id", "__tie").agg(F.min_by("__row", "__rest").alias("__row"),
+                                            F.max("__keep").alias("__keep")).where("__keep")
+    return kept.select(*[F.col("__row").getField(c).alias(c) for c in columns])
