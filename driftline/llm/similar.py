@@ -52,7 +52,7 @@ SHARED = 3
 BUCKETS, MOST_BUCKETS, LOAD = 1 << 20, 1 << 24, 32
 #: Least and most bits that tell the wanted keys, and bits for each key between.
 BITS, MOST_BITS, KEY_BITS = 1 << 20, 1 << 26, 16
-#: Tasks that merge counts or bits of the buckets.
+#: Tasks that merge counts of the least number of buckets, or bits.
 MERGERS = 8
 _CHUNK = 1 << 14
 _ROWS = 1 << 16
@@ -139,8 +139,9 @@ def bucket_counts(rows: DataFrame, values_of, buckets: int = BUCKETS) -> np.ndar
 
     shape = "chunk int, counts binary"
     out = np.zeros((buckets // _CHUNK, _CHUNK), np.uint16)
-    # the chunks need no more tasks than that, however many partitions an exchange has
-    merged = rows.mapInArrow(count, shape).repartition("chunk").coalesce(MERGERS).mapInArrow(add, shape)
+    # 64 chunks need no more tasks than that, however many partitions an exchange has
+    mergers = max(1, MERGERS * buckets // BUCKETS)
+    merged = rows.mapInArrow(count, shape).repartition("chunk").coalesce(mergers).mapInArrow(add, shape)
     for i, blob in freed(merged).collect():
         out[i] = np.frombuffer(zlib.decompress(bytes(blob)), np.uint16)
     return out.reshape(-1)
